@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, idstore, linededup, mixing, packing, quality, sharding
+from . import chats, idstore, linededup, lm, mixing, packing, quality, sharding, vectors
 from .shared import new_path, ready
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,12 +42,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = new_path(spark, "store")
     idstore.write_store(read(spark, sf_dir, "documents"), to, vocabulary())
     return idstore.read_digests(spark, to).drop("rank")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed_in(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mix.select("doc_id", "source", "mix_epoch", "mix_block", "mix_at")
@@ -55,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_sharding, op3_quality_rules, op4_line_dedup, op5_chat_formatting, op6_packing, op8_token_output, op10_mixing)
+    for f in (op2_sharding, op3_quality_rules, op4_line_dedup, op5_chat_formatting, op6_packing, op7_lm_scoring, op8_token_output, op9_embedding_near_dedup, op10_mixing)
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
