@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, idstore, linededup, lm, mixing, packing, quality, sharding, vectors
+from . import chats, idstore, jaccard, linededup, lm, mixing, packing, quality, sharding, vectors
 from .shared import new_path, ready
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = sharding.tree(40)
     return sharding.shard_documents(read(spark, sf_dir, "documents"), own, sharding.grown(own))
@@ -63,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_sharding, op3_quality_rules, op4_line_dedup, op5_chat_formatting, op6_packing, op7_lm_scoring, op8_token_output, op9_embedding_near_dedup, op10_mixing)
+    for f in (op1_ngram_jaccard_join, op2_sharding, op3_quality_rules, op4_line_dedup, op5_chat_formatting, op6_packing, op7_lm_scoring, op8_token_output, op9_embedding_near_dedup, op10_mixing)
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"

@@ -66,12 +66,8 @@ def graph(x: np.ndarray) -> list[np.ndarray]:
                 out[lo + i].add(int(k))
                 out[int(k)].add(lo + i)
             out[lo + i].add(int(top[i][np.argmax(s[i, top[i]])]))
-    lists = []
-    for i, own in enumerate(out):
-        c = np.fromiter(own, np.int64, len(own))
-        c.sort()
-        lists.append(c if len(c) <= 2 * DEGREE else pruned(x[c] @ x[c].T, c, x[c] @ x[i]))
-    return lists
+    # What points back stays, however much it is: else nodes that are nobody's nearest are never come to.
+    return [np.sort(np.fromiter(own, np.int64, len(own))) for own in out]
 
 
 def search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: np.ndarray, threshold: float, slack: float = 0.02, known: int = -1) -> np.ndarray:
