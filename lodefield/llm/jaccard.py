@@ -8,7 +8,7 @@ are made of the xor of token hashes:
               all but d of their keys (pigeonhole). Of these each set puts out its first d + 1 in an order that all sets
               have in common, parts of many tokens first: two similar sets still share one (prefix filter), and parts
               that hold a single token of some common passage are hardly ever among them.
-    sketches  The parity of the tokens in each of 2 or more bits a token. The Hamming distance of two sketches is never
+    sketches  The parity of the tokens in each of 8 or more bits a token. The Hamming distance of two sketches is never
               more than the sets' difference: pairs beyond d are dropped without looking at the sets.
     sets      Pairs that are left are verified on the sets themselves (64-bit hashes of the shingles).
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import connected, cut, drop, mixed, ready, word_hashes, words_of
 
-BLOCK = 2048
+BLOCK = 8192
 
 
 @dataclass(frozen=True)
@@ -69,8 +69,8 @@ def name_of(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sketch_of(tokens: np.ndarray) -> np.ndarray:
-    """The parity of the tokens in each bit; 2 to 4 bits a token, a power of 2, in words of 64 bits."""
-    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    """The parity of the tokens in each bit; 8 to 16 bits a token, a power of 2, in words of 64 bits."""
+    bits = 1 << max(6, int(8 * len(tokens) - 1).bit_length())
     at = (mixed(tokens ^ np.uint64(0xE7037ED1A0B428DB)) & np.uint64(bits - 1)).astype(np.int64)
     odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.uint64)
@@ -208,13 +208,13 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text") -> Data
         for x in done[1:]:
             every = every.union(x)
         pairs = cut(_between(members, sets, roots, every.where("not linked").select("a", "b"), join, width), "pairs")
-        found, more = pairs.agg(F.count(F.when(F.col("a").isNotNull(), 1)), F.max("more")).first()
-        if not found and not more:
+        if pairs.isEmpty():
             break
-        if found:
-            new = cut(verified(docs, pairs.where("a is not null").select("a", "b").distinct(), join), "tried")
-            links.append(new)
-            done.append(new)
+        new = cut(verified(docs, pairs.select("a", "b").distinct(), join), "tried")
+        links.append(new)
+        done.append(new)
+        # Sketches do not change and components only grow: a group without candidates never has any again.
+        members = cut(members.join(pairs.select("key").distinct(), "key", "left_semi"), "members")
         width *= 4
     ids = least.join(roots.withColumnRenamed("root", "top"), "id", "left").select("fa", "fb", "n", F.coalesce("top", "id").alias("component_id"))
     out = rows.drop("sketch").join(ids, ["fa", "fb", "n"], "left")
@@ -268,7 +268,7 @@ def verified(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
 
 def _between(members: DataFrame, sets: DataFrame, roots: DataFrame, failed: DataFrame, join: Join, width: int) -> DataFrame:
     """Pairs of sets of a key's group that lie in two components, as far as sketches leave them and they haven't failed:
-    for each set in each group up to `width` of the nearest. A row without a pair but with more = 1 tells of others."""
+    for each set in each group up to `width` of the nearest, with the group's key."""
     own = members.join(roots.withColumnRenamed("root", "top"), "id", "left").select("key", "id", "seq", F.coalesce("top", "id").alias("top"))
     open_ = own.groupBy("key").agg(F.min("top").alias("t0"), F.max("top").alias("t1"), F.max("seq").alias("last")).where("t0 <> t1").select("key", F.floor(F.col("last") / BLOCK).cast("int").alias("last"))
     own = own.join(open_, "key")
@@ -294,7 +294,7 @@ def _between(members: DataFrame, sets: DataFrame, roots: DataFrame, failed: Data
         if group:
             yield from _cross(group, join, width)
 
-    return own.select("key", "i", "j", "id", "top", "block", "n", "sketch", "failed").mapInArrow(run, "a long, b long, more int")
+    return own.select("key", "i", "j", "id", "top", "block", "n", "sketch", "failed").mapInArrow(run, "key long, a long, b long")
 
 
 def _cross(group: list[dict], join: Join, width: int):
@@ -310,7 +310,7 @@ def _cross(group: list[dict], join: Join, width: int):
     for k, r in enumerate(group):
         sketches.setdefault(len(r["sketch"]) // 8, []).append(k)
     blocks = {w: (np.array(at), np.stack([np.frombuffer(group[k]["sketch"], np.uint64) for k in at])) for w, at in sketches.items()}
-    out_a, out_b, more = [], [], 0
+    out_a, out_b = [], []
     for k in few.tolist():
         mine = np.frombuffer(group[k]["sketch"], np.uint64)
         close, gaps = [], []
@@ -328,12 +328,11 @@ def _cross(group: list[dict], join: Join, width: int):
             ok = ~np.isin(ids[close], group[k]["failed"])
             close, gaps = close[ok], gaps[ok]
         if len(close) > width:
-            more = 1
             close = close[np.lexsort((ids[close], gaps))[:width]]
         out_a += np.minimum(ids[close], ids[k]).tolist()
         out_b += np.maximum(ids[close], ids[k]).tolist()
-    if out_a or more:
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array([0] * len(out_a), pa.int32())], names=["a", "b", "more"])
+    if out_a:
+        yield pa.RecordBatch.from_arrays([pa.array([group[0]["key"]] * len(out_a), pa.int64()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["key", "a", "b"])
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
