@@ -198,7 +198,7 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text") -> Data
     near = cut(_sketched(stars, sets, join), "stars")
     best = near.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
     tried = cut(verified(docs, best, join), "tried")
-    links, roots, width, done = [tried], None, 2, [tried]
+    links, roots, width, done = [tried], None, 32, [tried]
     while True:
         edges = links[0]
         for x in links[1:]:

@@ -100,11 +100,14 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
     return own[np.asarray(coded.indices)]
 
 
-def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def connected(edges: DataFrame, rounds: int = 64, few: int = 200_000) -> DataFrame:
     """(id, root) of every id in edges (a, b): root is the smallest id reachable. Each round contracts every task's
     edges to stars, then lets each id adopt the smallest neighbour (large and small stars), written between rounds."""
     spark = ready(edges.sparkSession)
-    now = cut(edges.select("a", "b").mapInArrow(_stars, "a long, b long").distinct(), "links")
+    now = cut(edges.select("a", "b").mapInArrow(_stars, "a long, b long"), "links")
+    if now.limit(few + 1).count() <= few:  # that many links fit in one task
+        stars = now.coalesce(1).mapInArrow(lambda it: _stars(_whole(it)), "a long, b long")
+        return stars.select(F.col("b").alias("id"), F.col("a").alias("root")).union(stars.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
     size = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -126,6 +129,12 @@ def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return now.select(F.col("b").alias("id"), F.col("a").alias("root")).union(now.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 
 
+def _whole(batches):
+    batches = list(batches)
+    if batches:
+        yield pa.Table.from_batches(batches).combine_chunks().to_batches(max_chunksize=None)[0]
+
+
 def _stars(batches):
     """A task's edges as stars around the smallest id of each of its components."""
     for batch in batches:
