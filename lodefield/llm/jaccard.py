@@ -12,7 +12,8 @@ are made of the xor of token hashes:
               more than the sets' difference: pairs beyond d are dropped without looking at the sets.
     sets      Pairs that are left are verified on the sets themselves (64-bit hashes of the shingles).
 
-Sets are joined only if that can join components. First each set meets the first set of each of its keys' groups, then
+Sets are joined only if that can join components. First each set meets the first set of each of its keys' groups: the
+nearest of them, then the nearest pairs between the components that this makes. Then
 groups that still hold more than one component are searched for pairs between components, in blocks of bounded size, a
 growing number of pairs for each set, until there is none left. Sets of equal tokens are one set from the start.
 """
@@ -198,7 +199,9 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text") -> Data
     near = cut(_sketched(stars, sets, join), "stars")
     best = near.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
     tried = cut(verified(docs, best, join), "tried")
-    links, roots, width, done = [tried], None, 32, [tried]
+    # Stars around several first sets of one group of near copies are tied together by the nearest pairs between them.
+    tied = cut(verified(docs, _ties(near, tried, connected(tried.where("linked").select("a", "b"))), join), "tried")
+    links, roots, width, done = [tried, tied], None, 32, [tried, tied]
     while True:
         edges = links[0]
         for x in links[1:]:
@@ -239,6 +242,16 @@ def _sketched(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long, gap double")
 
 
+def _ties(near: DataFrame, tried: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the pairs near (a, b, gap) that lie in two components and are not tried yet, for any two components the four
+    nearest or fewer: the nearest in each quarter of the ids b, so that none but partial minima are shuffled."""
+    top = lambda k: roots.select(F.col("id").alias(k), F.col("root").alias(f"top_{k}"))
+    own = near.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(top("a"), "a", "left").join(top("b"), "b", "left")
+    x, y = F.coalesce("top_a", "a"), F.coalesce("top_b", "b")
+    own = own.where(x != y).groupBy(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), F.pmod("b", F.lit(4)).alias("part"))
+    return own.agg(F.min_by(F.struct("a", "b"), F.struct("gap", "a", "b")).alias("pair")).select("pair.a", "pair.b")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
     """(a, b, linked) of pairs of doc_ids, by their sets. Up to 2 million doc_ids are broadcast to find their texts."""
     pairs = cut(pairs, "pairs")
