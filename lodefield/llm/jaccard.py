@@ -13,9 +13,9 @@ are made of the xor of token hashes:
     sets      Pairs that are left are verified on the sets themselves (64-bit hashes of the shingles).
 
 Sets are joined only if that can join components. First each set meets the first set of each of its keys' groups: the
-nearest of them, then the nearest pairs between the components that this makes. Then
-groups that still hold more than one component are searched for pairs between components, in blocks of bounded size, a
-growing number of pairs for each set, until there is none left. Sets of equal tokens are one set from the start.
+nearest of them, then the nearest pairs between the components that this makes. Then groups that still hold more than one
+component are searched for pairs between components, in blocks of bounded size, a growing number of pairs for each set,
+until there is none left. Sets of equal tokens are one set from the start.
 """
 
 from __future__ import annotations
@@ -207,6 +207,8 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text") -> Data
         for x in links[1:]:
             edges = edges.union(x)
         roots = cut(connected(edges.where("linked").select("a", "b")), "roots")
+        if members is None:
+            break
         every = done[0]
         for x in done[1:]:
             every = every.union(x)
@@ -216,8 +218,9 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text") -> Data
         new = cut(verified(docs, pairs.select("a", "b").distinct(), join), "tried")
         links.append(new)
         done.append(new)
-        # Sketches do not change and components only grow: a group without candidates never has any again.
-        members = cut(members.join(pairs.select("key").distinct(), "key", "left_semi"), "members")
+        # Sketches do not change and components only grow: a group whose candidates were all tried never has any again.
+        again = pairs.where("more").select("key").distinct()
+        members = None if again.isEmpty() else cut(members.join(again, "key", "left_semi"), "members")
         width *= 4
     ids = least.join(roots.withColumnRenamed("root", "top"), "id", "left").select("fa", "fb", "n", F.coalesce("top", "id").alias("component_id"))
     out = rows.drop("sketch").join(ids, ["fa", "fb", "n"], "left")
@@ -281,7 +284,7 @@ def verified(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
 
 def _between(members: DataFrame, sets: DataFrame, roots: DataFrame, failed: DataFrame, join: Join, width: int) -> DataFrame:
     """Pairs of sets of a key's group that lie in two components, as far as sketches leave them and they haven't failed:
-    for each set in each group up to `width` of the nearest, with the group's key."""
+    for each set in each group up to `width` of the nearest, with the group's key and whether there are more."""
     own = members.join(roots.withColumnRenamed("root", "top"), "id", "left").select("key", "id", "seq", F.coalesce("top", "id").alias("top"))
     open_ = own.groupBy("key").agg(F.min("top").alias("t0"), F.max("top").alias("t1"), F.max("seq").alias("last")).where("t0 <> t1").select("key", F.floor(F.col("last") / BLOCK).cast("int").alias("last"))
     own = own.join(open_, "key")
@@ -307,7 +310,7 @@ def _between(members: DataFrame, sets: DataFrame, roots: DataFrame, failed: Data
         if group:
             yield from _cross(group, join, width)
 
-    return own.select("key", "i", "j", "id", "top", "block", "n", "sketch", "failed").mapInArrow(run, "key long, a long, b long")
+    return own.select("key", "i", "j", "id", "top", "block", "n", "sketch", "failed").mapInArrow(run, "key long, a long, b long, more boolean")
 
 
 def _cross(group: list[dict], join: Join, width: int):
@@ -323,7 +326,7 @@ def _cross(group: list[dict], join: Join, width: int):
     for k, r in enumerate(group):
         sketches.setdefault(len(r["sketch"]) // 8, []).append(k)
     blocks = {w: (np.array(at), np.stack([np.frombuffer(group[k]["sketch"], np.uint64) for k in at])) for w, at in sketches.items()}
-    out_a, out_b = [], []
+    out_a, out_b, more = [], [], False
     for k in few.tolist():
         mine = np.frombuffer(group[k]["sketch"], np.uint64)
         close, gaps = [], []
@@ -341,11 +344,12 @@ def _cross(group: list[dict], join: Join, width: int):
             ok = ~np.isin(ids[close], group[k]["failed"])
             close, gaps = close[ok], gaps[ok]
         if len(close) > width:
+            more = True
             close = close[np.lexsort((ids[close], gaps))[:width]]
         out_a += np.minimum(ids[close], ids[k]).tolist()
         out_b += np.maximum(ids[close], ids[k]).tolist()
     if out_a:
-        yield pa.RecordBatch.from_arrays([pa.array([group[0]["key"]] * len(out_a), pa.int64()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["key", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([group[0]["key"]] * len(out_a), pa.int64()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array([more] * len(out_a))], names=["key", "a", "b", "more"])
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
