@@ -78,7 +78,9 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, lower-cased in A-Z only, and the offset of each text's first word (one more at the end)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # Joined with nothing, so that offsets start at 0: ascii_lower() misreads a slice's that were cast.
+    texts = pa.concat_arrays([texts.cast(pa.large_string()), pa.array([], pa.large_string())])
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat, ends = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
     ends = ends - ends[0]
     full = np.asarray(pc.greater(pc.binary_length(flat), 0))

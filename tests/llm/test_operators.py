@@ -235,3 +235,17 @@ def test_pipeline(spark):
     assert set(kept[3][1]["doc_id"]) == set(after["doc_id"])
     packed = corpus_pipeline.STAGES[4][1](spark, docs, SF)
     assert set(packed.toPandas()["doc_id"]) == set(after["doc_id"])
+
+
+def test_words_of_slices_equal_those_of_whole_arrays():
+    """Spark's batches are worked on in slices: a slice behind the first has to give the same words."""
+    import pyarrow as pa
+
+    from lodefield.llm.shared import words_of
+
+    texts = pa.array([" Aa b", "c\tD", None, "", "E é F  g", "\n", "h"])
+    for lo in range(len(texts)):
+        part = texts.slice(lo, 3)
+        flat, ends = words_of(part)
+        want = [x.lower().split() if x else [] for x in part.to_pylist()]
+        assert [flat.to_pylist()[a:b] for a, b in zip(ends[:-1], ends[1:])] == want
