@@ -138,6 +138,10 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text") -> Data
     sketches = rows.where("sketch is not null").select("n", "fa", "fb", "sketch").dropDuplicates(["fa", "fb", "n"])
     least = rows.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("id")).where("id is not null")
     sets = cut(least.join(sketches, ["fa", "fb", "n"]).select("id", "fa", "n", "sketch"), "classes")
+    slim = cut(rows.drop("sketch"), "sets")
+    drop(rows)
+    rows = slim
+    least = rows.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("id")).where("id is not null")
 
     def keyed(batches):
         seen: set = set()
@@ -190,7 +194,10 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text") -> Data
 
     keys = docs.mapInArrow(keyed, "key long, fa long").repartition("key").sortWithinPartitions("key", "fa")
     groups = cut(keys.mapInArrow(grouped, "key long, fa long, seq long"), "groups")
-    members = cut(groups.join(sets.select("fa", "id"), "fa").select("key", "id", "seq"), "members")
+    # Near copies share many keys: of groups of the same sets, told apart by 128 bits and their size, one is enough.
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "fa")).alias(f"mark{i}") for i in (1, 2)]
+    once = groups.groupBy("key").agg(*marks, F.count(F.lit(1)).alias("size")).groupBy("mark1", "mark2", "size").agg(F.min("key").alias("key")).select("key")
+    members = cut(groups.join(once, "key", "left_semi").join(sets.select("fa", "id"), "fa").select("key", "id", "seq"), "members")
     drop(groups)
 
     # First each set with the first one of its groups.
@@ -223,7 +230,7 @@ def components(docs: DataFrame, join: Join = Join(), text: str = "text") -> Data
         members = None if again.isEmpty() else cut(members.join(again, "key", "left_semi"), "members")
         width *= 4
     ids = least.join(roots.withColumnRenamed("root", "top"), "id", "left").select("fa", "fb", "n", F.coalesce("top", "id").alias("component_id"))
-    out = rows.drop("sketch").join(ids, ["fa", "fb", "n"], "left")
+    out = rows.join(ids, ["fa", "fb", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -356,13 +363,16 @@ def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """One document of each component, that of the smallest doc_id, in the columns that came in. Of repeated rows of one
     doc_id the one with the least text stays; all rows without a doc_id stay. The texts themselves are not shuffled but
     where a doc_id occurs again."""
-    docs = docs.withColumn("jaccard_row", F.monotonically_increasing_id())
-    docs = cut(docs, "rows")
+    twice = not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if twice:  # numbers have to stay the same whenever rows are read; else no copy is needed
+        docs = cut(docs.withColumn("jaccard_row", F.monotonically_increasing_id()), "rows")
     gone = components(docs, join).where("component_id <> doc_id").select("doc_id").distinct()
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("jaccard_row", F.struct("text", "jaccard_row")).alias("keep")).where("n > 1 and doc_id is not null")
     gone = cut(gone, "gone")
     few = lambda df: F.broadcast(df) if df.limit(2_000_001).count() <= 2_000_000 else df
-    out = docs.join(few(gone), "doc_id", "left_anti")
+    out = docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
+    if not twice:
+        return out
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("jaccard_row", F.struct("text", "jaccard_row")).alias("keep")).where("n > 1 and doc_id is not null")
     again = cut(again.select(F.col("doc_id").alias("of"), "keep"), "again")
     out = out.join(few(again), F.col("doc_id") == F.col("of"), "left").where("keep is null or keep = jaccard_row")
     return out.drop("jaccard_row", "of", "keep")
