@@ -4,8 +4,8 @@ A count c is stored as its level 1 + floor(log2 c): the n-gram is entered with e
 by probing level after level until one is missing. A level is never read too low, and too high with a small probability.
 
 The filter is made of blocks of 2 ** 20 bits, an n-gram's hash tells its block, and each block is built by one task. All
-unigrams and those bigrams are in it whose count is at least a cutoff of 2, or the smallest higher one at which the
-filter stays within most_mb; that bounds what is broadcast, however large the corpus is. Probabilities are
+unigrams and bigrams are in it, or those bigrams whose count is at least the smallest cutoff at which the filter stays
+within most_mb; that bounds what is broadcast, however large the corpus is. Probabilities are
 interpolated: p(w | h) = (1 - m) p(w) + m c(h w) / c(h), with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) and counts read from
 their levels' middles.
 
@@ -119,7 +119,7 @@ def build(uni: DataFrame, bi: DataFrame, most_mb: int = 128) -> tuple[Filter, in
     sums = lambda df: {r["level"]: (r["entries"]) for r in df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("entries")).collect()}  # noqa: E731  at most 64 rows
     n_uni = sum(k * n for k, n in sums(uni).items())
     of_bi, most = sums(bi), most_mb * (1 << 23) // BITS_EACH
-    cutoff_level = 2
+    cutoff_level = 1
     while cutoff_level < LEVELS and n_uni + sum(k * n for k, n in of_bi.items() if k >= cutoff_level) > most:
         cutoff_level += 1
     cutoff_uni = 1

@@ -169,6 +169,36 @@ def test_filter_levels(spark):
     assert (model.levels(np.arange(10**9, 10**9 + 3000).astype(np.uint64)) == 0).mean() > 0.98
 
 
+def model_scores(texts, mix=0.5):
+    """Every text's score by exact counts, read as their levels' middles."""
+    learnt = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
+    toks = [[*words(t), None] for t in texts]
+    uni = collections.Counter(w for t, ok in zip(toks, learnt) if ok for w in [0, *t])
+    bi = collections.Counter(p for t, ok in zip(toks, learnt) if ok for p in zip([0, *t], t))
+    norm = sum(n for w, n in uni.items() if w != 0) + 0.1 * len(uni)
+    middle = lambda n: n if n < 2 else 0.75 * 2 ** n.bit_length() - 0.5
+    out = []
+    for t in toks:
+        p = [(middle(uni[w]) + 0.1) / norm for w in t]
+        c = [(middle(uni[h]), middle(bi[h, w])) for h, w in zip([0, *t], t)]
+        out.append(sum(math.log10((1 - mix) * x + mix * min(1, n / h) if h else x) for x, (h, n) in zip(p, c)))
+    return np.array(out)
+
+
+def few_words(spark):
+    """Documents most of whose bigrams occur once."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 40)) for _ in range(200)]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+
+
+def test_scores_of_bigrams_seen_once(spark):
+    texts, docs = few_words(spark)
+    got = lm.score_documents(docs).toPandas().sort_values("doc_id")
+    # The filter reads few levels too high, none too low.
+    assert np.abs(got["score"].to_numpy() - model_scores(texts)).mean() < 2
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16))
