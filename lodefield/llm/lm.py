@@ -3,9 +3,10 @@
 A count c is stored as its level 1 + floor(log2 c): the n-gram is entered with each level up to its own, and read back
 by probing level after level until one is missing. A level is never read too low, and too high with a small probability.
 
-The filter is made of blocks of 2 ** 20 bits, an n-gram's hash tells its block, and each block is built by one task. All
-unigrams and bigrams are in it, or those bigrams whose count is at least the smallest cutoff at which the filter stays
-within most_mb; that bounds what is broadcast, however large the corpus is. Probabilities are
+The filter is made of blocks, an n-gram's hash tells its block, and each block is built by one task, with 12 bits for
+each of its entries. All unigrams and all bigrams are in it: its size grows with the corpus. Up to most_mb it is
+broadcast. A larger one stays where it is: each chunk of texts sends its distinct n-grams to their blocks and gets their
+levels back, with the same scores. Probabilities are
 interpolated: p(w | h) = (1 - m) p(w) + m c(h w) / c(h), with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) and counts read from
 their levels' middles.
 
@@ -20,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,9 @@ from .shared import cut, mixed, ready, word_hashes, words_of
 
 #: Stands for the end of a text, as a token; for its beginning, only as a history.
 END, BEGIN = np.uint64(1), np.uint64(2)
-BLOCK_BITS, PROBES, BITS_EACH, LEVELS = 1 << 20, 4, 12, 40
+PROBES, BITS_EACH, LEVELS = 4, 12, 40
+#: Tokens learnt from for each block of the filter; documents and bytes of text in a chunk.
+BLOCK_TOKENS, CHUNK_DOCS, CHUNK_BYTES = 1 << 19, 2048, 4 << 20
 
 
 def learns(doc_ids: list) -> np.ndarray:
@@ -54,8 +58,9 @@ def _summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
 
-def count(docs: DataFrame, order: int) -> DataFrame:
-    """(key, n) of all unigrams (order 1; BEGIN is one) or bigrams (order 2) of the documents learnt from."""
+def _counted(docs: DataFrame, order: int, batch_of, schema: str) -> DataFrame:
+    """batch_of(keys, n) of all unigrams (order 1; BEGIN is one) or bigrams (order 2) of the documents learnt from, by
+    slices of batches."""
 
     def run(batches):
         for batch in batches:
@@ -66,97 +71,172 @@ def count(docs: DataFrame, order: int) -> DataFrame:
                 if not len(texts):
                     continue
                 tokens, size = tokens_of(texts)
-                keys, n = _summed(np.append(tokens, np.full(len(size), BEGIN)) if order == 1 else pairs_of(tokens, size)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+                yield batch_of(*_summed(np.append(tokens, np.full(len(size), BEGIN)) if order == 1 else pairs_of(tokens, size)[1]))
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+
 
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "key long, n long")
+def count(docs: DataFrame, order: int) -> DataFrame:
+    """(key, n) of all unigrams or bigrams of the documents learnt from."""
+    rows = _counted(docs, order, lambda keys, n: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"]), "key long, n long")
     return rows.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class Filter:
-    """The filter's bits, as one array of 64-bit words for each block."""
+    """Blocks of bits, in 64-bit words one after the other, block i from word starts[i] on."""
 
-    def __init__(self, blocks: np.ndarray):
-        self.words = blocks
+    def __init__(self, words: np.ndarray, starts: np.ndarray):
+        self.words, self.starts = words, starts
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        at = np.arange(len(keys))
-        for level in range(1, LEVELS):
-            hit = np.ones(len(at), bool)
-            for word, bit in positions(keys[at], level, len(self.words)):
-                hit &= (self.words.reshape(-1)[word] >> bit) & np.uint64(1) == 1
-            at = at[hit]
-            if not len(at):
-                break
-            out[at] = level
-        return out
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        level = self.levels(keys)
-        # Level 1 is a count of 1, level j one of 2 ** (j - 1) to 2 ** j - 1: the middle of these.
-        return np.where(level <= 1, level, 0.75 * 2.0**level - 0.5)
+        block = block_of(keys, len(self.starts) - 1)
+        return levels_in(self.words, keys, self.starts[block], np.diff(self.starts)[block])
+
+
+def levels_in(words: np.ndarray, keys: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The keys' levels, each read in its own block of `size` words from word `first` on. A block may be empty."""
+    out = np.zeros(len(keys), np.int64)
+    at = np.flatnonzero(size)
+    for level in range(1, LEVELS):
+        hit = np.ones(len(at), bool)
+        for word, bit in positions(keys[at], level, size[at]):
+            hit &= (words[first[at] + word] >> bit) & np.uint64(1) == 1
+        at = at[hit]
+        if not len(at):
+            break
+        out[at] = level
+    return out
+
+
+def counts(level: np.ndarray) -> np.ndarray:
+    # Level 1 is a count of 1, level j one of 2 ** (j - 1) to 2 ** j - 1: the middle of these.
+    return np.where(level <= 1, level, 0.75 * 2.0**level - 0.5)
 
 
 def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return (mixed(keys ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(blocks)).astype(np.int64)
 
 
-def positions(keys: np.ndarray, level: int, blocks: int):
-    """For each probe, the word and bit of every key's level."""
-    base = block_of(keys, blocks) * (BLOCK_BITS // 64)
+def positions(keys: np.ndarray, level: int, size: np.ndarray):
+    """For each probe, the word and bit of every key's level in its block, of `size` words."""
     with np.errstate(over="ignore"):
         a = mixed(keys + np.uint64(level) * np.uint64(0xD1342543DE82EF95))
         b = mixed(a) | np.uint64(1)
+        bits = np.asarray(size).astype(np.uint64) << np.uint64(6)
         for i in range(PROBES):
-            bit = (a + np.uint64(i) * b) % np.uint64(BLOCK_BITS)
-            yield base + (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-
-
-def build(uni: DataFrame, bi: DataFrame, most_mb: int = 128) -> tuple[Filter, int]:
-    """The filter of the counts, and the bigrams' cutoff."""
-    level = (F.floor(F.log2(F.col("n").cast("double"))) + 1).cast("int")
-    sums = lambda df: {r["level"]: (r["entries"]) for r in df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("entries")).collect()}  # noqa: E731  at most 64 rows
-    n_uni = sum(k * n for k, n in sums(uni).items())
-    of_bi, most = sums(bi), most_mb * (1 << 23) // BITS_EACH
-    cutoff_level = 1
-    while cutoff_level < LEVELS and n_uni + sum(k * n for k, n in of_bi.items() if k >= cutoff_level) > most:
-        cutoff_level += 1
-    cutoff_uni = 1
-    while cutoff_uni < LEVELS and cutoff_level == LEVELS and n_uni > most:  # more words than fit: the rarest are left out too
-        cutoff_uni += 1
-        n_uni = sum(k * n for k, n in sums(uni).items() if k >= cutoff_uni)
-    entries = n_uni + sum(k * n for k, n in of_bi.items() if k >= cutoff_level)
-    blocks = max(1, -(-entries * BITS_EACH // BLOCK_BITS))
-
-    def dealt(batches):
+            bit = (a + np.uint64(i) * b) % bits
+            yield (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+
+
+def _dealt(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that puts keys block by block, the blocks that have any, and where each starts (one more at the end)."""
+    block = block_of(keys, blocks)
+    order = np.argsort(block, kind="stable")
+    own, first = np.unique(block[order], return_index=True)
+    return order, own, np.append(first, len(keys))
+
+
+def _packed(keys: np.ndarray, n: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """One row for each block: its keys and their counts as bytes."""
+    order, own, at = _dealt(keys, blocks)
+    keys, n = keys[order], n[order].astype(np.int64)
+    parts = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(own), parts(keys), parts(n)], names=["block", "keys", "n"])
+
+
+PACKED = "block long, keys binary, n binary"
+
+
+def packed(counted: DataFrame, blocks: int) -> DataFrame:
+    """Rows (key, n), dealt to blocks."""
+
+    def run(batches):
         for batch in batches:
-            at = block_of(np.asarray(batch.column(0)).view(np.uint64), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(0), batch.column(1)], names=["block", "key", "level"])
+            yield _packed(np.asarray(batch.column("key")).view(np.uint64), np.asarray(batch.column("n")), blocks)
+
+    return counted.select("key", F.col("n").cast("long").alias("n")).mapInArrow(run, PACKED)
+
+
+def _joined(column, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+def built(rows: DataFrame) -> DataFrame:
+    """(block, bits) of the filter of all n-grams in packed rows, whose counts of equal keys add up."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, of = np.unique(_joined(table.column("keys"), np.uint64), return_inverse=True)
+        n = np.bincount(of, _joined(table.column("n"), np.int64), len(keys))
+        level = np.minimum(np.frexp(n)[1], LEVELS - 1)
+        bits = np.zeros(-(-int(level.sum()) * BITS_EACH // 64), np.uint64)
+        for j in range(1, int(level.max()) + 1):
+            for word, bit in positions(keys[level >= j], j, np.int64(len(bits))):
+                np.bitwise_or.at(bits, word, np.uint64(1) << bit)
+        return pa.table([pa.array([table.column("block")[0].as_py()]), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
+
+    return rows.groupBy("block").applyInArrow(run, "block long, bits binary")
 
-    def set_bits(batches):
-        now, bits = None, None
+
+def collected(bits: DataFrame, blocks: int) -> Filter:
+    """The whole filter, for one that a broadcast holds."""
+    own = {r["block"]: np.frombuffer(r["bits"], np.uint64) for r in bits.toLocalIterator()}
+    parts = [own.get(i, np.zeros(0, np.uint64)) for i in range(blocks)]
+    return Filter(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
+
+
+def build(uni: DataFrame, bi: DataFrame, blocks: int = 8) -> tuple[Filter, int]:
+    """The filter of counts that lie in tables (key, n), and its size in bytes."""
+    model = collected(built(packed(uni, blocks).union(packed(bi, blocks))), blocks)
+    return model, model.words.nbytes
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(row, doc_ids, texts): rows in chunks, each named after its first row's number."""
+
+    def run(batches):
+        at, base = 0, TaskContext.get().partitionId() << 40
         for batch in batches:
-            block, key, lev = (np.asarray(batch.column(i)) for i in range(3))
-            for b in np.unique(block):
-                if b != now:
-                    if now is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
-                    now, bits = int(b), np.zeros(BLOCK_BITS // 64, np.uint64)
-                own, l = key[block == b].view(np.uint64), lev[block == b]
-                for j in range(1, int(l.max()) + 1):
-                    for word, bit in positions(own[l >= j], j, blocks):
-                        np.bitwise_or.at(bits, word - now * (BLOCK_BITS // 64), np.uint64(1) << bit)
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
-
-    rows = uni.select("key", level.alias("level")).where(F.col("level") >= cutoff_uni).union(bi.select("key", level.alias("level")).where(F.col("level") >= cutoff_level))
-    rows = rows.mapInArrow(dealt, "block long, key long, level int").repartition("block").sortWithinPartitions("block")
-    words = np.zeros((blocks, BLOCK_BITS // 64), np.uint64)
-    # most_mb at most, a block at a time.
-    for row in rows.mapInArrow(set_bits, "block long, bits binary").toLocalIterator():
-        words[row["block"]] = np.frombuffer(row["bits"], np.uint64)
-    return Filter(words), 1 << (cutoff_level - 1)
+            size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                past = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CHUNK_BYTES, "right"))
+                hi = min(max(past, lo + 1), lo + CHUNK_DOCS, batch.num_rows)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([base + at + lo]), *(pa.array([part.column(i).to_pylist()], pa.list_(t)) for i, t in ((0, pa.int64()), (1, pa.string())))], names=["row", "doc_ids", "texts"]
+                )
+                lo = hi
+            at += batch.num_rows
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "row long, doc_ids array<long>, texts array<string>")
+
+
+def _keys(tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate((tokens, pairs_of(tokens, size)[1], [BEGIN])))
+
+
+def probed(chunks: DataFrame, bits: DataFrame, blocks: int) -> DataFrame:
+    """(row, block, levels): the levels of each chunk's distinct n-grams, as bytes, in the order _dealt() gives."""
+
+    def ask(batches):
+        for batch in batches:
+            for row, texts in zip(batch.column("row").to_pylist(), batch.column("texts")):
+                keys = _keys(*tokens_of(texts.values))
+                order, own, at = _dealt(keys, blocks)
+                keys = keys[order]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array([row] * len(own), pa.int64()), pa.array([keys[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], names=["block", "row", "keys"]
+                )
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        words = _joined(own.column("bits"), np.uint64)
+        keys = _joined(asked.column("keys"), np.uint64)
+        level = levels_in(words, keys, np.zeros(len(keys), np.int64), np.full(len(keys), len(words))).astype(np.uint8)
+        at = np.cumsum([0, *(len(x) // 8 for x in asked.column("keys").to_pylist())])
+        return pa.table([asked.column("row"), asked.column("block"), pa.array([level[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], names=["row", "block", "levels"])
+
+    asked = chunks.select("row", "texts").mapInArrow(ask, "block long, row long, keys binary")
+    return asked.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(answer, "row long, block long, levels binary")
 
 
 def score_documents(docs: DataFrame, mix: float = 0.5, most_mb: int = 128, hot_words: int = 200_000) -> DataFrame:
@@ -169,8 +249,10 @@ def score_documents(docs: DataFrame, mix: float = 0.5, most_mb: int = 128, hot_w
     uni = cut(count(docs, 1), "unigrams")
     begin = F.col("key") == int(BEGIN)
     total, vocabulary = uni.where(~begin).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    bi = cut(count(docs, 2), "bigrams")
-    model, _ = build(uni, bi, most_mb)
+    blocks = max(1, -(-total // BLOCK_TOKENS))
+    bi = _counted(docs, 2, lambda keys, n: _packed(keys, n, blocks), PACKED)
+    bits = cut(built(packed(uni, blocks).union(bi)), "filter")
+    whole = bits.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0] <= most_mb << 20
 
     # The counts from which on at most hot_words words are: by powers of 2, then exactly within the bound.
     left, least = hot_words, 1 << 62
@@ -180,55 +262,69 @@ def score_documents(docs: DataFrame, mix: float = 0.5, most_mb: int = 128, hot_w
             break
         least = 1 << int(r["p"])
     hot = uni.where((F.col("n") >= least) & ~begin).toPandas().sort_values("key")
-    sent = spark.sparkContext.broadcast((model.words, hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)))
+    sent = spark.sparkContext.broadcast((collected(bits, blocks) if whole else None, hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)))
     norm = total + 0.1 * (vocabulary + 1)
 
+    def scored(first_row, doc, texts, levels_of):
+        _, hot_keys, hot_n = sent.value
+        tokens, size = tokens_of(texts)
+        first = np.cumsum(size) - size
+        keys, of = np.unique(tokens, return_inverse=True)
+        signed = keys.view(np.int64)
+        where = np.searchsorted(hot_keys, signed)
+        known = where < len(hot_keys)
+        known[known] = hot_keys[where[known]] == signed[known]
+        n = np.zeros(len(keys), np.int64)
+        n[known] = hot_n[where[known]]
+        sure = np.where(known, np.log10((n + 0.1) / norm), 0.0)
+        # The model: the token's own share, and its share behind its history.
+        c_uni = counts(levels_of(keys))
+        history, pair = pairs_of(tokens, size)
+        pairs, of_pair = np.unique(pair, return_inverse=True)
+        c_pair, c_history = counts(levels_of(pairs))[of_pair], np.empty(len(tokens))
+        c_history[1:] = c_uni[of][:-1]
+        c_history[first] = counts(levels_of(np.array([BEGIN])))[0]
+        p = (c_uni[of] + 0.1) / norm
+        behind = np.minimum(1.0, c_pair / np.maximum(c_history, 1.0))
+        p = np.where(c_history > 0, (1 - mix) * p + mix * behind, p)
+        rare = ~known[of]
+        n_rare = np.add.reduceat(rare, first, dtype=np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(first_row + np.arange(len(size))),
+                doc,
+                pa.array(~learns(doc.to_pylist())),
+                pa.array(size.astype(np.int64)),
+                pa.array(size - n_rare),
+                pa.array(np.add.reduceat(sure[of], first)),
+                pa.array(np.add.reduceat(np.log10(p), first)),
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_rare))).astype(np.int32)), pa.array(tokens[rare].view(np.int64))),
+            ],
+            names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+        )
+
     def run(batches):
-        words, hot_keys, hot_n = sent.value
-        own, at, base = Filter(words), 0, TaskContext.get().partitionId() << 40
+        at, base = 0, TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                tokens, size = tokens_of(part.column(1))
-                first = np.cumsum(size) - size
-                keys, of = np.unique(tokens, return_inverse=True)
-                signed = keys.view(np.int64)
-                where = np.searchsorted(hot_keys, signed)
-                known = where < len(hot_keys)
-                known[known] = hot_keys[where[known]] == signed[known]
-                n = np.zeros(len(keys), np.int64)
-                n[known] = hot_n[where[known]]
-                sure = np.where(known, np.log10((n + 0.1) / norm), 0.0)
-                # The model: the token's own share, and its share behind its history.
-                c_uni = own.counts(keys)
-                history, pair = pairs_of(tokens, size)
-                pairs, of_pair = np.unique(pair, return_inverse=True)
-                c_pair, c_history = own.counts(pairs)[of_pair], np.empty(len(tokens))
-                c_history[1:] = c_uni[of][:-1]
-                c_history[first] = own.counts(np.array([BEGIN]))[0]
-                p = (c_uni[of] + 0.1) / norm
-                behind = np.minimum(1.0, c_pair / np.maximum(c_history, 1.0))
-                p = np.where(c_history > 0, (1 - mix) * p + mix * behind, p)
-                rare = ~known[of]
-                n_rare = np.add.reduceat(rare, first, dtype=np.int64)
-                doc = part.column(0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(base + at + np.arange(len(size))),
-                        doc,
-                        pa.array(~learns(doc.to_pylist())),
-                        pa.array(size.astype(np.int64)),
-                        pa.array(size - n_rare),
-                        pa.array(np.add.reduceat(sure[of], first)),
-                        pa.array(np.add.reduceat(np.log10(p), first)),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_rare))).astype(np.int32)), pa.array(tokens[rare].view(np.int64))),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
-                at += len(size)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                yield scored(base + at, part.column(0), part.column(1), sent.value[0].levels)
+                at += part.num_rows
+
+    def run_chunk(levels: pa.Table, chunk: pa.Table) -> pa.Table:
+        texts = chunk.column("texts").combine_chunks().values
+        keys = _keys(*tokens_of(texts))
+        found = np.empty(len(keys), np.int64)
+        found[_dealt(keys, blocks)[0]] = _joined(levels.sort_by("block").column("levels"), np.uint8)
+        doc = chunk.column("doc_ids").combine_chunks().values
+        return pa.Table.from_batches([scored(chunk.column("row")[0].as_py(), doc, texts, lambda some: found[np.searchsorted(keys, some)])])
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
-    rows = cut(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema), "scored")
+    if whole:
+        rows = cut(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema), "scored")
+    else:
+        chunks = cut(_chunks(docs), "chunks")
+        rows = cut(probed(chunks, bits, blocks).groupBy("row").cogroup(chunks.groupBy("row")).applyInArrow(run_chunk, schema), "scored")
     rare = rows.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("tf"))
     found = rare.join(uni.where(~begin), "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     sums = found.groupBy("row").agg(

@@ -199,6 +199,17 @@ def test_scores_of_bigrams_seen_once(spark):
     assert np.abs(got["score"].to_numpy() - model_scores(texts)).mean() < 2
 
 
+def test_scores_do_not_depend_on_the_broadcast(spark, odd_docs):
+    """A filter that outgrows most_mb leaves no n-gram out: the scores are those of one that does not."""
+    texts, docs = few_words(spark)
+    a, b = (lm.score_documents(docs, most_mb=m, hot_words=50).toPandas().sort_values("doc_id", ignore_index=True) for m in (128, 0))
+    assert a.round(9).equals(b.round(9)) and np.abs(b["score"].to_numpy() - model_scores(texts)).mean() < 2
+    a, b = (lm.score_documents(odd_docs, most_mb=m).toPandas().round(9) for m in (128, 0))
+    a, b = (x.sort_values(list(x.columns), ignore_index=True) for x in (a, b))
+    assert len(b) == 13 and a.equals(b)
+    assert lm.score_documents(odd_docs.limit(0), most_mb=0).count() == 0
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16))
