@@ -228,6 +228,24 @@ def test_vectors(spark):
     assert (got["kept"] == (got["vec_id"] == got["component_id"])).all()
 
 
+def test_audit_counts_every_query_alike(spark):
+    """One large group keeps all its links, small ones lose theirs: the large one's don't make up for that."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(340, 16))
+    x[:300] = x[0] + 0.001 * rng.normal(size=(300, 16))
+    x[301::2] = x[300::2] + 0.001 * rng.normal(size=(20, 16))
+    nodes = spark.createDataFrame([(i, 0, 16, 1, x[i].tolist()) for i in range(340)], "node long, label long, w int, n long, x array<double>")
+    found = lambda small: spark.createDataFrame([(i, 299, 0) for i in range(300)] + [(i, small if i % 4 < 2 else 1, i - i % 2) for i in range(300, 340)], "node long, links long, root long")
+    assert vectors.audited(nodes, found(1), 0.98, 256) == 1
+    assert vectors.audited(nodes, found(0), 0.98, 256) < 0.9
+
+
+def test_audit_at_the_last_overlap(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.001 * i], 0) for i in range(20)], "vec_id long, embedding array<float>, label int")
+    with pytest.warns(RuntimeWarning, match="overlap 24"):
+        vectors.near_vectors(df, overlap=24, recall=1.1)
+
+
 def test_mixing(spark):
     rows = [(i, "a b c d e", "big" if i < 900 else f"s{i % 3}") for i in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
