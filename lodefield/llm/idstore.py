@@ -150,6 +150,19 @@ def _merkle(ranked: DataFrame) -> DataFrame:
     return out
 
 
+def _fits(spark: SparkSession, at: str, ranked: DataFrame) -> bool:
+    """Whether the tree over the documents' roots, made anew from their lists of digests, is that of the manifest."""
+
+    def rooted(batches):
+        for batch in batches:
+            roots = [hashlib.blake2b(d, digest_size=16).digest() for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary())], names=["rank", "root"])
+
+    now = _merkle(ranked.select("rank", "digests").mapInArrow(rooted, "rank long, root binary"))
+    was = spark.read.schema(now.schema).parquet(f"{at}/manifest")
+    return was.exceptAll(now).union(now.exceptAll(was)).isEmpty()
+
+
 def _shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     """The crc32 of texts followed by n zero bytes, as far as it depends on the texts' own: x ** (8 n) modulo the polynomial."""
     out, n = crc.astype(np.uint32), n_bytes.astype(np.int64).copy()
@@ -175,8 +188,16 @@ def _shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 def read_digests(spark: SparkSession, at: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files. Each chunk is read, held against its
-    digest and summed up once; a document's crc32 is put together from those of its chunks."""
+    digest and summed up once; a document's crc32 is put together from those of its chunks. Recipes that aren't those of the
+    manifest are an error, raised before there are rows."""
     ready(spark)
+    docs = numbered(spark, at)
+    if not _fits(spark, at, docs):
+        raise ValueError("the recipes are not those of the manifest")
+    return _digests(spark, at, docs)
+
+
+def _digests(spark: SparkSession, at: str, docs: DataFrame) -> DataFrame:
 
     def verified(batches):
         for batch in batches:
@@ -208,7 +229,6 @@ def read_digests(spark: SparkSession, at: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_shifted(crc, 4 * after).astype(np.int64)), pa.array(size)], names=["doc_key", "crc", "size"])
 
     known = chunks(spark, at).mapInArrow(verified, "digest binary, crc long, has long")
-    docs = numbered(spark, at)
     # start names a document: each has one id at least.
     used = docs.select("doc_id", "start", "n_tokens", "digests", "sizes").mapInArrow(uses, "doc_key long, digest binary, size long, after long")
     parts = used.join(known, "digest").select("doc_key", "crc", "has", "size", "after").mapInArrow(shift, "doc_key long, crc long, size long")
@@ -235,7 +255,5 @@ def _joined(batches):
 
 def verify(spark: SparkSession, at: str) -> bool:
     """Whether the manifest is that of the recipes as they are now, and every document can be rebuilt."""
-    was = spark.read.parquet(f"{at}/manifest")
-    now = _merkle(numbered(spark, at))
-    differ = was.exceptAll(now).union(now.exceptAll(was)).limit(1).count()
-    return not differ and read_digests(spark, at).where("ids_crc32 is null").limit(1).count() == 0
+    docs = numbered(ready(spark), at)
+    return _fits(spark, at, docs) and _digests(spark, at, docs).where("ids_crc32 is null").limit(1).count() == 0

@@ -144,6 +144,29 @@ def test_store(spark, odd_docs):
     assert chunks.count() == chunks.select("digest").distinct().count()
 
 
+def test_store_permuted_recipe(spark):
+    """A recipe whose chunks of equal sizes were swapped still has its stored root, yet is found out."""
+    to, words_ = new_path(spark, "test"), np.random.default_rng(5).integers(0, 5000, 60000)
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in words_)), (2, "b c")], "doc_id long, text string")
+    idstore.write_store(docs, to, queries.vocabulary())
+    assert idstore.verify(spark, to)
+    recipes = spark.read.parquet(f"{to}/recipes")
+    rows = recipes.toPandas()
+    i = int(rows.index[rows["doc_id"] == 1][0])
+    sizes, raw = np.frombuffer(rows["sizes"][i], np.int32), rows["digests"][i]
+    d = [bytes(raw[k : k + 16]) for k in range(0, len(raw), 16)]
+    a, b = next((a, b) for a in range(len(d)) for b in range(a) if sizes[a] == sizes[b] and d[a] != d[b])
+    d[a], d[b] = d[b], d[a]
+    rows.at[i, "digests"] = b"".join(d)
+    other, schema = new_path(spark, "test"), recipes.schema
+    spark.createDataFrame([tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in rows.itertuples(index=False)], schema).write.parquet(f"{other}/recipes")
+    spark.read.parquet(f"{to}/manifest").write.parquet(f"{other}/manifest")
+    idstore.chunks(spark, to).write.parquet(f"{other}/new/kind=chunks")
+    assert not idstore.verify(spark, other)
+    with pytest.raises(ValueError, match="manifest"):
+        idstore.read_digests(spark, other)
+
+
 def test_scores(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().sort_values("doc_id", ignore_index=True)
     got = queries.op7_lm_scoring(spark, SF).toPandas().sort_values("doc_id", ignore_index=True)
