@@ -168,7 +168,7 @@ ORACLES["shingle_overlap"] = f"select item_id, count(distinct doc_id) as docs fr
 
 
 def pagerank(spark: SparkSession, sf_dir: str, iterations: int = 12, damping: float = 0.85) -> DataFrame:
-    """Personalised rank over customer-nation-region edges from the seed EUROPE: unnormalised seed, mass of dead ends lost."""
+    """Personalised rank over supplier-nation-region edges from the seed EUROPE: unnormalised seed, mass of dead ends lost."""
     n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
     one = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
     two = c.join(n, c["s_nationkey"] == n["n_nationkey"]).select(F.col("s_name").alias("a"), F.col("n_name").alias("b"))
