@@ -14,8 +14,9 @@ are made of the xor of token hashes:
 
 Sets are joined only if that can join components. First each set meets the first set of each of its keys' groups: the
 nearest of them, then the nearest pairs between the components that this makes. Then groups that still hold more than one
-component are searched for pairs between components, in blocks of bounded size, a growing number of pairs for each set,
-until there is none left. Sets of equal tokens are one set from the start.
+component are searched for pairs between components, in blocks of bounded size: for each component but a group's largest
+the few nearest pairs not tried yet, more of them round by round, until none is left. Sets of equal tokens are one set
+from the start; a set is known by 64 bits of its tokens, and found again by the hash of one of its texts.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .shared import connected, cut, drop, mixed, ready, word_hashes, words_of
 
-BLOCK = 8192
+#: Sets of a group in a block; pairs that a component is given in a group at first, and by how much they grow.
+BLOCK, FIRST, GROWTH = 4096, 4, 4
 
 
 @dataclass(frozen=True)
@@ -61,12 +63,18 @@ def sets_of(texts: pa.Array, words: int):
                 yield np.zeros(0, np.uint64)
 
 
-def name_of(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart."""
-    with np.errstate(over="ignore"):
-        a = mixed(tokens ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64)
-        b = np.bitwise_xor.reduce(mixed(tokens ^ np.uint64(0x9FB21C651E98DF25))) if len(tokens) else np.uint64(0)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+def names_of(sets: list[np.ndarray]) -> np.ndarray:
+    """64 bits that tell each of the sets apart: made of the sum and the xor of its tokens' hashes and of its size."""
+    size = np.array([len(x) for x in sets], np.int64)
+    out, full = np.zeros(len(sets), np.uint64), np.flatnonzero(size)
+    if len(full):
+        flat = np.concatenate(sets)
+        first = (np.cumsum(size) - size)[full]
+        with np.errstate(over="ignore"):
+            a = np.add.reduceat(mixed(flat ^ np.uint64(0xA24BAED4963EE407)), first)
+            b = np.bitwise_xor.reduceat(mixed(flat ^ np.uint64(0x9FB21C651E98DF25)), first)
+            out[full] = mixed(a + mixed(b + size[full].astype(np.uint64)))
+    return out.view(np.int64)
 
 
 def sketch_of(tokens: np.ndarray) -> np.ndarray:
@@ -111,127 +119,146 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def components(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, of every row.
+def _slices(batches, rows: int = 1024):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
-    Needs doc_id and the text column. Texts that are null or have no word have no set and link with nothing: they are
-    their own component. Repeated doc_ids are rows each. Rows without a doc_id get their component's.
-    """
-    spark = ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, the hash t of the text, and the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
+
+
+def classes(docs: DataFrame, join: Join = Join(), text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t, n, id) of every document, id naming its set of n tokens and t the text's hash, and (id, root) of
+    the sets that links join: root is the smallest id of the component."""
+    ready(docs.sparkSession)
+    docs = _keyed(docs, text)
 
     def light(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                n, a, b, s, seen = [], [], [], [], {}
-                for x in sets_of(part.column(1), join.words):
-                    f = name_of(x)
-                    n.append(len(x))
-                    a.append(f[0])
-                    b.append(f[1])
-                    s.append(None if f in seen or not len(x) else sketch_of(x).tobytes())  # copies need no more than one
-                    seen[f] = True
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.binary())], names=["doc_id", "n", "fa", "fb", "sketch"])
-
-    rows = cut(docs.mapInArrow(light, "doc_id long, n long, fa long, fb long, sketch binary"), "sets")
-    sketches = rows.where("sketch is not null").select("n", "fa", "fb", "sketch").dropDuplicates(["fa", "fb", "n"])
-    least = rows.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("id")).where("id is not null")
-    sets = cut(least.join(sketches, ["fa", "fb", "n"]).select("id", "fa", "n", "sketch"), "classes")
-    slim = cut(rows.drop("sketch"), "sets")
-    drop(rows)
-    rows = slim
-    least = rows.where("n > 0").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("id")).where("id is not null")
+        for part in _slices(batches):
+            sets = list(sets_of(part.column(2), join.words))
+            names, seen, s = names_of(sets), set(), []
+            for x, f in zip(sets, names.tolist()):
+                s.append(None if f in seen or not len(x) else sketch_of(x).tobytes())  # copies need no more than one
+                seen.add(f)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(names), pa.array(s, pa.binary())], names=["doc_id", "t", "n", "id", "sketch"])
+
+    whole = cut(docs.mapInArrow(light, "doc_id long, t long, n long, id long, sketch binary"), "sets")
+    sets = cut(whole.where("sketch is not null").select("id", "n", "t", "sketch").dropDuplicates(["id"]), "classes")
+    rows = cut(whole.drop("sketch"), "sets")
+    drop(whole)
 
     def keyed(batches):
         seen: set = set()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                keys, names = [], []
-                for x in sets_of(part.column(1), join.words):
-                    f = name_of(x)
-                    if not len(x) or f in seen:
-                        continue
-                    if len(seen) > 1 << 18:  # only saves shuffling
-                        seen.clear()
+        for part in _slices(batches):
+            sets = list(sets_of(part.column(2), join.words))
+            keys, names = [], []
+            if len(seen) > 1 << 14:  # only saves shuffling
+                seen.clear()
+            for x, f in zip(sets, names_of(sets).tolist()):
+                if len(x) and f not in seen:
                     seen.add(f)
                     keys.append(keys_of(x, join).view(np.int64))
-                    names.append(np.full(len(keys[-1]), f[0]))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], names=["key", "fa"])
+                    names.append(np.full(len(keys[-1]), f))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], names=["key", "id"])
 
-    def grouped(batches):
-        """Of rows in the order of key and fa, the groups of two sets or more: key, fa, the set's number in its group."""
-        last_key, last_fa, seq, held = None, None, 0, False
-        for batch in batches:
-            key, fa = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            if not len(key):
-                continue
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (fa[1:] != fa[:-1])
-            new[0] = key[0] != last_key or fa[0] != last_fa
-            key, fa = key[new], fa[new]
-            if not len(key):
-                continue
-            start = np.ones(len(key), bool)
-            start[1:] = key[1:] != key[:-1]
-            carried = key[0] == last_key
-            start[0] = not carried
-            first = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
-            number = np.arange(len(key)) - first
-            if carried:
-                same = first == 0
-                number[same & (key == key[0])] += seq + 1
-            inside = number > 0  # a group's first set counts if a second follows; the last row's may follow later
-            inside[:-1] |= ~start[1:]
-            out_key, out_fa, out_n = key[inside], fa[inside], number[inside]
-            if carried and held:  # the first set of the group that goes on, left behind by the batch before
-                out_key, out_fa, out_n = np.append(out_key, last_key), np.append(out_fa, last_fa), np.append(out_n, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_fa), pa.array(out_n)], names=["key", "fa", "seq"])
-            last_key, last_fa, seq = key[-1], fa[-1], int(number[-1])
-            held = seq == 0
-
-    keys = docs.mapInArrow(keyed, "key long, fa long").repartition("key").sortWithinPartitions("key", "fa")
-    groups = cut(keys.mapInArrow(grouped, "key long, fa long, seq long"), "groups")
+    keys = docs.mapInArrow(keyed, "key long, id long").repartition("key").sortWithinPartitions("key", "id")
+    groups = cut(keys.mapInArrow(_grouped, "key long, id long, seq long"), "groups")
     # Near copies share many keys: of groups of the same sets, told apart by 128 bits and their size, one is enough.
-    marks = [F.bit_xor(F.xxhash64(F.lit(i), "fa")).alias(f"mark{i}") for i in (1, 2)]
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"mark{i}") for i in (1, 2)]
     once = groups.groupBy("key").agg(*marks, F.count(F.lit(1)).alias("size")).groupBy("mark1", "mark2", "size").agg(F.min("key").alias("key")).select("key")
-    members = cut(groups.join(once, "key", "left_semi").join(sets.select("fa", "id"), "fa").select("key", "id", "seq"), "members")
+    members = cut(groups.join(once, "key", "left_semi"), "members")
     drop(groups)
 
     # First each set with the first one of its groups.
-    firsts = members.groupBy("key").agg(F.min_by("id", F.struct("seq", "id")).alias("a"))
-    stars = members.join(firsts, "key").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    firsts = members.where("seq = 0").select("key", F.col("id").alias("a"))
+    stars = members.where("seq > 0").join(firsts, "key").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     near = cut(_sketched(stars, sets, join), "stars")
     best = near.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
-    tried = cut(verified(docs, best, join), "tried")
+    tried = [verified(docs, sets, best, join)]
     # Stars around several first sets of one group of near copies are tied together by the nearest pairs between them.
-    tied = cut(verified(docs, _ties(near, tried, connected(tried.where("linked").select("a", "b"))), join), "tried")
-    links, roots, width, done = [tried, tied], None, 32, [tried, tied]
+    roots = connected(tried[0].where("linked").select("a", "b"))
+    tried.append(verified(docs, sets, _ties(near, tried[0], roots), join))
+    drop(near)
+    found, width = [], FIRST
+    drop(roots)
     while True:
-        edges = links[0]
-        for x in links[1:]:
-            edges = edges.union(x)
-        roots = cut(connected(edges.where("linked").select("a", "b")), "roots")
-        if members is None:
+        done = _all(tried)
+        roots = connected(done.where("linked").select("a", "b"))
+        bounds = _all(found).groupBy("key", "id", "tb").agg(F.max(F.struct("gap", "other")).alias("upto")) if found else None
+        found.append(cut(_between(members, sets, roots, bounds, join, width), "pairs"))
+        if found[-1].isEmpty():
             break
-        every = done[0]
-        for x in done[1:]:
-            every = every.union(x)
-        pairs = cut(_between(members, sets, roots, every.where("not linked").select("a", "b"), join, width), "pairs")
-        if pairs.isEmpty():
+        pairs = found[-1].select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        tried.append(verified(docs, sets, pairs.join(done, ["a", "b"], "left_anti"), join))
+        drop(roots)
+        again = found[-1].where("more").select("key").distinct()
+        if again.isEmpty():  # all candidates of all groups were tried
+            roots = connected(_all(tried).where("linked").select("a", "b"))
             break
-        new = cut(verified(docs, pairs.select("a", "b").distinct(), join), "tried")
-        links.append(new)
-        done.append(new)
         # Sketches do not change and components only grow: a group whose candidates were all tried never has any again.
-        again = pairs.where("more").select("key").distinct()
-        members = None if again.isEmpty() else cut(members.join(again, "key", "left_semi"), "members")
-        width *= 4
-    ids = least.join(roots.withColumnRenamed("root", "top"), "id", "left").select("fa", "fb", "n", F.coalesce("top", "id").alias("component_id"))
-    out = rows.join(ids, ["fa", "fb", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        left = cut(members.join(again, "key", "left_semi"), "members")
+        drop(members)
+        members, width = left, width * GROWTH
+    drop(members, sets, *found, *tried)
+    return rows, roots
+
+
+def components(docs: DataFrame, join: Join = Join(), text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, of every row.
+
+    Needs doc_id and the text column; other columns are not read. Texts that are null or have no word have no set and
+    link with nothing: they are their own component. Repeated doc_ids are rows each, whatever their texts. Rows without
+    a doc_id carry links as others do; component_id is null where no reachable row has a doc_id. No rows: no rows.
+    """
+    rows, roots = classes(docs, join, text)
+    least = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"))
+    least = least.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    tops = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = rows.join(least.join(tops, "root").select("id", "component_id"), "id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _grouped(batches):
+    """Of rows in the order of key and id, the groups of two sets or more: key, id, the set's number in its group."""
+    last_key, last_id, seq, held = None, None, 0, False
+    for batch in batches:
+        key, of = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+        new[0] = key[0] != last_key or of[0] != last_id
+        key, of = key[new], of[new]
+        if not len(key):
+            continue
+        start = np.ones(len(key), bool)
+        start[1:] = key[1:] != key[:-1]
+        carried = key[0] == last_key
+        start[0] = not carried
+        first = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+        number = np.arange(len(key)) - first
+        if carried:
+            same = first == 0
+            number[same & (key == key[0])] += seq + 1
+        inside = number > 0  # a group's first set counts if a second follows; the last row's may follow later
+        inside[:-1] |= ~start[1:]
+        out_key, out_id, out_n = key[inside], of[inside], number[inside]
+        if carried and held:  # the first set of the group that goes on, left behind by the batch before
+            out_key, out_id, out_n = np.append(out_key, last_key), np.append(out_id, last_id), np.append(out_n, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_id), pa.array(out_n)], names=["key", "id", "seq"])
+        last_key, last_id, seq = key[-1], of[-1], int(number[-1])
+        held = seq == 0
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.union(x)
+    return out
 
 
 def _unpack(column: pa.Array) -> list[np.ndarray]:
@@ -262,17 +289,26 @@ def _ties(near: DataFrame, tried: DataFrame, roots: DataFrame) -> DataFrame:
     return own.agg(F.min_by(F.struct("a", "b"), F.struct("gap", "a", "b")).alias("pair")).select("pair.a", "pair.b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
-    """(a, b, linked) of pairs of doc_ids, by their sets. Up to 2 million doc_ids are broadcast to find their texts."""
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """(a, b, linked) of pairs of sets, by all their tokens, written. Up to 2 million hashes of texts are broadcast to find
+    a text of each set."""
     pairs = cut(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    side = F.broadcast(ids) if pairs.limit(1_000_001).count() <= 1_000_000 else ids
+    texts = ids.join(sets.select("id", F.col("t").alias("of")), "id").select("of").distinct()
+    side = F.broadcast(texts) if pairs.limit(1_000_001).count() <= 1_000_000 else texts
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets_of(part.column(1), join.words)], pa.binary())], names=["id", "tokens"])
+        seen: set = set()
+        for part in _slices(batches):
+            own = list(sets_of(part.column(0), join.words))
+            names, once = names_of(own), []
+            if len(seen) > 1 << 14:  # only saves shuffling copies
+                seen.clear()
+            for i, f in enumerate(names.tolist()):
+                if f not in seen:
+                    seen.add(f)
+                    once.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(names[once]), pa.array([own[i].tobytes() for i in once], pa.binary())], names=["id", "tokens"])
 
     def compare(batches):
         for batch in batches:
@@ -282,33 +318,40 @@ def verified(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
                 ok.append(100 * both >= join.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
-    texts = docs.join(side, docs["doc_id"] == side["id"], "left_semi").select("doc_id", "text")
-    # Rows of one doc_id with other texts: one whose set is of this class is as good as another only if they are equal.
-    tokens = cut(texts.mapInArrow(run, "id long, tokens binary").groupBy("id").agg(F.min("tokens").alias("tokens")), "tokens")
+    found = docs.join(side, docs["t"] == side["of"], "left_semi").select("text").mapInArrow(run, "id long, tokens binary")
+    tokens = cut(found.groupBy("id").agg(F.first("tokens").alias("tokens")), "tokens")
     own = lambda k: tokens.select(F.col("id").alias(k), F.col("tokens").alias(f"t_{k}"))
-    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(compare, "a long, b long, linked boolean")
+    out = cut(pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(compare, "a long, b long, linked boolean"), "tried")
+    drop(tokens, pairs)
+    return out
 
 
-def _between(members: DataFrame, sets: DataFrame, roots: DataFrame, failed: DataFrame, join: Join, width: int) -> DataFrame:
-    """Pairs of sets of a key's group that lie in two components, as far as sketches leave them and they haven't failed:
-    for each set in each group up to `width` of the nearest, with the group's key and whether there are more."""
+def _between(members: DataFrame, sets: DataFrame, roots: DataFrame, bounds: DataFrame | None, join: Join, width: int) -> DataFrame:
+    """Pairs (id, other) of sets of a key's group that lie in two components, as far as sketches leave them: for each
+    component but the group's largest, and each block, the `width` nearest that are not tried yet, with whether there are
+    more. bounds: up to which (gap, other) each set's candidates of a block were tried."""
     own = members.join(roots.withColumnRenamed("root", "top"), "id", "left").select("key", "id", "seq", F.coalesce("top", "id").alias("top"))
-    open_ = own.groupBy("key").agg(F.min("top").alias("t0"), F.max("top").alias("t1"), F.max("seq").alias("last")).where("t0 <> t1").select("key", F.floor(F.col("last") / BLOCK).cast("int").alias("last"))
+    tops = own.groupBy("key", "top").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    open_ = tops.groupBy("key").agg(F.max_by("top", F.struct("n", "top")).alias("main"), F.count(F.lit(1)).alias("tops"), blocks(F.max("last") + 1).alias("tbs"), blocks(F.sum("n") - F.max("n")).alias("sbs")).where("tops > 1")
     own = own.join(open_, "key")
-    # A group of up to BLOCK sets is one block; a larger one is dealt into all pairs of its blocks.
-    block = F.floor(F.col("seq") / BLOCK).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("last")), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
-    own = own.select("key", "id", "top", block.alias("block"), F.explode(cells).alias("cell")).select("key", "id", "top", "block", "cell.i", "cell.j")
-    lost = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed"))
-    own = own.join(sets.select("id", "n", "sketch"), "id").join(lost, "id", "left")
-    own = own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # Every set can be found, in its block; those outside the largest component seek, each in all blocks.
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = own.select("key", "id", "top", F.lit(False).alias("seeks"), F.floor(F.col("seq") / BLOCK).cast("int").alias("tb"), upto("sbs").alias("sb"))
+    seek = own.where("top <> main").select("key", "id", "top", F.lit(True).alias("seeks"), upto("tbs").alias("tb"), F.pmod(F.xxhash64("id"), F.col("sbs")).cast("int").alias("sb"))
+    both = there.union(seek)
+    if bounds is None:
+        both = both.withColumn("upto", F.lit(None).cast("struct<gap double, other long>"))
+    else:
+        both = both.join(bounds, ["key", "id", "tb"], "left")
+    both = both.join(sets.select("id", "n", "sketch"), "id").select("key", "tb", "sb", "id", "top", "seeks", "n", "sketch", F.col("upto.gap").alias("gap"), F.col("upto.other").alias("other"))
+    both = both.repartition("key", "tb", "sb").sortWithinPartitions("key", "tb", "sb")
 
     def run(batches):
         group, name = [], None
         for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                at = row["key"], row["i"], row["j"]
+            for row in batch.to_pylist():
+                at = row["key"], row["tb"], row["sb"]
                 if at != name:
                     if group:
                         yield from _cross(group, join, width)
@@ -317,62 +360,65 @@ def _between(members: DataFrame, sets: DataFrame, roots: DataFrame, failed: Data
         if group:
             yield from _cross(group, join, width)
 
-    return own.select("key", "i", "j", "id", "top", "block", "n", "sketch", "failed").mapInArrow(run, "key long, a long, b long, more boolean")
+    return both.mapInArrow(run, "key long, id long, other long, tb int, gap double, more boolean")
 
 
 def _cross(group: list[dict], join: Join, width: int):
-    """The pairs of one block, or of two, that _between() asks for."""
-    tops = np.array([r["top"] for r in group])
-    if (tops == tops[0]).all():
+    """The pairs of one block of a group's sets and some that seek, as _between() asks for them."""
+    there, seek = [r for r in group if not r["seeks"]], [r for r in group if r["seeks"]]
+    if not there or not seek:
         return
-    ids, n, block = (np.array([r[k] for r in group]) for k in ("id", "n", "block"))
-    common = np.unique(tops, return_inverse=True)[1]
-    # The sets outside the largest component meet all others.
-    few = np.flatnonzero(common != np.bincount(common).argmax())
+    ids, n, tops = (np.array([r[k] for r in there]) for k in ("id", "n", "top"))
     sketches: dict[int, list] = {}
-    for k, r in enumerate(group):
+    for k, r in enumerate(there):
         sketches.setdefault(len(r["sketch"]) // 8, []).append(k)
-    blocks = {w: (np.array(at), np.stack([np.frombuffer(group[k]["sketch"], np.uint64) for k in at])) for w, at in sketches.items()}
-    out_a, out_b, more = [], [], False
-    for k in few.tolist():
-        mine = np.frombuffer(group[k]["sketch"], np.uint64)
-        close, gaps = [], []
-        for at, s in blocks.values():
-            ok = (tops[at] != tops[k]) & (100 * np.minimum(n[at], n[k]) >= join.percent * np.maximum(n[at], n[k]))
-            if group[0]["i"] != group[0]["j"]:
-                ok &= block[at] != block[k]
+    blocks = [(np.array(at), np.stack([np.frombuffer(there[k]["sketch"], np.uint64) for k in at])) for at in sketches.values()]
+    found: dict[int, list] = {}
+    for r in seek:
+        mine = np.frombuffer(r["sketch"], np.uint64)
+        for at, s in blocks:
+            ok = (tops[at] != r["top"]) & (100 * np.minimum(n[at], r["n"]) >= join.percent * np.maximum(n[at], r["n"]))
             at, s = at[ok], s[ok]
             d = distances(s, mine)
-            ok = (100 + join.percent) * d <= (100 - join.percent) * (n[at] + n[k])
-            close.append(at[ok])
-            gaps.append(d[ok] / (n[at[ok]] + n[k]))
-        close, gaps = np.concatenate(close), np.concatenate(gaps)
-        if group[k]["failed"]:
-            ok = ~np.isin(ids[close], group[k]["failed"])
-            close, gaps = close[ok], gaps[ok]
-        if len(close) > width:
-            more = True
-            close = close[np.lexsort((ids[close], gaps))[:width]]
-        out_a += np.minimum(ids[close], ids[k]).tolist()
-        out_b += np.maximum(ids[close], ids[k]).tolist()
-    if out_a:
-        yield pa.RecordBatch.from_arrays([pa.array([group[0]["key"]] * len(out_a), pa.int64()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array([more] * len(out_a))], names=["key", "a", "b", "more"])
+            ok = (100 + join.percent) * d <= (100 - join.percent) * (n[at] + r["n"])
+            at, gap = at[ok], d[ok] / (n[at[ok]] + r["n"])
+            if r["gap"] is not None:
+                ok = (gap > r["gap"]) | ((gap == r["gap"]) & (ids[at] > r["other"]))
+                at, gap = at[ok], gap[ok]
+            if len(at) > width:  # no more of one set can be among its component's
+                order = np.lexsort((ids[at], gap))[: width + 1]
+                at, gap = at[order], gap[order]
+            if len(at):
+                found.setdefault(r["top"], []).append((np.full(len(at), r["id"]), ids[at], gap))
+    out = []
+    for parts in found.values():
+        of, other, gap = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((of, other, gap))
+        more = len(order) > width
+        out.append((of[order[:width]], other[order[:width]], gap[order[:width]], np.full(min(width, len(order)), more)))
+    if out:
+        of, other, gap, more = (np.concatenate(x) for x in zip(*out))
+        same = lambda v, kind: pa.array(np.full(len(of), v), kind)
+        yield pa.RecordBatch.from_arrays([same(group[0]["key"], pa.int64()), pa.array(of), pa.array(other), same(group[0]["tb"], pa.int32()), pa.array(gap), pa.array(more)], names=["key", "id", "other", "tb", "gap", "more"])
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """One document of each component, that of the smallest doc_id, in the columns that came in. Of repeated rows of one
-    doc_id the one with the least text stays; all rows without a doc_id stay. The texts themselves are not shuffled but
-    where a doc_id occurs again."""
-    twice = not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    if twice:  # numbers have to stay the same whenever rows are read; else no copy is needed
-        docs = cut(docs.withColumn("jaccard_row", F.monotonically_increasing_id()), "rows")
-    gone = components(docs, join).where("component_id <> doc_id").select("doc_id").distinct()
-    gone = cut(gone, "gone")
-    few = lambda df: F.broadcast(df) if df.limit(2_000_001).count() <= 2_000_000 else df
-    out = docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
-    if not twice:
+    """One document of each component, that of the smallest doc_id, in the columns that came in.
+
+    Rows without a doc_id stay only where no row of their component has one; among rows of equal doc_id the one of the
+    smallest hash of its text stays, and of rows equal in both any one. Texts without a word all stay. The texts
+    themselves are not shuffled, but for those of repeated rows."""
+    rows, roots = classes(docs, join)
+    rows = rows.where("n > 0").join(roots, "id", "left").select("doc_id", "t", F.coalesce("root", "id").alias("root"))
+    rows = rows.groupBy("root", "doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first"), F.count(F.lit(1)).alias("size"))
+    joined = cut(rows.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))).where("not stays or n > 1"), "gone")
+    few = lambda df: F.broadcast(df) if df.limit(1_000_001).count() <= 1_000_000 else df
+    gone, again = joined.where("not stays"), joined.where("stays")
+    same = lambda side: docs["doc_id"].cast("long").eqNullSafe(side["doc_id"]) & (F.xxhash64(docs["text"]) == side["t"])
+    gone, again = (few(x.select("doc_id", "t")) for x in (gone, again))
+    out = docs.join(gone, same(gone), "left_anti")
+    if joined.where("stays").isEmpty():
         return out
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("jaccard_row", F.struct("text", "jaccard_row")).alias("keep")).where("n > 1 and doc_id is not null")
-    again = cut(again.select(F.col("doc_id").alias("of"), "keep"), "again")
-    out = out.join(few(again), F.col("doc_id") == F.col("of"), "left").where("keep is null or keep = jaccard_row")
-    return out.drop("jaccard_row", "of", "keep")
+    once = docs.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, same(again), "left_anti").unionByName(once)

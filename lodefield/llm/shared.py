@@ -9,28 +9,40 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but these six characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Python workers give back what a batch took as soon as it is freed, rather than keep it for the next stage.
+WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "262144"}
+#: Rows of an Arrow batch, where the session has not been told any: texts can be long.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package wherever the driver was started."""
+    """Lets Python workers import this package wherever the driver was started, and keeps their batches small."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
+    for name, value in WORKER.items():
+        env.setdefault(name, value)
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2048")
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the cluster names none."""
+    """The folder that the driver and all executors see. Where the session names none, a temporary one on a local master;
+    on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="lodefield-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodefield-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
@@ -62,6 +74,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def packed(docs: DataFrame, name: str, without: tuple[str, ...] = ()) -> Column:
+    """All columns of docs but some as one struct, so that columns of any name can stand beside those of an operator."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in without)).alias(name)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
     x = x.astype(np.uint64, copy=True)
@@ -102,33 +119,38 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
     return own[np.asarray(coded.indices)]
 
 
-def connected(edges: DataFrame, rounds: int = 64, few: int = 200_000) -> DataFrame:
-    """(id, root) of every id in edges (a, b): root is the smallest id reachable. Each round contracts every task's
-    edges to stars, then lets each id adopt the smallest neighbour (large and small stars), written between rounds."""
-    spark = ready(edges.sparkSession)
+def connected(edges: DataFrame, few: int = 200_000) -> DataFrame:
+    """(id, root) of every id in edges (a, b), written: root is the smallest id reachable. Each round contracts every
+    task's edges to stars, then lets each id adopt the smallest neighbour (large and small stars), written between rounds,
+    until all that is left are stars around roots; 100 rounds without that are an error."""
+    ready(edges.sparkSession)
     now = cut(edges.select("a", "b").mapInArrow(_stars, "a long, b long"), "links")
     if now.limit(few + 1).count() <= few:  # that many links fit in one task
-        stars = now.coalesce(1).mapInArrow(lambda it: _stars(_whole(it)), "a long, b long")
-        return stars.select(F.col("b").alias("id"), F.col("a").alias("root")).union(stars.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
-    size = None
-    for _ in range(rounds):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = now.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        # Every edge (x, y), x the root it has so far: y's neighbours and y itself hang from the least id near y.
-        moved = (
-            large.join(least.withColumnRenamed("a", "y"), "y").select(F.col("x").alias("a"), F.col("m").alias("b"))
-            .union(least.select("a", F.col("m").alias("b")))
-            .where("a != b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).select("a", "b")
-        )
-        new = cut(moved.mapInArrow(_stars, "a long, b long").distinct(), "links")
-        got = new.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.countDistinct("b")).first()
+        new = cut(now.coalesce(1).mapInArrow(lambda it: _stars(_whole(it)), "a long, b long"), "links")
         drop(now)
         now = new
-        if got == size and got[0] == got[2]:
-            break
-        size = got
-    return now.select(F.col("b").alias("id"), F.col("a").alias("root")).union(now.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
+    else:
+        for _ in range(100):
+            both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = now.select(F.col("a").alias("x"), F.col("b").alias("y"))
+            # Every edge (x, y), x the root it has so far: y's neighbours and y itself hang from the least id near y.
+            moved = (
+                large.join(least.withColumnRenamed("a", "y"), "y").select(F.col("x").alias("a"), F.col("m").alias("b"))
+                .union(least.select("a", F.col("m").alias("b")))
+                .where("a != b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).select("a", "b")
+            )
+            new = cut(moved.mapInArrow(_stars, "a long, b long").distinct(), "links")
+            drop(now)
+            now = new
+            n, kids = now.agg(F.count(F.lit(1)), F.countDistinct("b")).first()
+            if n == kids and now.select("a").distinct().join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+                break
+        else:
+            raise RuntimeError("components were not found within 100 rounds")
+    out = cut(now.select(F.col("b").alias("id"), F.col("a").alias("root")).union(now.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct()), "roots")
+    drop(now)
+    return out
 
 
 def _whole(batches):
