@@ -11,34 +11,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from .shared import cut
+
+#: Turn numbers in a block that a window is over; turns in a rendered row.
+BLOCK, SEGMENT = 4096, 4096
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, block, turn, role, text) in light form: conv_id, block, pos, n, x, y for each turn; n is the number of
-    turns of the conversation, x and y the rolling hashes up to the turn."""
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("long")
+    """Each turn's conv_id, pos, n, role and text, x and y: pos counts from 1, n is the conversation's number of turns, x and
+    y are the rolling hashes up to the turn. Turns stand in the order of turn, role and text."""
     own = lambda seed: F.xxhash64(F.lit(seed), F.col("role").isNull(), F.col("text").isNull(), F.col("role"), F.col("text"))
-    rows = turns.select("conv_id", block.alias("block"), "turn", own(1).alias("a"), own(2).alias("b"))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "a", "b")
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("long")
+    order = ["turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), "a"]
+    rows = turns.select("conv_id", block.alias("block"), "turn", "role", "text", own(1).alias("a"), own(2).alias("b"))
+    inside = Window.partitionBy("conv_id", "block").orderBy(*order)
     rows = rows.withColumn("nth", F.row_number().over(inside))
-
+    # How many turns stand before a block, and in all: a row for each block.
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = turns.groupBy("conv_id", block.alias("block")).agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.select("conv_id", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy("conv_id")).alias("n"))
-    same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"]) & (a["block"] == b["block"])
-    rows = rows.join(sizes, same(rows, sizes)).select(rows["conv_id"], rows["block"], "turn", (F.col("start") + F.col("nth")).alias("pos"), "n", "a", "b")
-    rows = rows.withColumn("x", F.xxhash64("pos", "a")).withColumn("y", F.xxhash64("pos", "b"))
+    sizes = sizes.select(F.col("conv_id").alias("c"), F.col("block").alias("k"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy("conv_id")).alias("n"))
+    rows = rows.join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("k")))
+    rows = rows.withColumn("pos", F.col("start") + F.col("nth"))
     upto = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = rows.select("conv_id", "block", "pos", "n", F.bit_xor("x").over(upto).alias("x"), F.bit_xor("y").over(upto).alias("y"))
-    sums = rows.groupBy("conv_id", "block").agg(F.bit_xor("x").alias("bx"), F.bit_xor("y").alias("by"))
-    sums = sums.select("conv_id", "block", F.coalesce(F.bit_xor("bx").over(before), F.lit(0)).alias("bx"), F.coalesce(F.bit_xor("by").over(before), F.lit(0)).alias("by"))
-    return rolled.join(sums, same(rolled, sums)).select(rolled["conv_id"], rolled["block"], "pos", "n", F.col("x").bitwiseXOR(F.col("bx")).alias("x"), F.col("y").bitwiseXOR(F.col("by")).alias("y"))
+    rolled = rows.select("conv_id", "block", "pos", "n", "role", "text", F.bit_xor(F.xxhash64("pos", "a")).over(upto).alias("x"), F.bit_xor(F.xxhash64("pos", "b")).over(upto).alias("y"))
+    return rolled
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, n_copies) of the conversations that no longer one begins with; n_copies counts equal ones."""
-    rows = prefixes(turns)
+def ordered(turns: DataFrame) -> DataFrame:
+    """prefixes(), written, with hashes that go on over a conversation's blocks."""
+    rows = cut(prefixes(turns), "turns")
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("conv_id", "block").agg(F.max_by("x", "pos").alias("bx"), F.max_by("y", "pos").alias("by"))
+    sums = ends.select(F.col("conv_id").alias("c"), F.col("block").alias("k"), F.coalesce(F.bit_xor("bx").over(before), F.lit(0)).alias("bx"), F.coalesce(F.bit_xor("by").over(before), F.lit(0)).alias("by"))
+    out = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("k")))
+    return out.select("conv_id", "pos", "n", "role", "text", F.col("x").bitwiseXOR(F.col("bx")).alias("x"), F.col("y").bitwiseXOR(F.col("by")).alias("y"))
+
+
+def maximal(rows: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, n_copies) of the conversations of ordered() that no longer one begins with; n_copies counts equal
+    ones."""
     whole = rows.where("pos = n").groupBy("n", "x", "y").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
     inner = rows.where("pos < n").select(F.col("pos").alias("n"), "x", "y").distinct()
     return whole.join(inner, ["n", "x", "y"], "left_anti").select("conv_id", F.col("n").cast("long").alias("n_turns"), "n_copies")
@@ -47,15 +58,16 @@ def maximal(turns: DataFrame) -> DataFrame:
 def render(turns: DataFrame) -> DataFrame:
     """The maximal conversations' texts: conv_id, segment, n_turns, n_copies, text.
 
-    Needs conv_id, turn, role and text. Turns stand in the order of turn, and of role and text where it is equal; a null
-    turn comes first, a null role or text is rendered as empty but differs from an empty one. A conversation's segment
-    holds the turns of 4096 turn numbers (nulls: -1), so most have segment 0 alone. A null conv_id is a conversation too,
-    unless an equal one has an id.
+    Needs conv_id, turn, role and text; other columns are not read. Turns stand in the order of turn, and of role and text
+    where it is equal; a null turn comes first, a null role or text is rendered as empty but differs from an empty one.
+    A row holds 4096 turns at most, counted from the first whatever their numbers, so that a conversation of any length
+    can be rendered; up to that length it is one row, of segment 0. A null conv_id is a conversation too, unless an equal
+    one has an id. No rows: no rows.
     """
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("long")
-    kept = maximal(turns).withColumnRenamed("conv_id", "of")
-    rows = turns.select("conv_id", block.alias("segment"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    rows = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("of")))
-    rows = rows.groupBy("conv_id", "segment", "n_turns", "n_copies").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    text = F.array_join(F.transform("t", lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n<|end|>"))), "\n")
-    return rows.select("conv_id", "segment", "n_turns", "n_copies", text.alias("text"))
+    rows = ordered(turns)
+    kept = maximal(rows).withColumnRenamed("conv_id", "of")
+    segment = F.floor((F.col("pos") - 1) / SEGMENT).cast("long")
+    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>"))
+    own = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", segment.alias("segment"), "n_turns", "n_copies", F.struct("pos", line.alias("line")).alias("t"))
+    own = own.groupBy("conv_id", "segment", "n_turns", "n_copies").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return own.select("conv_id", "segment", "n_turns", "n_copies", F.array_join(F.transform("t", lambda t: t["line"]), "\n").alias("text"))

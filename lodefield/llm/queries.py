@@ -118,8 +118,9 @@ c as (select conv_id, count(*) as n, list(md5(own) order by turn, role, text) as
 p as (select conv_id, n, unnest(range(1, n + 1)) as k, owns from c),
 q as (select conv_id, n, k, md5(array_to_string(list_slice(owns, 1, k), '')) as pre from p),
 whole as (select n, pre, min(conv_id) as conv_id, count(*) as n_copies from q where k = n group by n, pre),
-kept as (select * from whole where not exists (select 1 from q where q.k < q.n and q.k = whole.n and q.pre = whole.pre))
-select kept.conv_id, cast(floor(t.turn / 4096) as bigint) as segment, cast(kept.n as bigint) as n_turns, kept.n_copies,
-  string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>', chr(10) order by turn, role, text) as text
-from kept join t on t.conv_id = kept.conv_id group by kept.conv_id, cast(floor(t.turn / 4096) as bigint), kept.n, kept.n_copies""",
+kept as (select * from whole where not exists (select 1 from q where q.k < q.n and q.k = whole.n and q.pre = whole.pre)),
+pos as (select *, row_number() over (partition by conv_id order by turn, role, text) - 1 as nth from t)
+select kept.conv_id, cast(floor(nth / 4096) as bigint) as segment, cast(kept.n as bigint) as n_turns, kept.n_copies,
+  string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>', chr(10) order by nth) as text
+from kept join pos on pos.conv_id = kept.conv_id group by kept.conv_id, cast(floor(nth / 4096) as bigint), kept.n, kept.n_copies""",
 }
