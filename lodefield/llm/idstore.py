@@ -122,7 +122,7 @@ def write_store(docs: DataFrame, to: str, path: str, end_id: int = 2) -> None:
 
 
 def chunks(spark: SparkSession, at: str) -> DataFrame:
-    return spark.read.schema("digest binary, size long, payload binary").parquet(f"{at}/new/kind=chunks")
+    return spark.read.schema("digest binary, size long, payload binary, kind string").parquet(f"{at}/new").where("kind = 'chunks'").drop("kind")
 
 
 def numbered(spark: SparkSession, at: str) -> DataFrame:
