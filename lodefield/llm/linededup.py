@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import packed
+
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
@@ -23,22 +25,41 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1, least
     return both.where(F.col("on") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
+def _cleaned(docs: DataFrame, host: str, ratio: float, least_pages: int, most_hosts: int, without: tuple[str, ...]) -> DataFrame:
+    """dedup_row (the document's other columns), dedup_text, n_lines and n_dropped."""
+    lists = boilerplate(docs, host, ratio, least_pages).withColumnRenamed("host", "dedup_host").withColumnRenamed("lines", "dedup_lines")
+    side = F.broadcast(lists) if lists.limit(most_hosts + 1).count() <= most_hosts else lists
+    own = docs.select(packed(docs, "dedup_row", without), F.col(host).alias("dedup_of"), F.col("text").alias("dedup_in"))
+    rows = own.join(side, F.col("dedup_of").eqNullSafe(F.col("dedup_host")), "left")
+    text, has = F.col("dedup_in"), F.col("dedup_lines").isNotNull() & F.col("dedup_in").isNotNull()
+    goes = lambda x: F.array_contains(F.col("dedup_lines"), F.xxhash64(x)) & x.rlike(r"[^\x20\x09-\x0D]")
+    kept = F.when(has, F.array_join(F.filter(_lines(text), lambda x: ~goes(x)), "\n")).otherwise(text)
+    size = F.when(text.isNull(), F.lit(0)).otherwise(F.size(_lines(text))).cast("long")
+    dropped = F.when(has, F.size(F.filter(_lines(text), goes))).otherwise(F.lit(0)).cast("long")
+    return rows.select("dedup_row", kept.alias("dedup_text"), size.alias("n_lines"), dropped.alias("n_dropped"))
+
+
 def clean(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages: int = 5, most_hosts: int = 10_000) -> DataFrame:
     """docs without boilerplate lines, with n_lines and n_dropped (columns of these names are replaced).
 
-    Lines are what line breaks part. A null text stays null and has no lines; a text may become empty. Lists of lines are
-    broadcast up to most_hosts hosts, beyond that Spark chooses the join.
+    Lines are what line breaks part. A null text stays null and has no lines; a text may become empty. Repeated rows are
+    pages each. Lists of lines are broadcast up to most_hosts hosts, beyond that Spark chooses the join. No rows: no rows.
     """
-    lists = boilerplate(docs, host, ratio, least_pages).withColumnRenamed("host", "dedup_host").withColumnRenamed("lines", "dedup_lines")
-    side = F.broadcast(lists) if lists.limit(most_hosts + 1).count() <= most_hosts else lists
-    rows = docs.join(side, F.col(host).eqNullSafe(F.col("dedup_host")), "left")
-    kept = F.when(F.col("dedup_lines").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col("dedup_lines"), F.xxhash64(x)) | ~x.rlike(r"[^\x20\x09-\x0D]")), "\n")
-    )
-    n = lambda text: F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long")
-    size = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n(F.col("text")))
-    dropped = F.when(F.col("text").isNull() | F.col("dedup_lines").isNull(), F.lit(0).cast("long")).otherwise(
-        F.size(F.filter(_lines(F.col("text")), lambda x: F.array_contains(F.col("dedup_lines"), F.xxhash64(x)) & x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    )
-    rows = rows.withColumn("dedup_text", kept).withColumn("n_lines", size).withColumn("n_dropped", dropped)
-    return rows.withColumn("text", F.col("dedup_text")).drop("dedup_text", "dedup_host", "dedup_lines")
+    counts = ("n_lines", "n_dropped")
+    rows = _cleaned(docs, host, ratio, least_pages, most_hosts, ("text", *counts))
+    own = (F.col("dedup_text").alias("text") if c == "text" else F.col(f"dedup_row.`{c}`").alias(c) for c in docs.columns if c not in counts)
+    return rows.select(*own, *counts)
+
+
+def clean_texts(docs: DataFrame, host: str = "source", length: str = "n_chars", **more) -> DataFrame:
+    """docs without boilerplate lines, in the columns that came in, whatever their names; where lines went the column
+    `length`, if there is one, has the text's new length."""
+    rows = _cleaned(docs, host, more.get("ratio", 0.1), more.get("least_pages", 5), more.get("most_hosts", 10_000), ("text",))
+
+    def column(c: str) -> Column:
+        old = F.col("dedup_text") if c == "text" else F.col(f"dedup_row.`{c}`")
+        if c == length:
+            old = F.when(F.col("n_dropped") > 0, F.length("dedup_text").cast(dict(docs.dtypes)[c])).otherwise(old)
+        return old.alias(c)
+
+    return rows.select(*(column(c) for c in docs.columns))

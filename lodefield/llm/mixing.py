@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, cut
+from .shared import SPACE, cut, packed
 
 
 def counted(docs: DataFrame, source: str = "source") -> DataFrame:
@@ -66,11 +66,13 @@ def exponent(sources: DataFrame, entropy: float, repeats: float, budget_ratio: f
     return {"power": power, "z": z, "total": total, "budget": budget(power, z), "sources": n, "entropy": h}
 
 
-def mixed_in(docs: DataFrame, source: str = "source", entropy: float = 0.95, repeats: float = 4.0, budget_ratio: float = 1.0, least_once: bool = False, seed: int = 7, block_docs: int = 256, most_blocks: int = 32_768) -> DataFrame:
+def mixed_in(docs: DataFrame, source: str = "source", entropy: float = 0.95, repeats: float = 4.0, budget_ratio: float = 1.0, least_once: bool = False, seed: int = 7, block_docs: int = 256, most_blocks: int = 32_768, marks: bool = True) -> DataFrame:
     """docs with each row as often as the mix takes it, and mix_epoch, mix_block, mix_at (columns of these names are
-    replaced): sorted by epoch, block and mix_at, each source's rows stand in its permutation.
+    replaced): sorted by epoch, block and mix_at, each source's rows stand in its permutation. Without marks the columns
+    are those that came in, whatever their names.
 
     Needs doc_id, text and the source column; a null source is a source too. Rows of equal source and doc_id go together.
+    Sources without a word are not taken. No rows: no rows.
     A source's documents are dealt into blocks by hash; whole epochs take all blocks, and the rest of a source's budget
     takes whole blocks in their permuted order and then documents of the next block as long as they start within it.
     """
@@ -102,13 +104,14 @@ def mixed_in(docs: DataFrame, source: str = "source", entropy: float = 0.95, rep
     inside = inside.withColumn("start", F.sum("n").over(order) - F.col("n")).where(F.col("start") < F.col("left"))
     inside = cut(inside.select(F.col("source").alias("in_source"), F.col("doc_id").alias("in_doc"), F.lit(1).alias("in_edge")), "mix")
     blocks = sums.select(F.col("source").alias("of"), F.col("block").alias("b"), "mix_block", "whole", "state")
-    own = docs.select(*(c for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_at")))
+    names = ("mix_epoch", "mix_block", "mix_at") if marks else ()
+    own = docs.select(packed(docs, "mix_row", names), F.col(source).alias("mix_source"), F.col("doc_id").alias("mix_doc"))
     n_blocks = plan.select(F.col("of").alias("p_of"), F.col("blocks").alias("mix_blocks"))
-    out = own.join(few(n_blocks, 100_000), F.col(source).eqNullSafe(F.col("p_of")))
-    b = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "doc_id"), F.col("mix_blocks"))
-    out = out.withColumn("mix_b", b).join(few(blocks, 2 * most_blocks), F.col(source).eqNullSafe(F.col("of")) & (F.col("mix_b") == F.col("b")))
-    out = out.join(few(inside, 200_000), F.col(source).eqNullSafe(F.col("in_source")) & F.col("doc_id").eqNullSafe(F.col("in_doc")), "left")
+    out = own.join(few(n_blocks, 100_000), F.col("mix_source").eqNullSafe(F.col("p_of")))
+    b = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "mix_doc"), F.col("mix_blocks"))
+    out = out.withColumn("mix_b", b).join(few(blocks, 2 * most_blocks), F.col("mix_source").eqNullSafe(F.col("of")) & (F.col("mix_b") == F.col("b")))
+    out = out.join(few(inside, 200_000), F.col("mix_source").eqNullSafe(F.col("in_source")) & F.col("mix_doc").eqNullSafe(F.col("in_doc")), "left")
     times = (F.col("whole") + (F.col("state") == 2).cast("int") + ((F.col("state") == 1) & F.col("in_edge").isNotNull()).cast("int")).cast("int")
     out = out.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1)))
-    out = out.withColumn("mix_at", F.xxhash64(F.lit(seed), "doc_id"))
-    return out.select(*own.columns, "mix_epoch", "mix_block", "mix_at")
+    out = out.withColumn("mix_at", F.xxhash64(F.lit(seed), "mix_doc"))
+    return out.select("mix_row.*", *names)

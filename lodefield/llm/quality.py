@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, cut
+from .shared import SPACE, cut, packed
 
 
 @dataclass(frozen=True)
@@ -67,6 +67,7 @@ def measured(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def flagged(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Measured rows with base_failed and soft_failed. No rows: no rows; a text without words has base_failed true."""
     n = F.col("n_words")
     soft = [
         (F.col("word_chars") < rules.mean_low * n) | (F.col("word_chars") > rules.mean_high * n),
@@ -92,7 +93,8 @@ def hosts(df: DataFrame, host: str, rules: Rules = Rules()) -> DataFrame:
 
 
 def judged(df: DataFrame, host: str, rules: Rules = Rules(), most_hosts: int = 100_000) -> DataFrame:
-    """Flagged rows with host_docs, host_rate and kept. Verdicts are broadcast up to most_hosts hosts."""
+    """Flagged rows with host_docs, host_rate and kept (columns of these names must not be there). Verdicts are broadcast
+    up to most_hosts hosts. A null host is a host too; a host of one document is judged by the prior for the most part."""
     verdicts = hosts(df, host, rules)
     side = F.broadcast(verdicts) if verdicts.limit(most_hosts + 1).count() <= most_hosts else verdicts
     soft = F.col("soft_failed")
@@ -109,6 +111,8 @@ def rate_documents(docs: DataFrame, host: str = "source", rules: Rules = Rules()
 
 
 def keep_good(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """The documents that are kept, in the columns that came in."""
-    rows = cut(measured(docs, rules), "quality")
-    return judged(flagged(rows, rules), host, rules).where("kept").select(*docs.columns)
+    """The documents that are kept, in the columns that came in, whatever their names. Needs text and the host column.
+    A null or empty text is rejected, repeated rows are judged each. No rows: no rows."""
+    own = docs.select(packed(docs, "quality_row"), F.col(host).alias("quality_of"), F.col("text").alias("text"))
+    rows = cut(measured(own, rules).drop("text"), "quality")
+    return judged(flagged(rows, rules), "quality_of", rules).where("kept").select("quality_row.*")
