@@ -241,7 +241,7 @@ def test_vectors(spark):
     rows = [(i, [float(np.float32(v)) for v in x[i]], int(i % 2 if i < 100 else 0)) for i in range(300)]
     rows += [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] * 16, 0), (303, [None] * 16, 1), (304, rows[5][1], None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = vectors.near_vectors(df, per_shard=64).toPandas().sort_values("vec_id", ignore_index=True)
+    got = vectors.near_vectors(df, per_cell=64).toPandas().sort_values("vec_id", ignore_index=True)
     y = np.array([r[1] for r in rows[:300]], np.float32).astype(float)
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     label = np.array([r[2] for r in rows[:300]])
@@ -265,7 +265,7 @@ def test_audit_counts_every_query_alike(spark):
 
 def test_audit_at_the_last_overlap(spark):
     df = spark.createDataFrame([(i, [1.0, 0.001 * i], 0) for i in range(20)], "vec_id long, embedding array<float>, label int")
-    with pytest.warns(RuntimeWarning, match="overlap 24"):
+    with pytest.raises(RuntimeError, match="24 cells"):
         vectors.near_vectors(df, overlap=24, recall=1.1)
 
 
