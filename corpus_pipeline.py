@@ -23,14 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go from its documents' texts; n_chars follows."""
     ready(spark)
-    out = linededup.clean(docs).withColumn("n_chars", _length())
-    return out.select(*docs.columns)
-
-
-def _length():
-    from pyspark.sql import functions as F
-
-    return F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return linededup.clean_texts(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the weights of the mix, its budget such that every source is taken once at least: rows are repeated,
     none is lost."""
     ready(spark)
-    return mixing.mixed_in(docs, entropy=0.9, repeats=4.0, least_once=True).select(*docs.columns)
+    return mixing.mixed_in(docs, entropy=0.9, repeats=4.0, least_once=True, marks=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
