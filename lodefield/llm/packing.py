@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .shared import ready
-from .tokens import encode
+from .tokens import Known, encode
 
 
 @dataclass(frozen=True)
@@ -106,11 +106,11 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
 
     def run(batches):
         at = 0
-        base = TaskContext.get().partitionId() << 40
+        base, known = TaskContext.get().partitionId() << 40, Known()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                ids, size = encode(part.column(1), path)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                ids, size = encode(part.column(1), path, known)
                 ends = np.cumsum(size)
                 ids = np.insert(ids, ends, np.uint32(end_id))
                 size = size + 1

@@ -17,7 +17,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 #: Python workers give back what a batch took as soon as it is freed, rather than keep it for the next stage.
-WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "262144"}
+WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_MMAP_THRESHOLD_": "4194304"}
 #: Rows of an Arrow batch, where the session has not been told any: texts can be long.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

@@ -1,4 +1,5 @@
-"""Exact ids of whole texts by the tokenizers library, fast: each batch's distinct pieces are encoded once.
+"""Exact ids of whole texts by the tokenizers library, fast: a task's distinct pieces are encoded once, as far as it can
+remember them.
 
 A byte-level BPE splits at a single space or line break between two other characters, whatever stands around it.
 Texts in which all white space is of that kind are cut there; the batch's distinct pieces go to the library, many in one
@@ -83,8 +84,33 @@ def _pieces(own, line: int, lengths: np.ndarray, words: pa.Array) -> tuple[np.nd
     return ids, starts, sizes
 
 
-def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts, one text after the other, and how many each has. A null text has none."""
+class Known:
+    """The pieces that a task has met, and their ids: what is met again in a later batch isn't encoded again. It begins
+    anew beyond `most` pieces."""
+
+    def __init__(self, most: int = 1 << 19):
+        self.most, self.words = most, None
+
+    def ids_of(self, own, line: int, lengths: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _pieces()."""
+        if self.words is None or len(self.words) + len(words) > self.most:
+            self.words, (self.ids, self.first, self.size) = words, _pieces(own, line, lengths, words)
+            return self.ids, self.first, self.size
+        at = pc.index_in(words, value_set=self.words)
+        new = np.asarray(at.is_null())
+        ids, first, size = _pieces(own, line, lengths, words.filter(pa.array(new)))
+        where = np.empty(len(words), np.int64)
+        where[~new] = np.asarray(at.drop_null())
+        where[new] = len(self.words) + np.arange(int(new.sum()))
+        self.words = pa.concat_arrays([self.words, words.filter(pa.array(new))])
+        self.first, self.size = np.concatenate((self.first, first + len(self.ids))), np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, ids))
+        return self.ids, self.first[where], self.size[where]
+
+
+def encode(texts: pa.Array, path: str, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts, one text after the other, and how many each has. A null text has none. known: the pieces of
+    the task's texts so far."""
     own, line, lengths = tokenizer(path)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if isinstance(texts, pa.ChunkedArray):
@@ -107,7 +133,8 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(pc.replace_substring_regex(coded.dictionary, r"^( ?\pL+)([^\s\pL\pN]+)$", "\\1\x1e\\2"), "\x1e")
         words = parts.flatten().dictionary_encode()
         breaks = pc.index(words.dictionary, pa.scalar("\x1f", pa.large_string())).as_py()
-        ids, first, size = _pieces(own, line, lengths, words.dictionary)
+        ids, first, size = known.ids_of(own, line, lengths, words.dictionary) if known else _pieces(own, line, lengths, words.dictionary)
+        first, size = first.copy(), size.copy()
         if breaks >= 0:  # it stands for one line break
             ids = np.append(ids, np.uint32(line))
             first[breaks], size[breaks] = len(ids) - 1, 1
