@@ -1,191 +1,6 @@
-"""The queries of the library's operators and their SQL."""
+"""All queries of the library's operators and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions import text as T
-from ..operators import retrieval as R
-
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations benchmark".split()
-TERMS = ["the", "tion", "her", "and"]
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def plain(name: str, sql: str, oracle: str | None = None) -> None:
-    """A query that both engines take as SQL; oracle is DuckDB's wording where it differs."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        import re
-
-        used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
-        return spark.sql(re.sub(r"\b(" + "|".join(used) + r")\b(?=\s|$|\)|,)", r"{\1}", sql), **{t: table(spark, sf_dir, t) for t in used})
-
-    QUERIES[name], ORACLES[name] = run, oracle or sql
-
-
-_TOKENS_SQL = rf"""
-with raw as (select doc_id, unnest(regexp_extract_all(text, '{T.TOKEN}')) as t from documents),
-low as (select doc_id, regexp_replace(regexp_replace(lower(t), '^[./:+-]+', ''), '[./:+-]+$', '') as t from raw),
-tok as (select doc_id, t from low where t <> ''
-  union all select doc_id, p as t from (select doc_id, unnest(string_split(t, '-')) as p from low where contains(t, '-')) where p <> '')"""
-
-
-def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = R.bm25(table(spark, sf_dir, "documents"), TERMS)
-    return got.select("doc_id", F.round("score", 6).alias("score"))
-
-
-_BM25 = (
-    _TOKENS_SQL
-    + """,
-len as (select d.doc_id, count(t) as len from documents d left join tok on d.doc_id = tok.doc_id group by d.doc_id),
-st as (select count(*) as n, avg(len) as mean from len),
-tf as (select doc_id, t, count(*) as tf from tok where t in ('the', 'tion', 'her', 'and') group by doc_id, t),
-df as (select t, count(*) as df from tf group by t),
-bm as (select tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score
-  from tf join df on tf.t = df.t join len on tf.doc_id = len.doc_id, st group by tf.doc_id)"""
-)
-QUERIES["bm25_scores"] = bm25_scores
-ORACLES["bm25_scores"] = _BM25 + " select doc_id, round(score, 6) as score from bm"
-
-
-def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term"))
-    own = rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return own.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
-
-
-QUERIES["term_stats"] = term_stats
-ORACLES["term_stats"] = _TOKENS_SQL + " select t as term, count(distinct doc_id) as df, cast(count(*) as bigint) as tf from tok group by t"
-
-
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
-    return e.where("vec_id <> 0").join(F.broadcast(q)).select("vec_id", R.dot(F.col("embedding"), F.col("q")).alias("score")).where("score > 0")
-
-
-def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense(spark, sf_dir).orderBy(F.desc("score"), "vec_id").limit(50).select("vec_id", F.round("score", 6).alias("score"))
-
-
-_DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: cast(z[1] as double) * cast(z[2] as double)))"
-_DENSE = f"select e.vec_id, {_DOT} as score from embeddings e, embeddings q where q.vec_id = 0 and e.vec_id <> 0"
-QUERIES["dense_topk"] = dense_topk
-ORACLES["dense_topk"] = f"select vec_id, round(score, 6) as score from ({_DENSE}) where score > 0 order by score desc, vec_id limit 50"
-
-
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical = R.ranked(R.bm25(table(spark, sf_dir, "documents"), TERMS).withColumn("score", F.round("score", 9)), "lexical", 1.0, "doc_id", 100)
-    dense = R.ranked(_dense(spark, sf_dir).withColumn("score", F.round("score", 9)), "dense", 1.0, "vec_id", 100)
-    fused = R.rrf(lexical.unionByName(dense)).withColumn("score", F.round("score", 9))
-    return fused.orderBy(F.desc("score"), "id").limit(24)
-
-
-QUERIES["hybrid_search"] = hybrid_search
-ORACLES["hybrid_search"] = (
-    _BM25
-    + f""",
-lex as (select doc_id as id, row_number() over (order by round(score, 9) desc, doc_id) as rank from bm qualify rank <= 100),
-den as (select vec_id as id, row_number() over (order by round(score, 9) desc, vec_id) as rank from ({_DENSE}) where score > 0 qualify rank <= 100)
-select id, round(sum(1.0 / (60.0 + rank)), 9) as score from (select * from lex union all select * from den) group by id order by score desc, id limit 24"""
-)
-
-# Sources and predicates.
-plain("readable_evidence", "select doc_id, sha2(text, 256) as cid, source, greatest(1, ceil(length(text) / 4)) as approx_tokens from documents where text is not null",
-      "select doc_id, sha256(text) as cid, source, cast(greatest(1, ceil(length(text) / 4)) as bigint) as approx_tokens from documents where text is not null")
-plain("trust_tiers", "select d.doc_id, case when l.toxic = 1 then 5 when l.quality = 1 then 1 when l.quality = 0 then 3 else 2 end as tier, "
-      "round(1 - case when l.toxic = 1 then 5 when l.quality = 1 then 1 when l.quality = 0 then 3 else 2 end / 5.0D, 6) as weight from documents d left join labels l on d.doc_id = l.doc_id",
-      "select d.doc_id, case when l.toxic = 1 then 5 when l.quality = 1 then 1 when l.quality = 0 then 3 else 2 end as tier, "
-      "round(1 - case when l.toxic = 1 then 5 when l.quality = 1 then 1 when l.quality = 0 then 3 else 2 end / cast(5 as double), 6) as weight from documents d left join labels l on d.doc_id = l.doc_id")
-plain("access_decision", "select doc_id, case when toxic = 1 then 'trust' when quality is null then 'unlabelled' when quality = 0 then 'sensitivity' else 'allowed' end as reason, coalesce(quality = 1 and toxic = 0, false) as allowed from (select d.doc_id, l.quality, l.toxic from documents d left join labels l on d.doc_id = l.doc_id) x")
-plain("query_router", "select conv_id, turn, case when length(text) - length(replace(text, ' ', '')) >= 11 then 'deep' else 'fast' end as mode from conversations where role = 'user'")
-plain("email_scan", r"select doc_id, regexp_count(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]+') as emails from documents",
-      r"select doc_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]+')) as int) as emails from documents")
-
-# Temporal facts over orders.
-_FACTS = "select o_orderkey, o_custkey, o_orderstatus, o_orderdate as valid_from, lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as valid_to from orders"
-plain("supersession", _FACTS)
-plain("as_of", f"select o_custkey, o_orderkey, o_orderstatus, valid_from from ({_FACTS}) f where valid_from <= timestamp '1995-06-17 00:00:00' and (valid_to is null or timestamp '1995-06-17 00:00:00' < valid_to)")
-plain("trajectory_deltas", "select * from (select o_orderkey, o_custkey, datediff(cast(o_orderdate as date), cast(lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as date)) as days_since from orders) x where days_since is not null",
-      "select * from (select o_orderkey, o_custkey, cast(date_diff('day', cast(lag(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as date), cast(o_orderdate as date)) as int) as days_since from orders) x where days_since is not null")
-plain("contested", "select o_custkey, cast(o_orderdate as date) as day, count(distinct o_orderstatus) as hypotheses from orders group by o_custkey, cast(o_orderdate as date) having count(distinct o_orderstatus) > 1")
-_COALESCE = ("with s as (select o_custkey, o_orderdate as f, o_orderdate + interval 30 day as u from orders), "
-             "m as (select *, max(u) over (partition by o_custkey order by f, u rows between unbounded preceding and 1 preceding) as seen from s), "
-             "g as (select *, sum(case when seen is null or f > seen then 1 else 0 end) over (partition by o_custkey order by f, u rows between unbounded preceding and current row) as island from m) "
-             "select o_custkey, cast(island as bigint) as island, min(f) as valid_from, max(u) as valid_to, count(*) as n from g group by o_custkey, island")
-plain("interval_coalesce", _COALESCE)
-
-# Aggregates.
-plain("corroboration", "select l_partkey, least(sum(w), 5.0D) / 5.0D as score, count(*) as roots from (select l_partkey, l_suppkey, max(case when l_returnflag = 'R' then 0.4D else 0.8D end) as w from lineitem group by l_partkey, l_suppkey) x group by l_partkey".replace("least(sum(w), 5.0D) / 5.0D", "round(least(sum(w), 5.0D) / 5.0D, 6)"),
-      "select l_partkey, round(least(sum(w), cast(5 as double)) / cast(5 as double), 6) as score, count(*) as roots from (select l_partkey, l_suppkey, max(case when l_returnflag = 'R' then cast(0.4 as double) else cast(0.8 as double) end) as w from lineitem group by l_partkey, l_suppkey) x group by l_partkey")
-plain("latency_summary", "select event_type, count(*) as n, round(percentile(value, 0.5), 6) as p50, round(percentile(value, 0.95), 6) as p95, round(percentile(value, 0.99), 6) as p99, round(avg(value), 6) as mean, max(value) as top from events group by event_type",
-      "select event_type, count(*) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(avg(value), 6) as mean, max(value) as top from events group by event_type")
-_ECE = "select {bin} as bin, count(*) as n, sum(quality) as hits, sum(conf) as total from (select l.quality, least(1.0{D}, d.n_chars / 4000{D}) as conf from labels l join documents d on l.doc_id = d.doc_id) x group by {bin}"
-_EXPECTED = "select round(sum(abs(hits - total)) / sum(n), 6) as ece, count(*) as bins from ({}) b"
-plain("calibration_error", _EXPECTED.format(_ECE.format(D="D", bin="greatest(cast(ceil(conf * 10) as int), 1)")),
-      _EXPECTED.format(_ECE.format(D="::double", bin="greatest(cast(ceil(conf * 10) as int), 1)")))
-_WILSON = "select source, n, round((p + 3.8416{D} / (2 * n) - 1.96{D} * sqrt(p * (1 - p) / n + 3.8416{D} / (4 * n * n))) / (1 + 3.8416{D} / n), 6) as low, round((p + 3.8416{D} / (2 * n) + 1.96{D} * sqrt(p * (1 - p) / n + 3.8416{D} / (4 * n * n))) / (1 + 3.8416{D} / n), 6) as high from (select d.source, count(*) as n, avg(cast(l.quality as double)) as p from labels l join documents d on l.doc_id = d.doc_id group by d.source) x"
-plain("wilson_bounds", _WILSON.format(D="D"), _WILSON.format(D="::double"))
-plain("status_counts", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by o_orderstatus, o_orderpriority")
-plain("vector_widths", "select size(embedding) as width, count(*) as n from embeddings group by size(embedding)", "select cast(len(embedding) as int) as width, count(*) as n from embeddings group by 1")
-plain("lease_order", "select o_orderkey, o_orderpriority, cast(row_number() over (partition by o_orderpriority order by o_orderdate, o_orderkey) as bigint) as place from orders where o_orderstatus = 'O'")
-plain("bucket_spread", "with b as (select event_id, user_id, value, row_number() over (partition by user_id, cast(ts as date) order by value desc, event_id) as round_no from events) select event_id, user_id, cast(row_number() over (partition by user_id order by round_no, value desc, event_id) as bigint) as place from b")
-plain("u_curve", "with r as (select event_id, user_id, row_number() over (partition by user_id order by value desc, event_id) - 1 as i, count(*) over (partition by user_id) as n from events) select event_id, user_id, case when i % 2 = 0 then i / 2 else n - 1 - (i - 1) / 2 end as place from r".replace("i / 2", "cast(floor(i / 2) as bigint)").replace("(i - 1) / 2", "cast(floor((i - 1) / 2) as bigint)"))
-plain("recency", "select event_id, round(greatest(0.1D, least(1.0D, power(0.5D, datediff(date '2024-01-31', cast(ts as date)) / 30.0D))), 6) as recency from events",
-      "select event_id, round(greatest(0.1::double, least(1.0::double, power(0.5::double, date_diff('day', cast(ts as date), date '2024-01-31') / 30.0::double))), 6) as recency from events")
-plain("salience", "select event_id, round(exp(-datediff(date '2024-01-31', cast(ts as date)) / 45.0D), 6) as salience, exp(-datediff(date '2024-01-31', cast(ts as date)) / 45.0D) < 0.6D as demoted from events",
-      "select event_id, round(exp(-date_diff('day', cast(ts as date), date '2024-01-31') / 45.0::double), 6) as salience, exp(-date_diff('day', cast(ts as date), date '2024-01-31') / 45.0::double) < 0.6::double as demoted from events")
-plain("conversation_rounds", "select conv_id, turn, text || chr(10) || following as round_text from (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as following, lead(role) over (partition by conv_id order by turn) as next_role from conversations) x where role = 'user' and next_role = 'assistant'")
-plain("held_out_split", "select item_id, row_number() over (order by h, item_id) <= 10 as held_out from (select item_id, sha2(cast(item_id as string), 256) as h from benchmark) x",
-      "select item_id, row_number() over (order by h, item_id) <= 10 as held_out from (select item_id, sha256(cast(item_id as varchar)) as h from benchmark) x")
-plain("graph_neighbours", "select distinct n.n_name as node, m.n_name as neighbour from supplier s join nation n on s.s_nationkey = n.n_nationkey join nation m on n.n_regionkey = m.n_regionkey and n.n_nationkey <> m.n_nationkey")
-plain("event_triggers", "select a.event_id as trigger_id, min(b.event_id) as fired_by from events a join events b on a.user_id = b.user_id and b.event_type = 'purchase' and b.ts > a.ts and b.ts <= a.ts + interval 1 day where a.event_type = 'view' group by a.event_id")
-
-
-def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items that share a word 8-gram with documents, and how many documents."""
-
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        words = df.select(key, F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda w: w != "").alias("w")).where(F.size("w") >= 8)
-        return words.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("g")).distinct()
-
-    probes = grams(table(spark, sf_dir, "benchmark"), "item_id")
-    hits = grams(table(spark, sf_dir, "documents"), "doc_id").join(probes, "g").select("item_id", "doc_id").distinct()
-    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
-
-
-QUERIES["shingle_overlap"] = shingle_overlap
-_GRAMS = "select distinct {k}, array_to_string(list_slice(w, i, i + 7), ' ') as g from (select {k}, w, unnest(range(1, len(w) - 6)) as i from (select {k}, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from {t}) where len(w) >= 8)"
-ORACLES["shingle_overlap"] = f"select item_id, count(distinct doc_id) as docs from ({_GRAMS.format(k='item_id', t='benchmark')}) b join ({_GRAMS.format(k='doc_id', t='documents')}) d on b.g = d.g group by item_id"
-
-
-def pagerank(spark: SparkSession, sf_dir: str, iterations: int = 12, damping: float = 0.85) -> DataFrame:
-    """Personalised rank over supplier-nation-region edges from the seed EUROPE: unnormalised seed, mass of dead ends lost."""
-    n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
-    one = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
-    two = c.join(n, c["s_nationkey"] == n["n_nationkey"]).select(F.col("s_name").alias("a"), F.col("n_name").alias("b"))
-    pairs = one.union(two).distinct()
-    edges = pairs.union(pairs.select("b", "a")).distinct()
-    edges = edges.join(edges.groupBy("a").agg(F.count(F.lit(1)).alias("deg")), "a")
-    rank = edges.select(F.col("a").alias("node")).distinct().withColumn("rank", (F.col("node") == "EUROPE").cast("double"))
-    for _ in range(iterations):
-        got = edges.join(rank, edges["a"] == rank["node"]).groupBy("b").agg(F.sum(F.col("rank") / F.col("deg")).alias("in"))
-        rank = got.select(F.col("b").alias("node"), (damping * F.col("in") + (1 - damping) * (F.col("b") == "EUROPE").cast("double")).alias("rank"))
-    return rank.select("node", F.round("rank", 6).alias("rank"))
-
-
-QUERIES["pagerank"] = pagerank
-ORACLES["pagerank"] = """
-with recursive p as (select n_name as a, r_name as b from nation join region on n_regionkey = r_regionkey union select s_name, n_name from supplier join nation on s_nationkey = n_nationkey),
-e as (select a, b from p union select b, a from p), d as (select a, b, count(*) over (partition by a) as deg from e),
-it as (select 0 as i, node, case when node = 'EUROPE' then 1.0::double else 0.0::double end as rank from (select distinct a as node from e)
-  union all select i + 1, b, 0.85::double * sum(rank / deg) + case when b = 'EUROPE' then 0.15::double else 0.0::double end from it join d on it.node = d.a where i < 12 group by i, b)
-select node, round(rank, 6) as rank from it where i = 12"""
+from . import access, evaluation, facts, graphs, ranking, sources, streams, texts  # noqa: F401  (each registers its own)
+from .registry import ORACLES, QUERIES, TABLES  # noqa: F401
