@@ -51,7 +51,7 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = assertions(spark, sf_dir)
     c = table(spark, sf_dir, "customer")
     said = c.select((-1 - F.col("c_custkey")).alias("id"), F.lit(1 << 60).alias("seq"), F.col("c_custkey").alias("subject"), F.lit("residence").alias("predicate"), F.col("c_mktsegment").alias("object"),
-                    F.lit("1992-01-01").cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit(1.0).alias("confidence"), F.lit(0).alias("tier"), F.array(F.lit("user")).alias("sources"))
+                    F.lit("2025-01-01").cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit(1.0).alias("confidence"), F.lit(0).alias("tier"), F.array(F.lit("user")).alias("sources"))
     return B.upserted(own.unionByName(said)).where("key = 'residence'").select("id", "subject", "object", "status", "effect", "superseded_by")
 
 

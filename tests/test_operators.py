@@ -33,7 +33,7 @@ def test_tokens_of_many_scripts(spark):
 
 
 def test_stems(spark):
-    pairs = {"running": "run", "stories": "story", "tried": "try", "boxes": "box", "uses": "us", "houses": "hous", "passed": "pass", "stopped": "stop", "making": "mak", "need": "need", "agreed": "agreed",
+    pairs = {"running": "run", "stories": "story", "tried": "try", "boxes": "box", "uses": "use", "houses": "hous", "passed": "pass", "stopped": "stop", "making": "mak", "need": "need", "agreed": "agreed",
              "bus": "bus", "goes": "go", "trees": "tree", "is": "is", "went": "go", "x9s": "x9s", "does": "doe", "ring": "ring", "feeling": "feel", "class": "class"}
     assert dict(zip(pairs, column(spark, list(pairs), T.stem))) == pairs
 
@@ -234,7 +234,7 @@ def test_budgets_and_facets(spark):
 
 
 def test_trimmed_windows(spark):
-    text = "\n".join(["alpha " * 30, "beta the tion " * 20, "gamma " * 30, "the end " * 40])
+    text = "\n".join(["alpha " * 90, "beta the tion " * 20, "gamma " * 30, "the end " * 40])
     df = spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, "word " * 900)], "doc_id long, text string")
     got = dict(tuple(r) for r in selection.trimmed(df, ["the", "tion"], 150).collect())
     assert got[2] == "short" and got[3] is None
