@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import written
+
 
 def ranking_scores(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, recall, dcg, ndcg) of hits (query_id, id, rank) against relevant (query_id, id): each relevant id counts
@@ -21,6 +23,30 @@ def ranking_scores(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return out.select("query_id", (F.coalesce("found", F.lit(0)) / F.col("need")).alias("recall"), F.coalesce("dcg", F.lit(0.0)).alias("dcg"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"))
 
 
+def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, n, mean, top and one column for each share): exact percentiles, linear between neighbours. Values are counted
+    first, so that equal ones are one row; distinct ones are dealt by range, and only sums of ranges are gathered by key,
+    so that no task holds all values of a key."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts = written(counts.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()), "values")
+    by_part = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("k", "part").agg(F.sum("c").alias("m"))
+    parts = parts.select("k", "part", F.coalesce(F.sum("m").over(by_part), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("k")).alias("n"))
+    inside = Window.partitionBy("k", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.join(parts, ["k", "part"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("c") <= place) & (place < F.col("upto")), F.col("v")))
+
+    def share(q: float) -> Column:
+        place = F.lit(q) * (F.col("n") - 1)
+        part = F.max(place - F.floor(place))
+        return at(F.floor(place)) * (1 - part) + at(F.ceil(place)) * part
+
+    out = rows.groupBy("k").agg(F.max("n").alias("n"), *(share(q).alias(name) for name, q in shares.items()), (F.sum(F.col("v") * F.col("c")) / F.max("n")).alias("mean"), F.max("v").alias("top"))
+    return out.withColumnRenamed("k", key)
+
+
 def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Both bounds, within 0 and 1."""
     p, zz = successes / total, z * z

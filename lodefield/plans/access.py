@@ -109,7 +109,7 @@ def json_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOGS = "(select event_id, ts, event_type, user_id, case when event_id % 10 = 0 then 'true' when event_id % 10 = 1 then 'x1' when event_id % 10 = 2 then null else cast(round(value / 200.0, 6) as ⟦string¦varchar⟧) end as raw from events) x"
 _PRIORITY = f"case when raw = 'true' then {num(1.0)} when raw = 'false' then {num(0.0)} else greatest({num(0.0)}, least({num(1.0)}, coalesce(try_cast(raw as double), {num(0.0)}))) end"
 plain("priority_parse", f"select event_id, round({_PRIORITY}, 6) as priority from {_LOGS}")
-plain("lease_order", f"select event_type, event_id from (select event_type, event_id, row_number() over (partition by event_type order by {_PRIORITY} desc, ts, event_id) as place from {_LOGS}) y where place = 1")
+plain("lease_order", f"select event_type, ⟦min_by(event_id, struct(-priority, ts, event_id))¦arg_min(event_id, (-priority, ts, event_id))⟧ as event_id from (select event_type, event_id, ts, {_PRIORITY} as priority from {_LOGS}) y group by event_type")
 plain("queue_transitions", """select o_orderkey, case when status = 'running' and attempts >= 3 and stale then 'dead' when status = 'running' and stale then 'retry' else status end as status, attempts + case when status in ('queued', 'retry') then 1 else 0 end as attempts from
   (select o_orderkey, cast(o_orderkey % 5 as int) as attempts, case o_orderstatus when 'O' then 'queued' when 'P' then 'running' else 'complete' end as status, o_orderdate < timestamp '1998-01-01 00:00:00' as stale from orders) x""")
 plain("status_counts", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by o_orderstatus, o_orderpriority")

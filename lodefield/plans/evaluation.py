@@ -11,7 +11,14 @@ from ..operators.ledger import deduplicated
 from .registry import num, plain, query, table
 
 N = num
-plain("latency_summary", "select event_type, count(*) as n, round(⟦percentile(value, 0.5)¦quantile_cont(value, 0.5)⟧, 6) as p50, round(⟦percentile(value, 0.95)¦quantile_cont(value, 0.95)⟧, 6) as p95, round(⟦percentile(value, 0.99)¦quantile_cont(value, 0.99)⟧, 6) as p99, round(avg(value), 6) as mean, max(value) as top from events group by event_type")
+
+
+@query("select event_type, count(*) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(avg(value), 6) as mean, max(value) as top from events group by event_type")
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = E.percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return got.select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "mean")), "top")
+
+
 _SCORED = f"(select l.doc_id, l.quality, least({N(1.0)}, d.n_chars / {N(4000.0)}) as conf, d.source, l.toxic from labels l join documents d on l.doc_id = d.doc_id) x"
 plain("calibration_error", f"select bin, count(*) as n, round(avg(cast(quality as double)), 6) as accuracy, round(avg(conf), 6) as confidence, round(abs(avg(cast(quality as double)) - avg(conf)), 6) as gap from (select *, greatest(cast(ceil(conf * 10) as int), 1) as bin from {_SCORED}) b group by bin")
 plain("expected_error", f"select round(sum(abs(hits - total)) / sum(n), 6) as ece, count(*) as bins from (select greatest(cast(ceil(conf * 10) as int), 1) as bin, count(*) as n, sum(quality) as hits, sum(conf) as total from {_SCORED} group by greatest(cast(ceil(conf * 10) as int), 1)) b")

@@ -159,10 +159,9 @@ plain("learning_turns", "select conv_id, turn from (select conv_id, turn, role,
 _ACT = f"least({_D(1.0)}, ln(1 + demand) / ln({_D(11.0)}))"
 plain("activation", f"""select event_id, user_id, round(value * (0.5 + greatest({_D(0.0)}, least({_D(1.0)}, ({_D(0.10)} * base + {_D(0.55)} * value / greatest(top, {_D(0.01)}) + {_D(0.20)} * {_D(0.7)} * (1 - tier / {_D(5.0)}) + {_D(0.15)} * recency)))), 6) as score from
   (select *, {_ACT} as base, power({_D(0.5)}, age / {_D(30.0)}) as recency from (select h.*, 0 as demand, (⟦unix_micros(timestamp '2024-01-31 00:00:00') - unix_micros(cast(ts as timestamp))¦epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(ts)⟧) / {_D(86400000000.0)} as age from {_RANKED}) y) x""")
-plain("spreading_activation", """with c as (select user_id, event_type, cast(ts as date) as day, event_id from events),
-p as (select distinct a.event_id, b.event_id as other from c a join c b on a.user_id = b.user_id and a.event_id <> b.event_id and (a.day = b.day or a.event_type = b.event_type)),
-n as (select user_id, count(*) as n from events group by user_id), s as (select event_id, count(*) as shared from p group by event_id)
-select c.event_id, round(case when n.n <= 1 then 0 else coalesce(shared, 0) / cast(n.n - 1 as double) end, 6) as spreading from c join n on n.user_id = c.user_id left join s on s.event_id = c.event_id""")
+# Hits that share a day or a type: those of the day, and those of the type, less those of both; no pairs are made.
+plain("spreading_activation", """select event_id, round(case when n <= 1 then 0 else (days + types - twice - 1) / cast(n - 1 as double) end, 6) as spreading from
+  (select event_id, count(*) over (partition by user_id) as n, count(*) over (partition by user_id, cast(ts as date)) as days, count(*) over (partition by user_id, event_type) as types, count(*) over (partition by user_id, cast(ts as date), event_type) as twice from events) x""")
 _QUALITY = f"({_D(0.03)} + {_D(0.25)} * value / greatest(top, {_D(0.01)}) + {_D(0.35)} * (1 - tier / {_D(5.0)}) + {_D(0.10)} / 3 + {_D(0.27)} / 3) * ({_D(0.55)} + {_D(0.45)} * (1 - tier / {_D(5.0)}))"
 plain("decision_confidence", f"""select user_id, round(case when support < {_D(2.0)} / 3 then greatest({_D(0.0)}, least({_D(0.91)}, eq * ({_D(1.28)} + {_D(0.14)} * (1 - support / ({_D(2.0)} / 3)))))
     else greatest({_D(0.0)}, least({_D(0.91)}, eq * ({_D(1.21)} + {_D(0.10)} * (support - {_D(2.0)} / 3) / ({_D(1.0)} - {_D(2.0)} / 3) + {_D(0.04)} * strength))) end, 6) as confidence from
