@@ -1,14 +1,18 @@
 """Scoring of texts by a bigram model whose counts lie in a log-frequency Bloom filter (Talbot and Osborne, 2007).
 
-A count c is stored as its level 1 + floor(log2 c): the n-gram is entered with each level up to its own, and read back
-by probing level after level until one is missing. A level is never read too low, and too high with a small probability.
+A count is stored as its level: 1 to 8, then four levels for each doubling. The n-gram is entered with each level up to
+its own, and read back by probing level after level until one is missing. A level is never read too low, and too high with
+a small probability.
 
 The filter is made of blocks, an n-gram's hash tells its block, and each block is built by one task, with 12 bits for
 each of its entries. All unigrams and all bigrams are in it: its size grows with the corpus. Up to most_mb it is
 broadcast. A larger one stays where it is: each chunk of texts sends its distinct n-grams to their blocks and gets their
-levels back, with the same scores. Probabilities are
-interpolated: p(w | h) = (1 - m) p(w) + m c(h w) / c(h), with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) and counts read from
-their levels' middles.
+levels back, with the same scores.
+
+Probabilities are interpolated: p(w | h) = (1 - m) p(w) + m c(h w) / c(h). p(w) = (c(w) + 0.1) / Z is made of the levels'
+least counts, and Z is their sum over all words, so that it sums to 1 over the words and one class of unknown ones. The
+share behind a history has the level's least count above and its largest below: it sums to 1 at most, and to no less than
+0.7, so that what p(w | h) leaves unassigned is 0.15 at most (for m = 1/2), and nothing behind an unknown history.
 
 Words are known by 64-bit hashes throughout. Beside the model's score each text gets its exact base score: counts of the
 most frequent words are broadcast (as many as hot_words), the others are joined by word, of which none is frequent.
@@ -30,7 +34,7 @@ from .shared import cut, mixed, ready, word_hashes, words_of
 
 #: Stands for the end of a text, as a token; for its beginning, only as a history.
 END, BEGIN = np.uint64(1), np.uint64(2)
-PROBES, BITS_EACH, LEVELS = 4, 12, 40
+PROBES, BITS_EACH, LEVELS = 4, 12, 200
 #: Tokens learnt from for each block of the filter; documents and bytes of text in a chunk.
 BLOCK_TOKENS, CHUNK_DOCS, CHUNK_BYTES = 1 << 19, 2048, 4 << 20
 
@@ -108,9 +112,22 @@ def levels_in(words: np.ndarray, keys: np.ndarray, first: np.ndarray, size: np.n
     return out
 
 
-def counts(level: np.ndarray) -> np.ndarray:
-    # Level 1 is a count of 1, level j one of 2 ** (j - 1) to 2 ** j - 1: the middle of these.
-    return np.where(level <= 1, level, 0.75 * 2.0**level - 0.5)
+def level_of(n: np.ndarray) -> np.ndarray:
+    """1 to 8 for such counts, then four levels for each doubling."""
+    n = n.astype(np.int64)
+    e = np.frexp(n.astype(np.float64))[1] - 1
+    return np.where(n <= 8, n, 8 + 4 * (e - 3) + ((n >> np.maximum(e - 2, 0)) & 3))
+
+
+def lowest(level: np.ndarray) -> np.ndarray:
+    """The smallest count of a level; 0 of none."""
+    k = np.maximum(level - 8, 0)
+    return np.where(level <= 8, level, (4 + k % 4) << (1 + k // 4))
+
+
+def highest(level: np.ndarray) -> np.ndarray:
+    """The largest count of a level; 0 of none."""
+    return np.where(level > 0, lowest(level + 1) - 1, 0)
 
 
 def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
@@ -167,7 +184,7 @@ def built(rows: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         keys, of = np.unique(_joined(table.column("keys"), np.uint64), return_inverse=True)
         n = np.bincount(of, _joined(table.column("n"), np.int64), len(keys))
-        level = np.minimum(np.frexp(n)[1], LEVELS - 1)
+        level = np.minimum(level_of(n), LEVELS - 1)
         bits = np.zeros(-(-int(level.sum()) * BITS_EACH // 64), np.uint64)
         for j in range(1, int(level.max()) + 1):
             for word, bit in positions(keys[level >= j], j, np.int64(len(bits))):
@@ -264,6 +281,9 @@ def score_documents(docs: DataFrame, mix: float = 0.5, most_mb: int = 128, hot_w
     hot = uni.where((F.col("n") >= least) & ~begin).toPandas().sort_values("key")
     sent = spark.sparkContext.broadcast((collected(bits, blocks) if whole else None, hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)))
     norm = total + 0.1 * (vocabulary + 1)
+    step = F.expr("cast(length(bin(n)) - 3 as int)")  # of the two bits behind a count's first one
+    lows = F.when(F.col("n") <= 8, F.col("n")).otherwise(F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), step), step))
+    share = float(uni.where(~begin).agg(F.coalesce(F.sum(lows), F.lit(0))).first()[0]) + 0.1 * (vocabulary + 1)
 
     def scored(first_row, doc, texts, levels_of):
         _, hot_keys, hot_n = sent.value
@@ -278,15 +298,15 @@ def score_documents(docs: DataFrame, mix: float = 0.5, most_mb: int = 128, hot_w
         n[known] = hot_n[where[known]]
         sure = np.where(known, np.log10((n + 0.1) / norm), 0.0)
         # The model: the token's own share, and its share behind its history.
-        c_uni = counts(levels_of(keys))
+        own = levels_of(keys)
         history, pair = pairs_of(tokens, size)
         pairs, of_pair = np.unique(pair, return_inverse=True)
-        c_pair, c_history = counts(levels_of(pairs))[of_pair], np.empty(len(tokens))
-        c_history[1:] = c_uni[of][:-1]
-        c_history[first] = counts(levels_of(np.array([BEGIN])))[0]
-        p = (c_uni[of] + 0.1) / norm
-        behind = np.minimum(1.0, c_pair / np.maximum(c_history, 1.0))
-        p = np.where(c_history > 0, (1 - mix) * p + mix * behind, p)
+        before = np.empty(len(tokens), np.int64)
+        before[1:] = own[of][:-1]
+        before[first] = levels_of(np.array([BEGIN]))[0]
+        p = (lowest(own)[of] + 0.1) / share
+        behind = np.minimum(1.0, lowest(levels_of(pairs))[of_pair] / np.maximum(highest(before), 1))
+        p = np.where(before > 0, (1 - mix) * p + mix * behind, p)
         rare = ~known[of]
         n_rare = np.add.reduceat(rare, first, dtype=np.int64)
         return pa.RecordBatch.from_arrays(
