@@ -181,31 +181,90 @@ def test_scores(spark):
     assert got["score"][got["held_out"]].sum() > got["base_score"][got["held_out"]].sum()
 
 
+def level(n):
+    """1 to 8, then four levels for each doubling, counted up one by one."""
+    at, k = 8, 8
+    if n <= 8:
+        return n
+    while True:
+        step = 2 ** (at.bit_length() - 3)
+        if n < at + step:
+            return k
+        at, k = at + step, k + 1
+
+
+def bounds(n):
+    """The least and the largest count of n's level."""
+    same = [m for m in range(max(1, n // 2), 2 * n + 2) if level(m) == level(n)]
+    return (same[0], same[-1]) if n else (0, 0)
+
+
+def test_levels():
+    n = np.array([1, 2, 7, 8, 9, 10, 15, 16, 17, 20, 1000, 123456, 2**40 + 5])
+    got = lm.level_of(n)
+    assert got.tolist() == [level(int(x)) for x in n]
+    for x, k in zip(n[:-2].tolist(), got[:-2]):
+        assert (int(lm.lowest(k)), int(lm.highest(k))) == bounds(x)
+
+
 def test_filter_levels(spark):
     keys = np.arange(1, 3001, dtype=np.int64) * 7919
     n = np.where(keys % 5 == 0, 9, 1)
     df = spark.createDataFrame([(int(k), int(c)) for k, c in zip(keys, n)], "key long, n long")
     model, _ = lm.build(df, df.limit(0))
-    level = model.levels(keys.view(np.uint64))
-    want = np.where(n == 9, 4, 1)
-    assert (level >= want).all() and (level == want).mean() > 0.98
+    found = model.levels(keys.view(np.uint64))
+    want = np.where(n == 9, 8, 1)
+    assert (found >= want).all() and (found == want).mean() > 0.98
     assert (model.levels(np.arange(10**9, 10**9 + 3000).astype(np.uint64)) == 0).mean() > 0.98
 
 
-def model_scores(texts, mix=0.5):
-    """Every text's score by exact counts, read as their levels' middles."""
+def model_of(texts):
+    """Counts of words and pairs, and each word's share, by exact counts read as their levels' bounds."""
     learnt = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
     toks = [[*words(t), None] for t in texts]
     uni = collections.Counter(w for t, ok in zip(toks, learnt) if ok for w in [0, *t])
     bi = collections.Counter(p for t, ok in zip(toks, learnt) if ok for p in zip([0, *t], t))
-    norm = sum(n for w, n in uni.items() if w != 0) + 0.1 * len(uni)
-    middle = lambda n: n if n < 2 else 0.75 * 2 ** n.bit_length() - 0.5
-    out = []
-    for t in toks:
-        p = [(middle(uni[w]) + 0.1) / norm for w in t]
-        c = [(middle(uni[h]), middle(bi[h, w])) for h, w in zip([0, *t], t)]
-        out.append(sum(math.log10((1 - mix) * x + mix * min(1, n / h) if h else x) for x, (h, n) in zip(p, c)))
-    return np.array(out)
+    z = sum(bounds(n)[0] for w, n in uni.items() if w != 0) + 0.1 * len(uni)
+
+    def p(w, h, mix=0.5):
+        own = (bounds(uni[w])[0] + 0.1) / z
+        return (1 - mix) * own + mix * bounds(bi[h, w])[0] / bounds(uni[h])[1] if uni[h] else own
+
+    return toks, uni, p
+
+
+def model_scores(texts):
+    toks, _, p = model_of(texts)
+    return np.array([sum(math.log10(p(w, h)) for h, w in zip([0, *t], t)) for t in toks])
+
+
+def test_probabilities_sum_to_one_or_a_little_less(spark):
+    """Over all words, the end and one unknown word, behind every history: the filter's own scores, word by word."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(vocabulary[min(59, int(k))] for k in rng.exponential(9, 30)) for _ in range(400)]
+    toks, uni, p = model_of(texts)
+    known = [w for w in uni if w != 0]
+    for h in [*(w for w in uni if w is not None), "never seen"]:  # nothing stands behind the end
+        total = sum(p(w, h) for w in [*known, "unknown"])
+        assert 0.85 <= total <= 1 + 1e-9, (h, total)
+    # What the operator gives a text of one word more is the word's probability behind the last.
+    learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 != 0]
+    probe = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, texts[i]) for i in learnt]
+    words_ = [w.decode() for w in known if w is not None] + ["unknownword"]
+    for h in ("w0", "w7"):
+        rows += [(probe.pop(), f"{h} {w}") for w in words_] + [(probe.pop(), h)]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")["score"]
+    ids = [r[0] for r in rows[len(learnt) :]]
+    sub = [texts[i] if i in set(learnt) else "" for i in range(400)]
+    n = len(words_) + 1
+    for k, h in enumerate((b"w0", b"w7")):
+        own = ids[k * n : (k + 1) * n]
+        # p(h | start) p(w | h) p(end | w) over the model's p(h | start) and p(end | w)
+        pairs = [10 ** got[i] / (p(h, 0) * p(None, w.encode())) for i, w in zip(own, words_)]
+        total = sum(pairs) + 10 ** got[own[-1]] / p(h, 0)
+        assert 0.8 <= total <= 1.08, (h, total)
 
 
 def few_words(spark):
