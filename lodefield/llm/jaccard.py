@@ -119,7 +119,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def _slices(batches, rows: int = 1024):
+def _slices(batches, rows: int = 512):
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)

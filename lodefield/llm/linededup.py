@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import packed
+from .shared import cut, packed
+
+#: Tasks that a host's documents are dealt to where its lines are not broadcast.
+SALTS = 64
 
 
 def _lines(text: Column) -> Column:
@@ -25,12 +28,19 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1, least
     return both.where(F.col("on") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def _cleaned(docs: DataFrame, host: str, ratio: float, least_pages: int, most_hosts: int, without: tuple[str, ...]) -> DataFrame:
+def _cleaned(docs: DataFrame, host: str, ratio: float, least_pages: int, most_lines: int, without: tuple[str, ...]) -> DataFrame:
     """dedup_row (the document's other columns), dedup_text, n_lines and n_dropped."""
     lists = boilerplate(docs, host, ratio, least_pages).withColumnRenamed("host", "dedup_host").withColumnRenamed("lines", "dedup_lines")
-    side = F.broadcast(lists) if lists.limit(most_hosts + 1).count() <= most_hosts else lists
+    lists = cut(lists, "lines")
+    n = lists.agg(F.coalesce(F.sum(F.size("dedup_lines") + 8), F.lit(0))).first()[0]
     own = docs.select(packed(docs, "dedup_row", without), F.col(host).alias("dedup_of"), F.col("text").alias("dedup_in"))
-    rows = own.join(side, F.col("dedup_of").eqNullSafe(F.col("dedup_host")), "left")
+    same = F.col("dedup_of").eqNullSafe(F.col("dedup_host"))
+    if n <= most_lines:
+        rows = own.join(F.broadcast(lists), same, "left")
+    else:  # a host's documents are dealt to SALTS tasks, and its list goes to each
+        salted = lists.withColumn("dedup_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.withColumn("dedup_mine", F.pmod(F.xxhash64("dedup_in"), F.lit(SALTS)).cast("int"))
+        rows = own.join(salted, same & (F.col("dedup_mine") == F.col("dedup_salt")), "left")
     text, has = F.col("dedup_in"), F.col("dedup_lines").isNotNull() & F.col("dedup_in").isNotNull()
     goes = lambda x: F.array_contains(F.col("dedup_lines"), F.xxhash64(x)) & x.rlike(r"[^\x20\x09-\x0D]")
     kept = F.when(has, F.array_join(F.filter(_lines(text), lambda x: ~goes(x)), "\n")).otherwise(text)
@@ -39,14 +49,15 @@ def _cleaned(docs: DataFrame, host: str, ratio: float, least_pages: int, most_ho
     return rows.select("dedup_row", kept.alias("dedup_text"), size.alias("n_lines"), dropped.alias("n_dropped"))
 
 
-def clean(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages: int = 5, most_hosts: int = 10_000) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages: int = 5, most_lines: int = 2_000_000) -> DataFrame:
     """docs without boilerplate lines, with n_lines and n_dropped (columns of these names are replaced).
 
     Lines are what line breaks part. A null text stays null and has no lines; a text may become empty. Repeated rows are
-    pages each. Lists of lines are broadcast up to most_hosts hosts, beyond that Spark chooses the join. No rows: no rows.
+    pages each. Lists of lines, 8 bytes each, are broadcast up to most_lines; beyond that texts are dealt
+    by host and a salt. No rows: no rows.
     """
     counts = ("n_lines", "n_dropped")
-    rows = _cleaned(docs, host, ratio, least_pages, most_hosts, ("text", *counts))
+    rows = _cleaned(docs, host, ratio, least_pages, most_lines, ("text", *counts))
     own = (F.col("dedup_text").alias("text") if c == "text" else F.col(f"dedup_row.`{c}`").alias(c) for c in docs.columns if c not in counts)
     return rows.select(*own, *counts)
 
@@ -54,7 +65,7 @@ def clean(docs: DataFrame, host: str = "source", ratio: float = 0.1, least_pages
 def clean_texts(docs: DataFrame, host: str = "source", length: str = "n_chars", **more) -> DataFrame:
     """docs without boilerplate lines, in the columns that came in, whatever their names; where lines went the column
     `length`, if there is one, has the text's new length."""
-    rows = _cleaned(docs, host, more.get("ratio", 0.1), more.get("least_pages", 5), more.get("most_hosts", 10_000), ("text",))
+    rows = _cleaned(docs, host, more.get("ratio", 0.1), more.get("least_pages", 5), more.get("most_lines", 2_000_000), ("text",))
 
     def column(c: str) -> Column:
         old = F.col("dedup_text") if c == "text" else F.col(f"dedup_row.`{c}`")

@@ -1,6 +1,7 @@
 """Scoring of texts by a bigram model whose counts lie in a log-frequency Bloom filter (Talbot and Osborne, 2007).
 
-A count is stored as its level: 1 to 8, then four levels for each doubling. The n-gram is entered with each level up to
+A count is stored as its level: a word's is 1 to 8, then there are four levels for each doubling; a pair's is 1 to 4, then
+there are two. The n-gram is entered with each level up to
 its own, and read back by probing level after level until one is missing. A level is never read too low, and too high with
 a small probability.
 
@@ -12,7 +13,8 @@ levels back, with the same scores.
 Probabilities are interpolated: p(w | h) = (1 - m) p(w) + m c(h w) / c(h). p(w) = (c(w) + 0.1) / Z is made of the levels'
 least counts, and Z is their sum over all words, so that it sums to 1 over the words and one class of unknown ones. The
 share behind a history has the level's least count above and its largest below: it sums to 1 at most, and to no less than
-0.7, so that what p(w | h) leaves unassigned is 0.15 at most (for m = 1/2), and nothing behind an unknown history.
+a half, so that what p(w | h) leaves unassigned is a quarter at most (for m = 1/2; pairs seen once or twice, the most of
+them, leave nothing), and nothing behind an unknown history.
 
 Words are known by 64-bit hashes throughout. Beside the model's score each text gets its exact base score: counts of the
 most frequent words are broadcast (as many as hot_words), the others are joined by word, of which none is frequent.
@@ -35,6 +37,8 @@ from .shared import cut, mixed, ready, word_hashes, words_of
 #: Stands for the end of a text, as a token; for its beginning, only as a history.
 END, BEGIN = np.uint64(1), np.uint64(2)
 PROBES, BITS_EACH, LEVELS = 4, 12, 200
+#: Levels for each doubling of a unigram's and of a bigram's count.
+UNI, BI = 4, 2
 #: Tokens learnt from for each block of the filter; documents and bytes of text in a chunk.
 BLOCK_TOKENS, CHUNK_DOCS, CHUNK_BYTES = 1 << 19, 2048, 4 << 20
 
@@ -112,22 +116,22 @@ def levels_in(words: np.ndarray, keys: np.ndarray, first: np.ndarray, size: np.n
     return out
 
 
-def level_of(n: np.ndarray) -> np.ndarray:
-    """1 to 8 for such counts, then four levels for each doubling."""
-    n = n.astype(np.int64)
+def level_of(n: np.ndarray, fine: int) -> np.ndarray:
+    """The levels of counts: 1 to 2 * fine for such counts, then `fine` levels (a power of 2) for each doubling."""
+    n, bits = n.astype(np.int64), fine.bit_length() - 1
     e = np.frexp(n.astype(np.float64))[1] - 1
-    return np.where(n <= 8, n, 8 + 4 * (e - 3) + ((n >> np.maximum(e - 2, 0)) & 3))
+    return np.where(n <= 2 * fine, n, 2 * fine + fine * (e - 1 - bits) + ((n >> np.maximum(e - bits, 0)) & (fine - 1)))
 
 
-def lowest(level: np.ndarray) -> np.ndarray:
+def lowest(level: np.ndarray, fine: int) -> np.ndarray:
     """The smallest count of a level; 0 of none."""
-    k = np.maximum(level - 8, 0)
-    return np.where(level <= 8, level, (4 + k % 4) << (1 + k // 4))
+    k = np.maximum(level - 2 * fine, 0)
+    return np.where(level <= 2 * fine, level, (fine + k % fine) << (1 + k // fine))
 
 
-def highest(level: np.ndarray) -> np.ndarray:
+def highest(level: np.ndarray, fine: int) -> np.ndarray:
     """The largest count of a level; 0 of none."""
-    return np.where(level > 0, lowest(level + 1) - 1, 0)
+    return np.where(level > 0, lowest(level + 1, fine) - 1, 0)
 
 
 def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
@@ -164,12 +168,12 @@ def _packed(keys: np.ndarray, n: np.ndarray, blocks: int) -> pa.RecordBatch:
 PACKED = "block long, keys binary, n binary"
 
 
-def packed(counted: DataFrame, blocks: int) -> DataFrame:
-    """Rows (key, n), dealt to blocks."""
+def packed(counted: DataFrame, blocks: int, sign: int = 1) -> DataFrame:
+    """Rows (key, n), dealt to blocks. The counts of unigrams are negative there (sign -1), which tells their levels."""
 
     def run(batches):
         for batch in batches:
-            yield _packed(np.asarray(batch.column("key")).view(np.uint64), np.asarray(batch.column("n")), blocks)
+            yield _packed(np.asarray(batch.column("key")).view(np.uint64), sign * np.asarray(batch.column("n")), blocks)
 
     return counted.select("key", F.col("n").cast("long").alias("n")).mapInArrow(run, PACKED)
 
@@ -184,7 +188,7 @@ def built(rows: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         keys, of = np.unique(_joined(table.column("keys"), np.uint64), return_inverse=True)
         n = np.bincount(of, _joined(table.column("n"), np.int64), len(keys))
-        level = np.minimum(level_of(n), LEVELS - 1)
+        level = np.minimum(np.where(n < 0, level_of(-n, UNI), level_of(n, BI)), LEVELS - 1)
         bits = np.zeros(-(-int(level.sum()) * BITS_EACH // 64), np.uint64)
         for j in range(1, int(level.max()) + 1):
             for word, bit in positions(keys[level >= j], j, np.int64(len(bits))):
@@ -203,7 +207,7 @@ def collected(bits: DataFrame, blocks: int) -> Filter:
 
 def build(uni: DataFrame, bi: DataFrame, blocks: int = 8) -> tuple[Filter, int]:
     """The filter of counts that lie in tables (key, n), and its size in bytes."""
-    model = collected(built(packed(uni, blocks).union(packed(bi, blocks))), blocks)
+    model = collected(built(packed(uni, blocks, -1).union(packed(bi, blocks))), blocks)
     return model, model.words.nbytes
 
 
@@ -268,7 +272,7 @@ def score_documents(docs: DataFrame, mix: float = 0.5, most_mb: int = 128, hot_w
     total, vocabulary = uni.where(~begin).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     blocks = max(1, -(-total // BLOCK_TOKENS))
     bi = _counted(docs, 2, lambda keys, n: _packed(keys, n, blocks), PACKED)
-    bits = cut(built(packed(uni, blocks).union(bi)), "filter")
+    bits = cut(built(packed(uni, blocks, -1).union(bi)), "filter")
     whole = bits.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0] <= most_mb << 20
 
     # The counts from which on at most hot_words words are: by powers of 2, then exactly within the bound.
@@ -304,8 +308,8 @@ def score_documents(docs: DataFrame, mix: float = 0.5, most_mb: int = 128, hot_w
         before = np.empty(len(tokens), np.int64)
         before[1:] = own[of][:-1]
         before[first] = levels_of(np.array([BEGIN]))[0]
-        p = (lowest(own)[of] + 0.1) / share
-        behind = np.minimum(1.0, lowest(levels_of(pairs))[of_pair] / np.maximum(highest(before), 1))
+        p = (lowest(own, UNI)[of] + 0.1) / share
+        behind = np.minimum(1.0, lowest(levels_of(pairs), BI)[of_pair] / np.maximum(highest(before, UNI), 1))
         p = np.where(before > 0, (1 - mix) * p + mix * behind, p)
         rare = ~known[of]
         n_rare = np.add.reduceat(rare, first, dtype=np.int64)

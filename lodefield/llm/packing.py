@@ -96,7 +96,7 @@ def pack(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -> np.
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 0, window: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 0, window: int = 512, with_ids: bool = False) -> DataFrame:
     """Every document's ids and end_id, in pieces of sequences. Needs doc_id and text; other columns are not read.
 
     A null or empty text is end_id alone. Repeated rows are packed each; a null doc_id stays null. No rows: no pieces.
@@ -106,10 +106,10 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
 
     def run(batches):
         at = 0
-        base, known = TaskContext.get().partitionId() << 40, Known()
+        base, known = TaskContext.get().partitionId() << 40, Known(1 << 17)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 ids, size = encode(part.column(1), path, known)
                 ends = np.cumsum(size)
                 ids = np.insert(ids, ends, np.uint32(end_id))

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 
 @dataclass(frozen=True)
 class Shard:
@@ -68,23 +70,26 @@ def placed(df: DataFrame, key: str, own: tuple[Shard, ...]) -> DataFrame:
     return df
 
 
-def shard_documents(docs: DataFrame, own: tuple[Shard, ...], more: tuple[Shard, ...], buckets: int = 256) -> DataFrame:
+def shard_documents(docs: DataFrame, own: tuple[Shard, ...], more: tuple[Shard, ...], bucket_rows: int = 20_000, few: int = 1_000_000) -> DataFrame:
     """Every document's shard, its slot there, and its shard in the tree `more`.
 
-    Needs doc_id and text. A null text has size 16 and the crc32 of no bytes, 0. Repeated rows get slots of their own.
-    Slots count from 0 in each shard: by a bucket of hashed doc_ids, and by doc_id in it. What precedes a bucket is
-    summed over one row for each shard and bucket; only those at most len(own) * buckets rows are broadcast.
+    Needs doc_id and text; other columns are not read. A null text has size 16 and the crc32 of no bytes, 0. Repeated rows
+    get slots of their own, rows without a doc_id go to one shard. No rows: no rows. Rows are placed and written once, in
+    light form. Slots count from 0 in each shard: by a bucket of doc_id and of the part of the table that the row came
+    in, and by doc_id in it; there are as many buckets as hold some bucket_rows each, so that no task grows with the
+    table, nor with a doc_id that occurs often. What precedes a bucket is summed over one row for each bucket, broadcast
+    up to `few` of them.
     """
-    bucket = F.pmod(F.xxhash64(F.lit("bucket"), F.col("doc_id")), F.lit(buckets)).cast("int")
-    keys = placed(docs.select("doc_id"), "doc_id", own).withColumn("bucket", bucket)
-    sums = keys.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.spark_partition_id().alias("part"))
     rows = placed(rows, "doc_id", more).withColumnRenamed("shard", "grown_shard")
-    rows = placed(rows, "doc_id", own).withColumn("bucket", bucket)
+    rows = cut(placed(rows, "doc_id", own), "shards")
+    buckets = max(256, rows.count() // (bucket_rows * len(own)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", "part"), F.lit(buckets)).cast("int"))
+    sums = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")))
-    rows = rows.join(F.broadcast(sums), ["shard", "bucket"])
+    rows = rows.join(F.broadcast(sums) if buckets * len(own) <= few else sums, ["shard", "bucket"])
     slot = (F.col("before") + F.col("nth") - 1).cast("long")
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", slot.alias("slot"), "grown_shard")

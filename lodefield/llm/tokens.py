@@ -10,12 +10,14 @@ call, and the texts' ids are gathered from theirs. All other texts
 from __future__ import annotations
 
 import os
+import string
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _LOADED: dict = {}
+_SIGN = np.isin(np.arange(256), list(string.punctuation.encode()))
 
 
 def tokenizer(path: str):
@@ -84,6 +86,18 @@ def _pieces(own, line: int, lengths: np.ndarray, words: pa.Array) -> tuple[np.nd
     return ids, starts, sizes
 
 
+def _parted(words: pa.Array) -> pa.Array:
+    """The words, marked where signs follow letters up to the end: only those that end in an ASCII sign are looked at."""
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    raw = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(1, np.uint8)
+    last = np.where(ends[1:] > ends[:-1], raw[np.maximum(ends[1:] - 1, 0)], 0)
+    sign = _SIGN[last]
+    if not sign.any():
+        return words
+    mask = pa.array(sign)
+    return pc.replace_with_mask(words, mask, pc.replace_substring_regex(words.filter(mask), r"^( ?\pL+)([^\s\pL\pN]+)$", "\\1\x1e\\2"))
+
+
 class Known:
     """The pieces that a task has met, and their ids: what is met again in a later batch isn't encoded again. It begins
     anew beyond `most` pieces."""
@@ -130,7 +144,7 @@ def encode(texts: pa.Array, path: str, known: Known | None = None) -> tuple[np.n
         lists = pc.split_pattern(marked, "\x1e")
         coded = lists.flatten().dictionary_encode()
         # Signs behind a word are split from it too: fewer distinct words are left.
-        parts = pc.split_pattern(pc.replace_substring_regex(coded.dictionary, r"^( ?\pL+)([^\s\pL\pN]+)$", "\\1\x1e\\2"), "\x1e")
+        parts = pc.split_pattern(_parted(coded.dictionary), "\x1e")
         words = parts.flatten().dictionary_encode()
         breaks = pc.index(words.dictionary, pa.scalar("\x1f", pa.large_string())).as_py()
         ids, first, size = known.ids_of(own, line, lengths, words.dictionary) if known else _pieces(own, line, lengths, words.dictionary)
