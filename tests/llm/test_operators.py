@@ -181,41 +181,41 @@ def test_scores(spark):
     assert got["score"][got["held_out"]].sum() > got["base_score"][got["held_out"]].sum()
 
 
-def level(n):
-    """1 to 8, then four levels for each doubling, counted up one by one."""
-    at, k = 8, 8
-    if n <= 8:
+def level(n, fine):
+    """1 to 2 * fine, then `fine` levels for each doubling, counted up one by one."""
+    at = k = 2 * fine
+    if n <= k:
         return n
-    while True:
-        step = 2 ** (at.bit_length() - 3)
-        if n < at + step:
-            return k
+    while n >= at + (step := 2 ** (at.bit_length() - 1) // fine):
         at, k = at + step, k + 1
+    return k
 
 
-def bounds(n):
+def bounds(n, fine):
     """The least and the largest count of n's level."""
-    same = [m for m in range(max(1, n // 2), 2 * n + 2) if level(m) == level(n)]
+    same = [m for m in range(max(1, n // 2), 2 * n + 2) if level(m, fine) == level(n, fine)]
     return (same[0], same[-1]) if n else (0, 0)
 
 
 def test_levels():
-    n = np.array([1, 2, 7, 8, 9, 10, 15, 16, 17, 20, 1000, 123456, 2**40 + 5])
-    got = lm.level_of(n)
-    assert got.tolist() == [level(int(x)) for x in n]
-    for x, k in zip(n[:-2].tolist(), got[:-2]):
-        assert (int(lm.lowest(k)), int(lm.highest(k))) == bounds(x)
+    n = np.array([1, 2, 3, 4, 5, 7, 8, 9, 10, 15, 16, 17, 20, 1000, 123456, 2**40 + 5])
+    for fine in (2, 4):
+        got = lm.level_of(n, fine)
+        assert got.tolist() == [level(int(x), fine) for x in n]
+        for x, k in zip(n[:-2].tolist(), got[:-2]):
+            assert (int(lm.lowest(k, fine)), int(lm.highest(k, fine))) == bounds(x, fine)
 
 
 def test_filter_levels(spark):
     keys = np.arange(1, 3001, dtype=np.int64) * 7919
     n = np.where(keys % 5 == 0, 9, 1)
     df = spark.createDataFrame([(int(k), int(c)) for k, c in zip(keys, n)], "key long, n long")
-    model, _ = lm.build(df, df.limit(0))
-    found = model.levels(keys.view(np.uint64))
-    want = np.where(n == 9, 8, 1)
-    assert (found >= want).all() and (found == want).mean() > 0.98
-    assert (model.levels(np.arange(10**9, 10**9 + 3000).astype(np.uint64)) == 0).mean() > 0.98
+    for pair in ((df, df.limit(0)), (df.limit(0), df)):
+        model, _ = lm.build(*pair)
+        found = model.levels(keys.view(np.uint64))
+        want = np.where(n == 9, 8 if pair[0] is df else 6, 1)
+        assert (found >= want).all() and (found == want).mean() > 0.98
+        assert (model.levels(np.arange(10**9, 10**9 + 3000).astype(np.uint64)) == 0).mean() > 0.98
 
 
 def model_of(texts):
@@ -224,11 +224,11 @@ def model_of(texts):
     toks = [[*words(t), None] for t in texts]
     uni = collections.Counter(w for t, ok in zip(toks, learnt) if ok for w in [0, *t])
     bi = collections.Counter(p for t, ok in zip(toks, learnt) if ok for p in zip([0, *t], t))
-    z = sum(bounds(n)[0] for w, n in uni.items() if w != 0) + 0.1 * len(uni)
+    z = sum(bounds(n, 4)[0] for w, n in uni.items() if w != 0) + 0.1 * len(uni)
 
     def p(w, h, mix=0.5):
-        own = (bounds(uni[w])[0] + 0.1) / z
-        return (1 - mix) * own + mix * bounds(bi[h, w])[0] / bounds(uni[h])[1] if uni[h] else own
+        own = (bounds(uni[w], 4)[0] + 0.1) / z
+        return (1 - mix) * own + mix * bounds(bi[h, w], 2)[0] / bounds(uni[h], 4)[1] if uni[h] else own
 
     return toks, uni, p
 
@@ -247,7 +247,7 @@ def test_probabilities_sum_to_one_or_a_little_less(spark):
     known = [w for w in uni if w != 0]
     for h in [*(w for w in uni if w is not None), "never seen"]:  # nothing stands behind the end
         total = sum(p(w, h) for w in [*known, "unknown"])
-        assert 0.85 <= total <= 1 + 1e-9, (h, total)
+        assert 0.75 <= total <= 1 + 1e-9, (h, total)
     # What the operator gives a text of one word more is the word's probability behind the last.
     learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 != 0]
     probe = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 10 == 0]
@@ -264,7 +264,7 @@ def test_probabilities_sum_to_one_or_a_little_less(spark):
         # p(h | start) p(w | h) p(end | w) over the model's p(h | start) and p(end | w)
         pairs = [10 ** got[i] / (p(h, 0) * p(None, w.encode())) for i, w in zip(own, words_)]
         total = sum(pairs) + 10 ** got[own[-1]] / p(h, 0)
-        assert 0.8 <= total <= 1.08, (h, total)
+        assert 0.75 <= total <= 1.08, (h, total)
 
 
 def few_words(spark):

@@ -120,6 +120,23 @@ def docs_lit(x):
     return F.lit(x)
 
 
+def test_lines_go_alike_where_lists_are_not_broadcast(spark):
+    rows = [(i, f"menu\nhome {i}\n{i % 3} of three", "s" if i % 4 else None) for i in range(40)] + [(50, None, "s"), (50, None, "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    a, b = (sorted(map(str, linededup.clean(docs, most_lines=n).collect())) for n in (2_000_000, 0))
+    assert a == b and sum("menu" in x for x in a) == 0
+
+
+def test_slots_of_a_common_doc_id(spark):
+    """One doc_id on a third of the rows, and rows without one: slots are gapless and each taken once."""
+    rows = [(7 if i % 3 else i, "t", "s") for i in range(600)] + [(None, "t", "s")] * 50
+    own = sharding.tree(8)
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCS).repartition(6), own, sharding.grown(own), bucket_rows=1).toPandas()
+    assert len(got) == 650
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+
+
 def place(key, shards):
     """A key's region, rack and shard by draws written out anew."""
 
