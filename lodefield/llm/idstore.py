@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import delete, mixed, ready
-from .tokens import Known, encode, tokenizer
+from .tokens import encode, known, tokenizer
 
 WINDOW, MEAN_BITS, LONGEST, FAN = 16, 9, 4096, 1024
 
@@ -54,11 +54,11 @@ def write_store(docs: DataFrame, to: str, path: str, end_id: int = 2) -> None:
 
     def run(batches):
         width = "<u2" if tokenizer(path)[0].get_vocab_size() <= 1 << 16 else "<u4"
-        seen, known = set(), Known()
+        seen, met = set(), known(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                ids, size = encode(part.column(1), path, known)
+                ids, size = encode(part.column(1), path, met)
                 ids = np.insert(ids, np.cumsum(size), np.uint32(end_id))
                 ends = np.cumsum(size + 1)
                 at = cuts(ids, ends)

@@ -36,9 +36,12 @@ from .shared import cut, mixed, ready, word_hashes, words_of
 
 #: Stands for the end of a text, as a token; for its beginning, only as a history.
 END, BEGIN = np.uint64(1), np.uint64(2)
-PROBES, BITS_EACH, LEVELS = 4, 12, 200
+PROBES, BITS_EACH, LEVELS = 4, 12, 208
 #: Levels for each doubling of a unigram's and of a bigram's count.
 UNI, BI = 4, 2
+STRIDE = np.uint64(0xD1342543DE82EF95)
+#: Words of a line of memory, and levels of a key that lie in one.
+LINE, GROUP = 8, 8
 #: Tokens learnt from for each block of the filter; documents and bytes of text in a chunk.
 BLOCK_TOKENS, CHUNK_DOCS, CHUNK_BYTES = 1 << 19, 2048, 4 << 20
 
@@ -102,17 +105,25 @@ class Filter:
 
 
 def levels_in(words: np.ndarray, keys: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The keys' levels, each read in its own block of `size` words from word `first` on. A block may be empty."""
-    out = np.zeros(len(keys), np.int64)
-    at = np.flatnonzero(size)
-    for level in range(1, LEVELS):
-        hit = np.ones(len(at), bool)
-        for word, bit in positions(keys[at], level, size[at]):
-            hit &= (words[first[at] + word] >> bit) & np.uint64(1) == 1
-        at = at[hit]
-        if not len(at):
-            break
-        out[at] = level
+    """The keys' levels, each read in its own block of `size` words from word `first` on. A block may be empty. Lines are
+    fetched for a few thousand keys at a time, so that they are still at hand when their bits are looked at."""
+    out, lines = np.zeros(len(keys), np.int64), words.reshape(-1, LINE)
+    for lo in range(0, len(keys), 8192):
+        at = lo + np.flatnonzero(size[lo : lo + 8192])
+        for group in range(0, LEVELS, GROUP):
+            if not len(at):
+                break
+            base = _base(keys[at], group)
+            here = lines[first[at] // LINE + _scaled(base, size[at] // LINE).astype(np.int64)].reshape(-1)
+            row = np.arange(len(at)) * LINE
+            for level in range(max(1, group), group + GROUP):
+                hit = np.ones(len(at), bool)
+                for word, bit in _bits(base, level):
+                    hit &= (here[row + word] >> bit) & np.uint64(1) == 1
+                at, base, row = at[hit], base[hit], row[hit]
+                out[at] = level
+                if not len(at):
+                    break
     return out
 
 
@@ -134,19 +145,38 @@ def highest(level: np.ndarray, fine: int) -> np.ndarray:
     return np.where(level > 0, lowest(level + 1, fine) - 1, 0)
 
 
+def _scaled(hashes: np.ndarray, n) -> np.ndarray:
+    """Hashes brought to 0 to n - 1, n below 2 ** 32, in their own order."""
+    return ((hashes >> np.uint64(32)) * np.asarray(n).astype(np.uint64)) >> np.uint64(32)
+
+
 def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
-    return (mixed(keys ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(blocks)).astype(np.int64)
+    """Blocks in the order of keys, so that sorted keys are looked up block by block. Keys are hashes."""
+    return _scaled(keys, blocks).astype(np.int64)
+
+
+def _base(keys: np.ndarray, group: int) -> np.ndarray:
+    """What a key's line and bits for a group of levels are made of."""
+    with np.errstate(over="ignore"):
+        return mixed(keys + np.uint64(group) * STRIDE)
 
 
-def positions(keys: np.ndarray, level: int, size: np.ndarray):
-    """For each probe, the word and bit of every key's level in its block, of `size` words."""
+def _bits(base: np.ndarray, level: int):
+    """For each probe, the word and bit of a key's level in the key's line."""
     with np.errstate(over="ignore"):
-        a = mixed(keys + np.uint64(level) * np.uint64(0xD1342543DE82EF95))
-        b = mixed(a) | np.uint64(1)
-        bits = np.asarray(size).astype(np.uint64) << np.uint64(6)
-        for i in range(PROBES):
-            bit = (a + np.uint64(i) * b) % bits
-            yield (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        a = mixed(base + np.uint64(level) * STRIDE)
+    for i in range(PROBES):
+        p = (a >> np.uint64(9 * i)) & np.uint64(64 * LINE - 1)
+        yield (p >> np.uint64(6)).astype(np.int64), p & np.uint64(63)
+
+
+def positions(keys: np.ndarray, level: int, size: int):
+    """For each probe, the word and bit of every key's level in a block of `size` words: a key's levels, GROUP at a time, lie
+    in one line of LINE words, which memory gives in one piece."""
+    base = _base(keys, level // GROUP * GROUP)
+    line = _scaled(base, size // LINE).astype(np.int64) * LINE
+    for word, bit in _bits(base, level):
+        yield line + word, bit
 
 
 def _dealt(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,9 +219,9 @@ def built(rows: DataFrame) -> DataFrame:
         keys, of = np.unique(_joined(table.column("keys"), np.uint64), return_inverse=True)
         n = np.bincount(of, _joined(table.column("n"), np.int64), len(keys))
         level = np.minimum(np.where(n < 0, level_of(-n, UNI), level_of(n, BI)), LEVELS - 1)
-        bits = np.zeros(-(-int(level.sum()) * BITS_EACH // 64), np.uint64)
+        bits = np.zeros(LINE * -(-int(level.sum()) * BITS_EACH // (64 * LINE)), np.uint64)
         for j in range(1, int(level.max()) + 1):
-            for word, bit in positions(keys[level >= j], j, np.int64(len(bits))):
+            for word, bit in positions(keys[level >= j], j, len(bits)):
                 np.bitwise_or.at(bits, word, np.uint64(1) << bit)
         return pa.table([pa.array([table.column("block")[0].as_py()]), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
 
@@ -287,6 +317,7 @@ def score_documents(docs: DataFrame, mix: float = 0.5, most_mb: int = 128, hot_w
     norm = total + 0.1 * (vocabulary + 1)
     step = F.expr("cast(length(bin(n)) - 3 as int)")  # of the two bits behind a count's first one
     lows = F.when(F.col("n") <= 8, F.col("n")).otherwise(F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), step), step))
+    begin_level = level_of(np.array([uni.where(begin).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]]), UNI)[0]
     share = float(uni.where(~begin).agg(F.coalesce(F.sum(lows), F.lit(0))).first()[0]) + 0.1 * (vocabulary + 1)
 
     def scored(first_row, doc, texts, levels_of):
@@ -300,14 +331,16 @@ def score_documents(docs: DataFrame, mix: float = 0.5, most_mb: int = 128, hot_w
         known[known] = hot_keys[where[known]] == signed[known]
         n = np.zeros(len(keys), np.int64)
         n[known] = hot_n[where[known]]
+        # The level of a frequent word follows from its count, whose levels are many; those of others are in the filter.
+        own = level_of(n, UNI)
+        own[~known] = levels_of(keys[~known])
         sure = np.where(known, np.log10((n + 0.1) / norm), 0.0)
         # The model: the token's own share, and its share behind its history.
-        own = levels_of(keys)
         history, pair = pairs_of(tokens, size)
         pairs, of_pair = np.unique(pair, return_inverse=True)
         before = np.empty(len(tokens), np.int64)
         before[1:] = own[of][:-1]
-        before[first] = levels_of(np.array([BEGIN]))[0]
+        before[first] = begin_level
         p = (lowest(own, UNI)[of] + 0.1) / share
         behind = np.minimum(1.0, lowest(levels_of(pairs), BI)[of_pair] / np.maximum(highest(before, UNI), 1))
         p = np.where(before > 0, (1 - mix) * p + mix * behind, p)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .shared import ready
-from .tokens import Known, encode
+from .tokens import encode, known
 
 
 @dataclass(frozen=True)
@@ -106,11 +106,11 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
 
     def run(batches):
         at = 0
-        base, known = TaskContext.get().partitionId() << 40, Known(1 << 17)
+        base, met = TaskContext.get().partitionId() << 40, known(path, 1 << 17)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                ids, size = encode(part.column(1), path, known)
+                ids, size = encode(part.column(1), path, met)
                 ends = np.cumsum(size)
                 ids = np.insert(ids, ends, np.uint32(end_id))
                 size = size + 1

@@ -1,4 +1,4 @@
-"""Exact ids of whole texts by the tokenizers library, fast: a task's distinct pieces are encoded once, as far as it can
+"""Exact ids of whole texts by the tokenizers library, fast: a worker's distinct pieces are encoded once, as far as it can
 remember them.
 
 A byte-level BPE splits at a single space or line break between two other characters, whatever stands around it.
@@ -99,32 +99,43 @@ def _parted(words: pa.Array) -> pa.Array:
 
 
 class Known:
-    """The pieces that a task has met, and their ids: what is met again in a later batch isn't encoded again. It begins
-    anew beyond `most` pieces."""
+    """The pieces that a worker has met, and their ids: what is met again isn't encoded again. Beyond `most` pieces those
+    that were not met again go."""
 
-    def __init__(self, most: int = 1 << 19):
-        self.most, self.words = most, None
+    def __init__(self, most: int = 1 << 18):
+        self.most, self.words = most, pa.array([], pa.large_string())
+        self.ids, self.first, self.size, self.again = np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0, bool)
 
     def ids_of(self, own, line: int, lengths: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As _pieces()."""
-        if self.words is None or len(self.words) + len(words) > self.most:
-            self.words, (self.ids, self.first, self.size) = words, _pieces(own, line, lengths, words)
-            return self.ids, self.first, self.size
         at = pc.index_in(words, value_set=self.words)
         new = np.asarray(at.is_null())
-        ids, first, size = _pieces(own, line, lengths, words.filter(pa.array(new)))
         where = np.empty(len(words), np.int64)
         where[~new] = np.asarray(at.drop_null())
-        where[new] = len(self.words) + np.arange(int(new.sum()))
-        self.words = pa.concat_arrays([self.words, words.filter(pa.array(new))])
+        self.again[where[~new]] = True
+        fresh = words.filter(pa.array(new))
+        ids, first, size = _pieces(own, line, lengths, fresh)
+        where[new] = len(self.words) + np.arange(len(fresh))
+        self.words = pa.concat_arrays([self.words, fresh])
         self.first, self.size = np.concatenate((self.first, first + len(self.ids))), np.concatenate((self.size, size))
-        self.ids = np.concatenate((self.ids, ids))
-        return self.ids, self.first[where], self.size[where]
+        self.ids, self.again = np.concatenate((self.ids, ids)), np.concatenate((self.again, np.zeros(len(fresh), bool)))
+        out = self.ids, self.first[where], self.size[where]
+        if len(self.words) > self.most:
+            keep = self.again if self.again.sum() <= self.most // 2 else np.zeros(len(self.again), bool)
+            self.ids = _ragged(self.ids, self.first[keep], self.size[keep])
+            self.words, self.size = self.words.filter(pa.array(keep)), self.size[keep]
+            self.first, self.again = np.cumsum(self.size) - self.size, np.zeros(len(self.size), bool)
+        return out
 
 
-def encode(texts: pa.Array, path: str, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts, one text after the other, and how many each has. A null text has none. known: the pieces of
-    the task's texts so far."""
+def known(path: str, most: int = 1 << 18) -> Known:
+    """The pieces that this worker knows of the tokenizer at path, over all its tasks."""
+    return _LOADED.setdefault((path, most), Known(most))
+
+
+def encode(texts: pa.Array, path: str, met: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts, one text after the other, and how many each has. A null text has none. met: the pieces that
+    need not be encoded again."""
     own, line, lengths = tokenizer(path)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if isinstance(texts, pa.ChunkedArray):
@@ -147,7 +158,7 @@ def encode(texts: pa.Array, path: str, known: Known | None = None) -> tuple[np.n
         parts = pc.split_pattern(_parted(coded.dictionary), "\x1e")
         words = parts.flatten().dictionary_encode()
         breaks = pc.index(words.dictionary, pa.scalar("\x1f", pa.large_string())).as_py()
-        ids, first, size = known.ids_of(own, line, lengths, words.dictionary) if known else _pieces(own, line, lengths, words.dictionary)
+        ids, first, size = met.ids_of(own, line, lengths, words.dictionary) if met else _pieces(own, line, lengths, words.dictionary)
         first, size = first.copy(), size.copy()
         if breaks >= 0:  # it stands for one line break
             ids = np.append(ids, np.uint32(line))
