@@ -112,3 +112,18 @@ def components(pairs: DataFrame) -> DataFrame:
             return root
         root = written(root)
         dropped(new)
+
+
+def ends(links: DataFrame) -> DataFrame:
+    """(id, end) of links (id, next): the row that following next leads to in the end, itself where next is null. Each
+    round doubles the steps taken, until none leads further; what is on a cycle, or leads to one, has no end."""
+    now = written(links.select("id", F.coalesce("next", "id").alias("end")))
+    for _ in range(62):
+        on = now.select(F.col("id").alias("end"), F.col("end").alias("further"))
+        new = written(now.join(on, "end", "left").select("id", F.coalesce("further", "end").alias("end"), (F.coalesce("further", "end") != F.col("end")).alias("moved")))
+        dropped(now)
+        now = new
+        if now.where("moved").isEmpty():
+            break
+    goes_on = links.where("next is not null").select(F.col("id").alias("end"), F.lit(True).alias("cyclic"))
+    return now.join(goes_on, "end", "left").select("id", F.when(F.col("cyclic").isNull(), F.col("end")).alias("end"))

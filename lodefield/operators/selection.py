@@ -162,6 +162,18 @@ def spread(hits: DataFrame, at: str = "ts", score: str = "score", granularity: s
     return own.withColumn("place", F.row_number().over(order).cast("long")).drop("spread_kind", "spread_round", "spread_top", "spread_first")
 
 
+def lifted(hits: DataFrame, live: DataFrame) -> DataFrame:
+    """(query_id, id, place, score, lifted): hits (query_id, id, rank, score) with the live successor of each superseded one
+    right above it, with its score. live (id, end) tells what superseded what in the end; a successor stands at its best
+    place alone, whether it was a hit itself or not."""
+    own = hits.join(live, "id", "left").withColumn("end", F.coalesce("end", "id"))
+    there = own.select("query_id", "id", (F.col("rank") * 2 + 1).alias("spot"), "score", F.lit(False).alias("lifted"))
+    above = own.where("end <> id").select("query_id", F.col("end").alias("id"), (F.col("rank") * 2).alias("spot"), "score", F.lit(True).alias("lifted"))
+    best = there.union(above).groupBy("query_id", "id").agg(F.min("spot").alias("spot"), F.max("score").alias("score"), F.max("lifted").alias("lifted"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("spot", "id"))
+    return best.select("query_id", "id", place.cast("long").alias("place"), "score", "lifted")
+
+
 def trimmed(rows: DataFrame, terms: list[str], most_tokens: int, text: str = "text") -> DataFrame:
     """rows whose texts are the window of their paragraphs with most of the terms, within most_tokens (of four characters):
     texts that fit stay whole. Where windows are equal the first is taken; marks tell what was left out."""

@@ -188,3 +188,26 @@ def speaker_spans(text: Column) -> Column:
         return texts.map(lambda t: None if t is None else one(t))
 
     return spans(text)
+
+
+# What a person says of themselves, and the attribute it states. The group is the attribute's value.
+_SAID = (
+    ("residence", r"\b(?:I|[Ww]e)(?: now| still)? (?:do not |don't |no longer )?(?:live|reside) in ([A-Z][\w ]*\w)"),
+    ("work_at", r"\b(?:I|[Ww]e)(?: now| still)? (?:do not |don't |no longer )?work (?:at|for) ([A-Z][\w ]*\w)"),
+    ("name", r"\b(?:[Mm]y name is|I am called) ([A-Z][\w]*)"),
+    ("like", r"\b(?:I|[Ww]e)(?: really)? (?:do not |don't |no longer )?(?:like|love|enjoy) ([\w ]*\w)"),
+    ("own", r"\b(?:I|[Ww]e) (?:do not |don't |no longer )?(?:own|have) (?:a |an |the )?([\w ]*\w)"),
+    ("speak", r"\b(?:I|[Ww]e) (?:do not |don't |no longer )?speak ([A-Z]\w*)"),
+)
+
+
+def claims(text: Column) -> Column:
+    """(predicate, object, negative) of what a text's clauses state of who says them."""
+    own = F.transform(
+        clauses(text),
+        lambda c: F.filter(
+            F.array(*(F.struct(F.lit(p).alias("predicate"), F.regexp_extract(c, pattern, 1).alias("object"), c.rlike(r"(?i)\b(?:do not|don't|no longer)\b").alias("negative")) for p, pattern in _SAID)),
+            lambda x: x["object"] != "",
+        ),
+    )
+    return F.flatten(own)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators import selection as S
 from ..operators.lineage import folder
 from .registry import num, plain, query, table
 
@@ -111,6 +112,18 @@ plain("event_triggers", f"""select a.event_id as trigger_id, min(⟦struct¦row
 plain("dependencies_met", "select o.o_orderkey from orders o where o.o_orderkey % 2 = 0 and not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_linestatus <> 'F') and o.o_orderdate <= timestamp '2000-01-01 00:00:00'")
 plain("joined_by_hash", "select d.doc_id, min(e.doc_id) as vector_of, count(*) as copies from documents d join documents e on ⟦sha2(d.text, 256)¦sha256(d.text)⟧ = ⟦sha2(e.text, 256)¦sha256(e.text)⟧ where d.text is not null group by d.doc_id")
 plain("recurrence", """select event_id, n, cast(due as timestamp) as due from (select event_id, ⟦explode(sequence(0, least(cast(event_id % 5 as int), 3)))¦unnest(range(0, least(event_id % 5, 3) + 1))⟧ as n, ts from events where event_type = 'signup') x, (select 0 as z) y where n >= 0""".replace("cast(due as timestamp) as due", "⟦ts + make_interval(0, 0, 0, n * 7)¦ts + to_days(cast(n * 7 as int))⟧ as due"))
-plain("lifted", """with recursive f as (select o_orderkey as id, o_custkey, o_totalprice as score, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as next_id, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders),
-c as (select id, next_id, id as live, 0 as steps from f where next_id is null union all select f.id, f.next_id, c.live, c.steps + 1 from f join c on f.next_id = c.id)
-select f.o_custkey, f.id, cast(row_number() over (partition by f.o_custkey order by min(f.place) over (partition by c.live, f.o_custkey), case when f.id = c.live then 0 else 1 end, f.place) as bigint) as place from f join c on c.id = f.id where f.place <= 8""".replace("cast(row_number() over (partition by f.o_custkey order by min(f.place) over (partition by c.live, f.o_custkey), case when f.id = c.live then 0 else 1 end, f.place) as bigint) as place", "c.steps, c.live, max(f.score) over (partition by f.o_custkey, c.live) as lifted_score"))
+@query("""with recursive f as (select o_orderkey as id, o_custkey, o_totalprice as score, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as next_id, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders),
+c as (select id, id as live from f where next_id is null union all select f.id, c.live from f join c on f.next_id = c.id),
+h as (select f.o_custkey, f.id, c.live, f.place as spot, f.score from f join c on c.id = f.id where f.place <= 8),
+own as (select o_custkey, id, spot, 1 as below, score from h union all select o_custkey, live, min(spot), 0, max(score) from h where live <> id group by o_custkey, live),
+best as (select o_custkey, id, min(spot * 2 + below) as spot, max(score) as score, min(below) = 0 as lifted from own group by o_custkey, id)
+select o_custkey as query_id, id, cast(row_number() over (partition by o_custkey order by spot, id) as bigint) as place, score, lifted from best""")
+def lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's eight largest orders, each of which the next one superseded; the last, which is live, comes above them."""
+    o = table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    links = o.select(F.col("o_orderkey").alias("id"), F.lead("o_orderkey").over(w).alias("next"))
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    hits = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), rank.alias("rank"), F.col("o_totalprice").alias("score")).where("rank <= 8")
+    return S.lifted(hits, G.ends(links))
+

@@ -282,3 +282,12 @@ _ENDS = [("ingly", 5, ""), ("edly", 4, ""), ("ing", 3, ""), ("ied", 3, "y"), ("i
 def normalised_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term")).distinct()
     return terms.select("term", T.normalised(F.col("term")).alias("normalised"))
+
+
+@query("""select c_custkey, 'residence' as predicate, 'Nation ' || c_nationkey as object, false as negative from customer union all select c_custkey, 'work_at', 'Segment ' || c_mktsegment, c_custkey % 3 = 0 from customer
+union all select c_custkey, 'like', 'part ' || c_custkey, false from customer where c_custkey % 2 = 0""")
+def said_of_oneself(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sentences made of customers state of them."""
+    said = F.expr("""'I live in Nation ' || c_nationkey || case when c_custkey % 3 = 0 then '. Now I no longer work at Segment ' else ' and work at Segment ' end || c_mktsegment || case when c_custkey % 2 = 0 then '; I really like part ' || c_custkey else '.' end""")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(words.claims(said)).alias("c"))
+    return rows.select("c_custkey", "c.predicate", "c.object", "c.negative")

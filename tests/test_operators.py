@@ -14,7 +14,7 @@ from lodefield.functions import text as T
 from lodefield.operators import belief, evaluation, graph, lineage, passages, retrieval, selection, vectors, words
 from lodefield.operators.ledger import deduplicated
 from lodefield.plans import catalog
-from lodefield.sources import journal, stores
+from lodefield.sources import books, journal, stores
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -313,6 +313,19 @@ def test_closures(spark):
     assert set(got.values()) == {0, 100} and got[40] == 0
 
 
+def test_ends_of_chains(spark):
+    rows = [(i, i + 1) for i in range(20)] + [(20, None), (30, None), (40, 41), (41, 40)]
+    got = dict(tuple(r) for r in graph.ends(spark.createDataFrame(rows, "id long, next long")).collect())
+    assert all(got[i] == 20 for i in range(21)) and got[30] == 30 and got[40] is None and got[41] is None
+
+
+def test_lifted(spark):
+    hit = spark.createDataFrame([(1, 5, 1, 0.9), (1, 6, 2, 0.8), (1, 7, 3, 0.7)], "query_id long, id long, rank int, score double")
+    live = spark.createDataFrame([(5, 5), (6, 9), (7, 5)], "id long, end long")
+    got = [(r["id"], r["score"], r["lifted"]) for r in selection.lifted(hit, live).orderBy("place").collect()]
+    assert got == [(5, 0.9, True), (9, 0.8, True), (6, 0.8, False), (7, 0.7, False)]
+
+
 def test_fact_walk(spark):
     got = catalog.QUERIES["fact_walk"](spark, SF).toPandas()
     assert got["rank"].sum() == pytest.approx(1.0, abs=1e-4) and len(got) == spark.read.parquet(f"{SF}/embeddings.parquet").count()
@@ -429,3 +442,20 @@ def test_retrieval(spark):
     got = catalog.QUERIES["retrieval"](spark, SF).orderBy("place").collect()
     assert 0 < len(got) <= 8 and [r["place"] for r in got] == list(range(1, len(got) + 1))
     assert got[-1]["used"] <= 4096 and len({r["confidence"] for r in got}) == 1 and 0 <= got[0]["confidence"] <= 0.91
+
+
+def test_claims(spark):
+    got = column(spark, ["I live in Rome and work at Acme. We don't like tea; my name is Ann", "no claims", None], words.claims)
+    assert [tuple(r) for r in got[0]] == [("residence", "Rome", False), ("work_at", "Acme", False), ("like", "tea", True), ("name", "Ann", False)] and got[1:] == [[], []]
+
+
+def test_books(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.epub", "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>')
+        z.writestr("OPS/book.opf", '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="b" href="two.xhtml"/><item id="a" href="one.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/><itemref idref="gone"/></spine></package>')
+        z.writestr("OPS/one.xhtml", "<html><head><style>p{}</style></head><body><h1>One</h1><p>A &amp; b</p></body></html>")
+        z.writestr("OPS/two.xhtml", "<p>Two  words</p>")
+    (tmp_path / "b.epub").write_bytes(b"no archive")
+    assert [(r["page"], r["text"]) for r in books.read_epub(spark, str(tmp_path)).orderBy("page").collect()] == [(0, "One\nA & b"), (1, "Two words")]
