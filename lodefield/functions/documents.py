@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Stands where a text is parted; not a character of texts.
 _MARK = "\x02"
 
@@ -29,9 +31,12 @@ def sentences(text: Column) -> Column:
 def windows(text: Column, size: int = 3, stride: int = 2) -> Column:
     """A text's blank-line paragraphs where it has several, else windows of `size` sentences where it has more, else itself."""
     parts = F.filter(F.transform(F.split(text, r"\n\s*\n+"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    s = sentences(text)
-    moved = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / stride).cast("int")), lambda i: F.array_join(F.slice(s, i * stride + 1, size), " "))
-    return F.when(F.size(parts) > 1, parts).when(F.size(s) > size, moved).otherwise(F.array(text))
+
+    def moved(s: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / stride).cast("int")), lambda i: F.array_join(F.slice(s, i * stride + 1, size), " "))
+        return F.when(F.size(s) > size, steps).otherwise(F.array(text))
+
+    return let(parts, lambda p: F.when(F.size(p) > 1, p).otherwise(let(sentences(text), moved)))
 
 
 def page_text(page: Column) -> Column:

@@ -48,8 +48,9 @@ def lexical(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     """(doc_id, score) of every document."""
     asked = docs.sparkSession.range(1).select(tokenize(F.lit(query)).alias("asked"))
     rows = docs.select("doc_id", tokenize(F.col(text)).alias("t")).join(F.broadcast(asked))
-    rows = rows.select("doc_id", "asked", F.size("t").alias("len"), F.filter("t", lambda t: F.array_contains(F.col("asked"), t)).alias("hits"))
-    return rows.select("doc_id", lexical_score(F.col("asked"), F.col("hits"), F.col("len")).alias("score"))
+    # let() keeps the optimizer from filtering again for each of the query's tokens.
+    hits = F.filter("t", lambda t: F.array_contains(F.col("asked"), t))
+    return rows.select("doc_id", let(hits, lambda own: lexical_score(F.col("asked"), own, F.size("t"))).alias("score"))
 
 
 def match_clauses(stems: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -107,12 +108,18 @@ def bigrams(docs: DataFrame, least: int, text: str = "text") -> DataFrame:
     return own.select("a", "b", "n", F.round(F.greatest(F.lit(0.0), F.log(p("n") / (p("da") * p("db"))) / F.log(F.lit(2.0))), 4).alias("pmi"))
 
 
+@lru_cache(maxsize=1 << 16)
+def _place(token: str) -> tuple[int, float]:
+    d = hashlib.blake2b(token.encode(), digest_size=8).digest()
+    return int.from_bytes(d[:4], "big"), 1.0 - 2.0 * (d[4] & 1)
+
+
 def hashed(tokens: list[str], dims: int) -> np.ndarray:
     """Signed counts of tokens in hashed buckets, of length 1 unless there is none."""
     out = np.zeros(dims)
     for t in tokens:
-        d = hashlib.blake2b(t.encode(), digest_size=8).digest()
-        out[int.from_bytes(d[:4], "big") % dims] += 1.0 - 2.0 * (d[4] & 1)
+        at, sign = _place(t)
+        out[at % dims] += sign
     norm = float(np.sqrt((out * out).sum()))
     return out / norm if norm else out
 
