@@ -290,12 +290,12 @@ def _ties(near: DataFrame, tried: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
-    """(a, b, linked) of pairs of sets, by all their tokens, written. Up to 2 million hashes of texts are broadcast to find
+    """(a, b, linked) of pairs of sets, by all their tokens, written. Up to a million hashes of texts are broadcast to find
     a text of each set."""
     pairs = cut(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = ids.join(sets.select("id", F.col("t").alias("of")), "id").select("of").distinct()
-    side = F.broadcast(texts) if pairs.limit(1_000_001).count() <= 1_000_000 else texts
+    side = F.broadcast(texts) if pairs.limit(500_001).count() <= 500_000 else texts
 
     def run(batches):
         seen: set = set()
