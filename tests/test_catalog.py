@@ -34,7 +34,7 @@ def test_entry(spark):
 
 
 def test_every_query_without_sql_has_rows(spark):
-    """What SQL can't express is held against other implementations in test_operators; here it runs whole."""
+    """What SQL can't express is held against other implementations in test_library; here it runs whole."""
     for name in sorted(set(catalog.QUERIES) - set(catalog.ORACLES)):
         assert catalog.QUERIES[name](spark, SF).count() > 0, name
 
