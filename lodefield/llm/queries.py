@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, idstore, jaccard, linededup, lm, mixing, packing, quality, sharding, vectors
+from . import chats, decontam, idstore, jaccard, linededup, lm, mixing, packing, quality, sharding, vectors
 from .shared import new_path, ready
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -65,10 +65,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "source", "mix_epoch", "mix_block", "mix_at")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_sharding, op3_quality_rules, op4_line_dedup, op5_chat_formatting, op6_packing, op7_lm_scoring, op8_token_output, op9_embedding_near_dedup, op10_mixing)
-}
+    for f in (
+        op1_ngram_jaccard_join, op2_sharding, op3_quality_rules, op4_line_dedup, op5_chat_formatting, op6_packing, op7_lm_scoring, op8_token_output, op9_embedding_near_dedup, op10_mixing,
+        op11_decontamination,
+    )
+}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -123,4 +130,15 @@ pos as (select *, row_number() over (partition by conv_id order by turn, role, t
 select kept.conv_id, cast(floor(nth / 4096) as bigint) as segment, cast(kept.n as bigint) as n_turns, kept.n_copies,
   string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>', chr(10) order by nth) as text
 from kept join pos on pos.conv_id = kept.conv_id group by kept.conv_id, cast(floor(nth / 4096) as bigint), kept.n, kept.n_copies""",
+    "op11_decontamination": r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+bp as (select item_id, ws, least(len(ws), 10) as l, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) as p from b where len(ws) > 0),
+bw as (select distinct item_id, l, array_to_string(list_slice(ws, p, p + l - 1), ' ') as k from bp),
+dp as (select r, ws, l, unnest(range(1, len(ws) - l + 2)) as p from d, (select distinct l from bw) where len(ws) >= l),
+hits as (select r, p, dw.l, item_id from (select r, p, l, array_to_string(list_slice(ws, p, p + l - 1), ' ') as k from dp) dw join bw on dw.l = bw.l and dw.k = bw.k),
+words as (select r, count(*) as n_hit from (select distinct r, p + unnest(range(0, l)) as p from (select distinct r, p, l from hits)) group by r),
+items as (select r, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct r, cast(item_id as varchar) as id from hits where item_id is not null) group by r)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words on d.r = words.r left join items on d.r = items.r""",
 }
