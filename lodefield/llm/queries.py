@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, decontam, idstore, jaccard, linededup, lm, mixing, packing, quality, sharding, vectors
+from . import chats, decontam, idstore, jaccard, linededup, lm, mixing, packing, quality, sharding, vectors, whitening
 from .shared import new_path, ready
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,11 +69,15 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digests(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_sharding, op3_quality_rules, op4_line_dedup, op5_chat_formatting, op6_packing, op7_lm_scoring, op8_token_output, op9_embedding_near_dedup, op10_mixing,
-        op11_decontamination,
+        op11_decontamination, op12_embedding_whitening,
     )
 }
 
