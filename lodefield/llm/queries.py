@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, decontam, idstore, jaccard, linededup, lm, mixing, packing, quality, sharding, vectors, whitening
+from . import chats, decontam, idstore, jaccard, linededup, lm, mixing, packing, quality, sharding, tries, vectors, whitening
 from .shared import new_path, ready
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -73,11 +73,15 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digests(read(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.nodes(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_sharding, op3_quality_rules, op4_line_dedup, op5_chat_formatting, op6_packing, op7_lm_scoring, op8_token_output, op9_embedding_near_dedup, op10_mixing,
-        op11_decontamination, op12_embedding_whitening,
+        op11_decontamination, op12_embedding_whitening, op13_conversation_trie,
     )
 }
 
