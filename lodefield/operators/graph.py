@@ -3,7 +3,7 @@ plan is one join and one aggregate however many rounds there are; adjacency is w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .lineage import dropped, written
@@ -33,28 +33,33 @@ def rank_lossy(pairs: DataFrame, is_seed: Column, iterations: int = 12, damping:
 
 def rank_conserved(edges: DataFrame, reset: DataFrame, damping: float = 0.5, most: int = 100, tolerance: float = 1e-10) -> DataFrame:
     """(node, rank) of weighted directed edges (a, b, weight) and reset (node, reset), which is made to sum to 1: what nodes
-    without outgoing edges hold goes back by reset, until the sum of changes is below tolerance (looked at every fourth round)."""
+    without outgoing edges hold goes back by reset, until the sum of changes is below tolerance. Each round is written; what
+    such nodes hold and how much has changed is observed while it is."""
     total = reset.agg(F.sum("reset")).first()[0] or 0.0
     if not total:
         return reset.select("node", F.lit(0.0).alias("rank"))
     out = edges.groupBy("a").agg(F.sum("weight").alias("out"))
-    moves = written(edges.join(out, "a").select("a", "b", (F.col("weight") / F.col("out")).alias("p")).repartition("a"), "edges")
+    moves = written(edges.join(out, "a").select("a", "b", (F.col("weight") / F.col("out")).alias("p")), "edges")
     ends = moves.select(F.col("a").alias("node")).union(moves.select(F.col("b").alias("node"))).union(reset.select("node")).distinct()
-    base = written(ends.join(reset, "node", "left").join(moves.select(F.col("a").alias("node")).distinct().withColumn("goes", F.lit(True)), "node", "left").select("node", (F.coalesce("reset", F.lit(0.0)) / total).alias("reset"), F.col("goes").isNull().alias("stays")), "nodes")
-    x = base.select("node", F.col("reset").alias("rank"))
-    for done in range(0, most, 4):
-        kept = x
-        for _ in range(min(4, most - done)):
-            held = base.where("stays").join(x, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("held"))  # one row
-            moved = moves.join(x, moves["a"] == x["node"]).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("moved"))
-            new = base.join(moved, "node", "left").join(F.broadcast(held))
-            rank = (1 - damping) * F.col("reset") + damping * (F.coalesce("moved", F.lit(0.0)) + F.col("held") * F.col("reset"))
-            before, x = x, new.select("node", rank.alias("rank"))
-        x = written(x.join(before.withColumnRenamed("rank", "old"), "node"), "ranks")
-        change = x.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        dropped(kept)
-        if (change or 0.0) < tolerance:
+    goes = moves.select(F.col("a").alias("node")).distinct().withColumn("goes", F.lit(True))
+    base = ends.join(reset, "node", "left").join(goes, "node", "left").select("node", (F.coalesce("reset", F.lit(0.0)) / total).alias("reset"), F.col("goes").isNull().alias("stays"))
+
+    def kept(x: DataFrame) -> tuple[DataFrame, float, float]:
+        seen = Observation()
+        held = F.sum(F.when(F.col("stays"), F.col("rank"))).alias("held")
+        x = written(x.observe(seen, held, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change")), "ranks")
+        return x, seen.get["held"] or 0.0, seen.get["change"] or 0.0
+
+    x, held, _ = kept(base.withColumns({"rank": F.col("reset"), "old": F.lit(0.0)}))
+    for _ in range(most):
+        moved = moves.join(x.select(F.col("node").alias("a"), "rank"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("moved"))
+        rank = (1 - damping) * F.col("reset") + damping * (F.coalesce("moved", F.lit(0.0)) + F.lit(held) * F.col("reset"))
+        before = x
+        x, held, change = kept(x.select("node", "reset", "stays", F.col("rank").alias("old")).join(moved, "node", "left").select("node", "reset", "stays", rank.alias("rank"), "old"))
+        dropped(before)
+        if change < tolerance:
             break
+    dropped(moves)
     return x.select("node", "rank")
 
 

@@ -42,6 +42,17 @@ def written(df: DataFrame, tag: str = "round") -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return own.exists(at) and own.getFileStatus(at).isDirectory()
+
+
 def dropped(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "lodefield_path", None)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, stem, tokenize
+from ..functions.text import IRREGULAR, STOPWORDS, stem, tokenize
+from .lineage import written
 
 # How much words, stems and the user's own stems count, words of a query that matter less, and by how much.
 RAW, STEM, OWN = 0.30, 0.20, 0.75
@@ -46,39 +47,58 @@ def _part(postings: DataFrame, key: list[str], lengths: DataFrame, df: DataFrame
     return own.select(*key, (share * F.col("weight") * idf * F.col("n") * 2.2 / (F.col("n") + norm)).alias("part"))
 
 
+def rounds(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, text) with a role of user or assistant and their round: a user's turn and the answer that
+    follows it are one, as is an answer alone."""
+    role = F.when(F.col("role") == "user", "user").otherwise("assistant")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    own = turns.select("conv_id", "turn", role.alias("role"), "text")
+    return own.withColumn("round", F.when((F.col("role") == "assistant") & (F.lag("role").over(w) == "user"), F.lag("turn").over(w)).otherwise(F.col("turn")))
+
+
 def scores(turns: DataFrame, query: str, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
     """(conv_id, session, best_round, best_turn, score) of conversations (conv_id, turn, role, text): the session's words and
     stems and the user's stems, and half of the best round's and of the best turn's. How rare a term is, is counted over
     sessions at all sizes. A round is a user's turn and the answer that follows it, or an answer alone."""
-    role = F.when(F.col("role") == "user", "user").otherwise("assistant")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    own = turns.select("conv_id", "turn", role.alias("role"), tokenize(F.col("text")).alias("t"))
-    own = own.withColumn("round", F.when((F.col("role") == "assistant") & (F.lag("role").over(w) == "user"), F.lag("turn").over(w)).otherwise(F.col("turn"))).persist()
-    q = turns.sparkSession.range(1).select(F.explode(weights(query)).alias("w")).select("w.*")
+    own = rounds(turns).select("conv_id", "turn", "role", "round", tokenize(F.col("text")).alias("t"))
+    # Only tokens that are a query's, begin like one of its stems, or are irregular, are kept.
+    q = turns.sparkSession.range(1).select(weights(query).alias("w")).select(F.transform("w", lambda w: w["term"]).alias("terms"))
+    q = q.select("terms", F.transform("terms", lambda t: F.substring(stem(t), 1, 2)).alias("heads"))  # one row
+    odd = F.array(*map(F.lit, IRREGULAR))
+    near = F.filter("t", lambda t: F.array_contains(F.col("terms"), t) | F.array_contains(odd, t) | F.array_contains(F.col("heads"), F.substring(t, 1, 2)))
+    own = written(own.join(F.broadcast(q)).select("conv_id", "turn", "role", "round", F.size("t").alias("len"), near.alias("t")), "turns")
+    hits = own.select("conv_id", "round", "turn", "role", F.explode("t").alias("term")).groupBy("conv_id", "round", "turn", "role", "term").agg(F.count(F.lit(1)).alias("n"))
+    return scored(own.drop("t"), hits, query, alpha, beta)
+
+
+def scored(own: DataFrame, hits: DataFrame, query: str, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
+    """scores() of turns (conv_id, round, turn, role, len) from the terms of them (conv_id, round, turn, role, term, n) that a
+    query's words or stems can be."""
+    q = own.sparkSession.range(1).select(F.explode(weights(query)).alias("w")).select("w.*")
     stems = q.select(stem(F.col("term")).alias("term"), "weight").groupBy("term").agg(F.max("weight").alias("weight"))
     sessions = own.agg(F.countDistinct("conv_id").cast("double").alias("sessions"))
-
-    raw = own.select("conv_id", "round", "turn", "role", F.explode("t").alias("term")).join(F.broadcast(q.select("term")), "term", "left_semi")
-    # Only tokens that begin like a query's stem are stemmed.
-    heads = F.broadcast(stems.select(F.substring("term", 1, 2).alias("head")).distinct())
-    begun = own.select("conv_id", "round", "turn", "role", F.explode("t").alias("term")).join(heads, F.substring("term", 1, 2) == F.col("head"), "left_semi")
-    stemmed = begun.withColumn("term", stem(F.col("term"))).join(F.broadcast(stems.select("term")), "term", "left_semi")
+    both = hits.withColumn("stem", stem(F.col("term"))).join(F.broadcast(q.select(F.col("term"), F.lit(True).alias("is_word"))), "term", "left")
+    both = both.join(F.broadcast(stems.select(F.col("term").alias("stem"), F.lit(True).alias("is_stem"))), "stem", "left").where("is_word or is_stem")
+    both = written(both, "hits")
+    raw, stemmed = both.where("is_word").drop("stem"), both.where("is_stem").drop("term").withColumnRenamed("stem", "term")
 
     def rare(df: DataFrame) -> DataFrame:
         return df.groupBy("term").agg(F.countDistinct("conv_id").alias("df")).join(F.broadcast(sessions))
 
+    rare_raw, rare_stem = rare(raw), rare(stemmed)
+
     def level(key: list[str], rows, of_raw: float, of_stem: float) -> DataFrame:
-        lengths = rows(own).groupBy(*key).agg(F.sum(F.size("t")).alias("len"))
-        count = lambda df: rows(df).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n"))
-        parts = _part(count(stemmed), key, lengths, rare(stemmed), stems, of_stem)
+        lengths = rows(own).groupBy(*key).agg(F.sum("len").alias("len"))
+        count = lambda df: rows(df).groupBy(*key, "term").agg(F.sum("n").alias("n"))
+        parts = _part(count(stemmed), key, lengths, rare_stem, stems, of_stem)
         if of_raw:
-            parts = parts.union(_part(count(raw), key, lengths, rare(raw), q, of_raw))
+            parts = parts.union(_part(count(raw), key, lengths, rare_raw, q, of_raw))
         return parts.groupBy(*key).agg(F.sum("part").alias("part"))
 
     every, user = (lambda df: df), (lambda df: df.where("role = 'user'"))
     mine = rare(user(stemmed))
-    lengths = user(own).groupBy("conv_id").agg(F.sum(F.size("t")).alias("len"))
-    own_part = _part(user(stemmed).groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("n")), ["conv_id"], lengths, mine, stems, OWN)
+    lengths = user(own).groupBy("conv_id").agg(F.sum("len").alias("len"))
+    own_part = _part(user(stemmed).groupBy("conv_id", "term").agg(F.sum("n").alias("n")), ["conv_id"], lengths, mine, stems, OWN)
     session = level(["conv_id"], every, RAW, STEM).union(own_part).groupBy("conv_id").agg(F.sum("part").alias("session"))
     best = lambda key, rows, name: level(["conv_id", key], rows, SUB_RAW, SUB_STEM).groupBy("conv_id").agg(F.max("part").alias(name))
     out = own.select("conv_id").distinct().join(session, "conv_id", "left").join(best("round", every, "best_round"), "conv_id", "left").join(best("turn", user, "best_turn"), "conv_id", "left")

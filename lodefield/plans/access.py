@@ -79,13 +79,13 @@ def policy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("source", "tenant", "restricted", "max_sensitivity", F.col("expires_at").cast("date").alias("expires_at"), "min_role_for_raw", "embed_ok", "data_class", text("allow_roles", F.lit("")), text("purposes", F.lit("")), text("require_capabilities", F.lit(None)), text("redact_fields", F.lit(None)))
 
 
-_LABELLED = "'name: ' || source || ', note: ' || substr(text, 1, 40)"
+_LABELLED = "'name: ' || source || ', note: ' || text"
 
 
-@query(r"select doc_id, case when regexp_replace(t, '(?i)(\bname\b\s*[:=]\s*)([^,;\n]+)', '\1[REDACTED:name]') = t then '[REDACTED]' else regexp_replace(t, '(?i)(\bname\b\s*[:=]\s*)([^,;\n]+)', '\1[REDACTED:name]', 'g') end as text from (select doc_id, case when doc_id % 2 = 0 then " + _LABELLED + " else substr(text, 1, 40) end as t from documents where text is not null)")
+@query(r"select doc_id, case when regexp_replace(t, '(?i)(\bname\b\s*[:=]\s*)([^,;\n]+)', '\1[REDACTED:name]') = t then '[REDACTED]' else regexp_replace(t, '(?i)(\bname\b\s*[:=]\s*)([^,;\n]+)', '\1[REDACTED:name]', 'g') end as text from (select doc_id, case when doc_id % 2 = 0 then " + _LABELLED + " else text end as t from documents where text is not null)")
 def text_redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", A.redacted_text(F.expr(f"case when doc_id % 2 = 0 then {_LABELLED} else substr(text, 1, 40) end"), ["name"]).alias("text"))
+    return d.select("doc_id", A.redacted_text(F.expr(f"case when doc_id % 2 = 0 then {_LABELLED} else text end"), ["name"]).alias("text"))
 
 
 # Conditions are compared with regard to type: 1 is not 1.0, and text is not a number.

@@ -150,7 +150,7 @@ plain("export_difference", """select 'missing' as side, o_orderkey from (select
 plain("journal_divergence", "select 'missing_from_journal' as side, cid from (select sha2(text, 256) as cid from documents where text is not null except select sha2(text, 256) from documents where doc_id % 9 <> 0 and text is not null) a union all select 'journal_only' as side, cid from (select sha2(text || '!', 256) as cid from documents where doc_id % 50 = 0 and text is not null) b".replace("sha2(text, 256)", "⟦sha2(text, 256)¦sha256(text)⟧").replace("sha2(text || '!', 256)", "⟦sha2(text || '!', 256)¦sha256(text || '!')⟧"))
 plain("merged_sources", "select a.id, ⟦array_join(array_sort(array_union(a.s, b.s)), ',')¦array_to_string(list_sort(list_distinct(list_concat(a.s, b.s))), ',')⟧ as sources, ⟦size(array_intersect(a.s, b.s))¦cast(len(list_intersect(a.s, b.s)) as int)⟧ as shared from (select o_orderkey as id, ⟦array¦list_value⟧('s' || cast(o_orderkey % 5 as ⟦string¦varchar⟧), 't' || cast(o_orderkey % 3 as ⟦string¦varchar⟧)) as s from orders) a join (select o_orderkey as id, ⟦array¦list_value⟧('s' || cast(o_orderkey % 4 as ⟦string¦varchar⟧), 't' || cast(o_orderkey % 3 as ⟦string¦varchar⟧)) as s from orders) b on a.id = b.id")
 plain("reconciled_observations", """select source, norm, count(*) as seen, count(distinct lang) as sources, case when count(*) = 1 then 'new' when count(distinct lang) > 1 then 'corroborated' else 'unchanged' end as effect from
-  (select source, lang, ⟦lower(array_join(filter(split(substr(text, 1, 60), '[ \\n\\t]+'), x -> x <> ''), ' '))¦lower(array_to_string(list_filter(regexp_split_to_array(substr(text, 1, 60), '[ \\n\\t]+'), lambda x: x <> ''), ' '))⟧ as norm from documents where text is not null) x group by source, norm""")
+  (select source, lang, ⟦lower(array_join(filter(split(text, '[ \\n\\t]+'), x -> x <> ''), ' '))¦lower(array_to_string(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda x: x <> ''), ' '))⟧ as norm from documents where text is not null) x group by source, norm""")
 _NTH = "(select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as nth, count(*) over (partition by source) as n from documents)"
 plain("summary_clusters", f"select source, cluster, count(*) as members, min(doc_id) as first_doc from (select *, case when n % 8 = 1 and n > 8 and cast(floor(nth / 8) as bigint) = cast(floor((n - 1) / 8) as bigint) then cast(floor(nth / 8) as bigint) - 1 else cast(floor(nth / 8) as bigint) end as cluster from {_NTH} x) y group by source, cluster")
 

@@ -59,13 +59,13 @@ def hop_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(near.withColumnRenamed("node", "a"), "a", "left_semi").join(near.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("source"), F.col("b").alias("target"))
 
 
-@query("""with recursive e as (select distinct l_partkey as a, 1000000 + l_suppkey as b from lineitem where l_quantity >= 45), x as (select a, b from e union all select b, a from e), d as (select a, b, 1.0::double / count(*) over (partition by a) as p from x),
+@query("""with recursive e as (select distinct l_partkey as a, 1000000 + l_suppkey as b from lineitem), x as (select a, b from e union all select b, a from e), d as (select a, b, 1.0::double / count(*) over (partition by a) as p from x),
 z as (select distinct a as node from x), rs as (select node, case when node % 7 = 0 then 1.0::double else 0.0::double end / (select count(*) from z where node % 7 = 0) as reset from z),
 it as (select 0 as i, node, reset as rank from rs union all select i + 1, rs.node, 0.5::double * any_value(rs.reset) + 0.5::double * coalesce(sum(case when d.b = rs.node then it.rank * d.p end), 0) from it join d on d.a = it.node join rs on rs.node = d.b where i < 40 group by i, rs.node)
 select node, round(rank, 6) as rank from it where i = 40""")
 def passage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank over parts and suppliers from a share of them: half goes on along edges, half back, what dead ends hold too."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
+    """Rank over parts and suppliers from every seventh of them: half goes on along edges, half back."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
     both = l.union(l.select("b", "a")).withColumn("weight", F.lit(1.0))
     reset = both.select(F.col("a").alias("node")).distinct().withColumn("reset", (F.col("node") % 7 == 0).cast("double"))
     return G.rank_conserved(both, reset).select("node", F.round("rank", 6).alias("rank"))

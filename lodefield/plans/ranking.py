@@ -102,8 +102,8 @@ def hits(spark: SparkSession, sf_dir: str, most: int = 48) -> DataFrame:
     both = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(R.dot(F.col("embedding"), F.col("query_vector")), 9)).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     top = both.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", F.col("vec_id").alias("id"), "rank", "score", F.col("embedding").cast("array<double>").alias("vector"), F.col("query_vector").cast("array<double>").alias("query_vector"))
-    text = d.select(F.col("doc_id").alias("id"), T.tokenize(F.substring("text", 1, 400)).alias("tokens"), F.col("text"))
-    return top.join(text, "id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))).withColumn("n_words", F.size("tokens"))
+    text = top.join(d.select(F.col("doc_id").alias("id"), "text"), "id", "left")  # only texts of hits are split
+    return text.withColumn("tokens", F.coalesce(T.tokenize(F.col("text")), F.array().cast("array<string>"))).withColumn("n_words", F.size("tokens"))
 
 
 @query()

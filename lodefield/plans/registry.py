@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def index(spark: SparkSession, sf_dir: str, name: str = "documents") -> str:
+    """The path of the stored index of a table's texts, made the first time it is asked for."""
+    from ..operators import postings
+
+    return postings.kept(table(spark, sf_dir, name), f"{sf_dir}/{name}", postings.add_turns if name == "conversations" else postings.add)
+
+
 def either(sql: str) -> tuple[str, str]:
     """The two wordings of SQL in which ⟦a¦b⟧ stands for a in Spark and for b in DuckDB."""
     spark, duck = sql, sql

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
-from ..operators import passages as P
+from ..operators import postings
 from ..operators.lineage import new_path
 from ..sources import journal as J
 from ..sources import stores as S
-from .registry import plain, query, table
+from .registry import index, plain, query, table
 
 plain("change_feed", "select event_id as revision, event_type, user_id from events where event_id > 500")
 
@@ -115,5 +115,5 @@ def adapter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def passage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations by sessions, rounds and turns of a query's words and stems."""
-    got = P.scores(table(spark, sf_dir, "conversations"), "Where does the nation of tion and est go with her money?")
+    got = postings.passage_scores(spark, index(spark, sf_dir, "conversations"), "Where does the nation of tion and est go with her money?")
     return got.select("conv_id", *(F.round(c, 6).alias(c) for c in ("session", "best_round", "best_turn", "score")))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import privacy as P
 from ..functions import text as T
-from ..operators import overlap, retrieval, words
-from .registry import num, plain, query, regex, table
+from ..operators import overlap, postings, retrieval, words
+from .registry import index, num, plain, query, regex, table
 
 QUERY = "What is the nation of tion, est or her and than that ble?"
 _PATTERN = r"[\p{L}\p{N}_][\p{L}\p{N}_:+./-]*"
@@ -76,7 +76,7 @@ def fts_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {duck_tokens()} select distinct doc_id from tok where t like 'nation%' or t like 'tion%' or t = 'est'")
 def fts_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.candidates(table(spark, sf_dir, "documents"), prefixes=["nation", "tion"], exact=["est"]).select("doc_id")
+    return postings.candidates(spark, index(spark, sf_dir), prefixes=["nation", "tion"], exact=["est"])
 
 
 @query(f"with {duck_tokens()}, s as (select doc_id, bool_and(regexp_full_match(t, '[a-z0-9_]+')) as safe from tok group by doc_id) select d.doc_id, coalesce(safe, true) as safe from documents d left join s on s.doc_id = d.doc_id")
@@ -91,8 +91,7 @@ _QTOK = "select unnest(regexp_extract_all(lower('" + QUERY + "'), '[a-z]+')) as
 tf as (select doc_id, t, count(*) as tf from tok group by doc_id, t)
 select tf.doc_id, round(sum((1 + ln(tf)) * qtf / sqrt(len)), 6) as score from tf join q on tf.t = q.t join len on len.doc_id = tf.doc_id group by tf.doc_id""")
 def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = retrieval.lexical(table(spark, sf_dir, "documents"), QUERY)
-    return got.where("score > 0").select("doc_id", F.round("score", 6).alias("score"))
+    return postings.lexical(spark, index(spark, sf_dir), QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
 #: (bm.doc_id, bm.score): DuckDB's wording of bm25() for QUERY.
@@ -105,7 +104,7 @@ bm as (select tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * qtf * tf * 2.
 
 @query(f"with {DUCK_BM25} select doc_id, round(score, 6) as score from bm")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(table(spark, sf_dir, "documents"), QUERY).select("doc_id", F.round("score", 6).alias("score"))
+    return postings.bm25(spark, index(spark, sf_dir), QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _CODED = {"email": P.EMAIL, "phone": P.PHONE, "date-of-birth": P.BIRTH, "passport": P.PASSPORT, "street-address": P.ADDRESS}
