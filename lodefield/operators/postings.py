@@ -91,6 +91,19 @@ def counts(spark: SparkSession, path: str) -> tuple[int, int]:
     return int(c[0] or 0), int(c[1] or 0)
 
 
+def counted(spark: SparkSession, path: str, within: DataFrame) -> tuple[int, int]:
+    """counts() of the documents of within (doc_id)."""
+    c = live(spark, path, "docs").join(within.select("doc_id"), "doc_id", "left_semi").agg(F.count(F.lit(1)), F.sum("len")).first()
+    return int(c[0]), int(c[1] or 0)
+
+
+def frequencies(spark: SparkSession, path: str, terms: list[str], within: DataFrame | None = None) -> DataFrame:
+    """(term, df) of those terms that any live document, or any of within, has."""
+    own = of_terms(spark, path, [], sorted(set(terms)))
+    own = own if within is None else own.join(within.select("doc_id"), "doc_id", "left_semi")
+    return own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def of_terms(spark: SparkSession, path: str, prefixes: list[str], exact: list[str], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Live postings of terms that begin with a prefix or are one of exact: only their folders and row groups are read. An
     empty prefix reads all."""
@@ -110,15 +123,16 @@ def asked(spark: SparkSession, query: str) -> tuple[list[str], list[str], list[s
     return list(r["t"]), list(r["s"]), sorted(set(r["p"])), sorted(a for a, b in IRREGULAR.items() if b in r["s"])
 
 
-def bm25(spark: SparkSession, path: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score) as retrieval.bm25() has them over the live documents."""
+def bm25(spark: SparkSession, path: str, query: str, k1: float = 1.2, b: float = 0.75, within: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score) as retrieval.bm25() has them over the live documents, or over those of within (doc_id) alone."""
     _, stems, heads, odd = asked(spark, query)
-    n, tokens = counts(spark, path)
+    n, tokens = counts(spark, path) if within is None else counted(spark, path, within)
     if not stems or not n:
         return spark.createDataFrame([], "doc_id long, score double")
     wanted = {s: stems.count(s) for s in stems}
     qtf = F.create_map(*(F.lit(x) for p in wanted.items() for x in p))
     own = of_terms(spark, path, heads, odd).withColumn("stem", stem(F.col("term"))).where(F.col("stem").isin(list(wanted)))
+    own = own if within is None else own.join(within.select("doc_id"), "doc_id", "left_semi")
     own = own.groupBy("doc_id", BATCH, "stem", "len").agg(F.sum("tf").alias("tf"))
     df = own.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the query has stems
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))

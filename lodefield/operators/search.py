@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.text import STOPWORDS, approx_tokens, tokenize
+from . import postings
 from . import retrieval as R
 from .selection import mmr, within_budget
 from .words import hashed
@@ -20,12 +21,16 @@ from .words import hashed
 SUPPORT = 2.0 / 3.0
 
 
-def support(hits: DataFrame, query: str, corpus: DataFrame, most: int = 5) -> DataFrame:
-    """(support): the share of the query's content words, weighed by how rare they are, that the first hits (place, text)
-    have between them."""
+def support(hits: DataFrame, query: str, corpus: DataFrame, most: int = 5, index: str | None = None) -> DataFrame:
+    """(support): the share of the query's content words, weighed by how rare they are in the corpus (doc_id, text), that
+    the first hits (place, text) have between them. index: where the corpus' stored index is, if it has one."""
     words = F.array_distinct(F.filter(tokenize(F.lit(query)), lambda t: ~t.isin(STOPWORDS) & (F.length(t) > 2)))
     wanted = corpus.sparkSession.range(1).select(F.explode(words).alias("term"))
-    df = corpus.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if index:
+        df = postings.frequencies(corpus.sparkSession, index, [r["term"] for r in wanted.collect()], corpus)  # the query's words
+    else:
+        own = corpus.join(F.broadcast(corpus.sparkSession.range(1).select(words.alias("asked"))))
+        df = own.select(F.explode(F.array_intersect(tokenize(F.col("text")), F.col("asked"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = corpus.agg(F.count(F.lit(1)).alias("n"))
     weight = F.log((F.col("n") + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5))
     weights = wanted.join(df, "term", "left").join(F.broadcast(n)).select("term", F.greatest(weight, F.lit(0.05)).alias("w"))
@@ -62,13 +67,13 @@ def _all():
     return Window.partitionBy()
 
 
-def retrieve(docs: DataFrame, query: str, now: datetime, k: int = 8, budget: int = 4096, width: int = 32, weights: dict[str, float] | None = None, most_tier: int = 4, most_sensitive: int = 3, abstain: float = 0.45, dims: int = 64) -> DataFrame:
+def retrieve(docs: DataFrame, query: str, now: datetime, k: int = 8, budget: int = 4096, width: int = 32, weights: dict[str, float] | None = None, most_tier: int = 4, most_sensitive: int = 3, abstain: float = 0.45, dims: int = 64, index: str | None = None) -> DataFrame:
     """(place, doc_id, score, channels, used, confidence, abstains): up to k documents (doc_id, text, tier, sensitivity, ts)
     for a query, within a budget of tokens.
 
     Readable documents are scored by BM25 and by hashed embeddings; a span of time in the query weighs both; ranks are
     fused, the first `width` reranked by both likenesses, spread by maximal marginal relevance, weighed by trust and age,
-    and packed. What comes after the fusion is at most `width` rows."""
+    and packed. What comes after the fusion is at most `width` rows. index: the stored index of docs, if there is one."""
     readable = docs.where((F.coalesce("tier", F.lit(5)) <= most_tier) & (F.coalesce("sensitivity", F.lit(0)) <= most_sensitive) & F.col("text").isNotNull())
     span = dates.window(query, now)
     at = docs.sparkSession.range(1).select(tokenize(F.lit(query)).alias("t")).first()["t"]  # the query's own tokens
@@ -80,7 +85,7 @@ def retrieve(docs: DataFrame, query: str, now: datetime, k: int = 8, budget: int
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [float(hashed(list(t), dims) @ q) for t in pdf["tokens"]]})
 
     dense = readable.select("doc_id", tokenize(F.col("text")).alias("tokens")).mapInPandas(likeness, "doc_id long, score double")
-    lexical = R.bm25(readable, query)
+    lexical = postings.bm25(docs.sparkSession, index, query, within=readable) if index else R.bm25(readable, query)
     if span:
         times = readable.select("doc_id", dates.window_factor(F.col("ts").cast("timestamp"), span[0], span[1]).alias("factor"))
         lexical, dense = (x.join(times, "doc_id").select("doc_id", (F.col("score") * F.col("factor")).alias("score")) for x in (lexical, dense))
@@ -110,5 +115,5 @@ def retrieve(docs: DataFrame, query: str, now: datetime, k: int = 8, budget: int
     chosen = near.join(spread.select(F.col("id").alias("doc_id")), "doc_id").withColumn("score", F.round(F.col("score") * (0.5 + activation), 9))
     packed = within_budget(chosen.select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").alias("id"), F.struct((-F.col("score")).alias("s"), "doc_id").alias("rank"), approx_tokens(F.col("text")).alias("cost")), budget)
     kept = packed.select(F.col("id").alias("doc_id"), "place", "used").join(chosen, "doc_id")
-    sure = confidence(kept, support(kept, query, readable))
+    sure = confidence(kept, support(kept, query, readable, index=index))
     return kept.join(F.broadcast(sure)).select("place", "doc_id", F.round("score", 6).alias("score"), "channels", "used", F.round("confidence", 6).alias("confidence"), (F.col("confidence") < abstain).alias("abstains"))

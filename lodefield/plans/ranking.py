@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions import text as T
+from ..operators import postings
 from ..operators import retrieval as R
 from ..operators import search
 from ..operators import selection as S
 from ..operators import vectors as V
 from ..operators import words
-from .registry import num, plain, query, regex, table
+from .registry import index, num, plain, query, regex, table
 from .texts import DUCK_BM25, QUERY
 
 _DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: cast(z[1] as double) * cast(z[2] as double)))"
@@ -58,7 +59,7 @@ _CHANNELS = f"""{DUCK_BM25}, hits as (
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lexical = R.ranked(R.bm25(docs, QUERY).withColumn("score", F.round("score", 9)), "lexical", "document", "doc_id", 100)
+    lexical = R.ranked(postings.bm25(spark, index(spark, sf_dir), QUERY).withColumn("score", F.round("score", 9)), "lexical", "document", "doc_id", 100)
     dense = R.ranked(_dense(spark, sf_dir).withColumn("score", F.round("score", 9)), "vector", "vector", "vec_id", 100)
     long = R.ranked(docs.select("doc_id", F.col("n_chars").cast("double").alias("score")), "recency", "document", "doc_id", 100)
     return lexical.unionByName(dense).unionByName(long)
@@ -210,7 +211,7 @@ def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     tier = F.when(F.col("toxic") == 1, 5).when(F.col("quality") == 1, 1).when(F.col("quality") == 0, 3).otherwise(2)
     rows = d.join(l, "doc_id", "left").select("doc_id", "text", tier.alias("tier"), (F.col("doc_id") % 5).cast("int").alias("sensitivity"), F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(doc_id % 30 as int))").alias("ts"))
-    return search.retrieve(rows, QUERY, datetime(2024, 1, 31))
+    return search.retrieve(rows, QUERY, datetime(2024, 1, 31), index=index(spark, sf_dir))
 
 
 _PROSE = "case o_orderkey % 5 when 0 then 'sent on ' || {iso} || ' by mail' when 1 then 'due ' || {month} || ' ' || day(o_orderdate) || ', ' || year(o_orderdate) when 2 then 'it was ' || day(o_orderdate) || ' ' || {month} || ' ' || year(o_orderdate) when 3 then 'we talked ' || (o_orderkey % 9) || ' days ago' else 'nothing said' end"

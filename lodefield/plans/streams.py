@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import new_path
+from ..streaming import prospective as PR
 from ..streaming import streams as S
 from .registry import plain, query, table
 
@@ -35,6 +36,40 @@ def trigger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drained(S.triggers(stream(spark, sf_dir), "purchase", 60.0))
 
 
+_INTENTIONS = """select user_id, cast(1 as bigint) as intention_id, 'event' as kind, 'purchase' as event_type, 60.0::double as least, epoch_us(min(ts)) as due, cast(-1 as bigint) as until, 259200000000 as step, cast(5 as bigint) as most from events group by user_id
+  union all select user_id, 2, 'exact_time', '', 0.0, epoch_us(timestamp '2024-01-05 06:30:00') + user_id % 7 * 86400000000, -1, 604800000000, 3 from (select distinct user_id from events) u
+  union all select user_id, 3, 'event', 'error', 0.0, epoch_us(timestamp '2024-01-10 00:00:00'), epoch_us(timestamp '2024-01-12 00:00:00'), -1, 1 from (select distinct user_id from events) u"""
+
+
+@query(f"""with recursive i as ({_INTENTIONS}), top as (select max(ts) - interval 1 hour as mark from events),
+e as (select i.*, event_id, epoch_us(ts) as us, row_number() over (partition by i.user_id, intention_id order by ts, event_id) as nth from events join i on events.user_id = i.user_id and events.event_type = i.event_type and value >= least and epoch_us(ts) >= due and (until < 0 or epoch_us(ts) < until), top where kind = 'event' and ts <= mark),
+f as (select user_id, intention_id, nth, event_id, us, cast(0 as bigint) as occurrence, due + step as next_due, true as fired, step, most from e where nth = 1
+  union all select e.user_id, e.intention_id, e.nth, e.event_id, e.us, f.occurrence + case when g then 1 else 0 end, case when g then f.next_due + e.step else f.next_due end, g, e.step, e.most from f join (select *, 0 as z from e) e on e.user_id = f.user_id and e.intention_id = f.intention_id and e.nth = f.nth + 1, lateral (select e.step > 0 and f.occurrence + 1 < e.most and e.us >= f.next_due as g) x)
+select user_id, intention_id, occurrence, event_id, make_timestamp(us) as fired_at from f where fired
+union all select user_id, intention_id, k, -1, make_timestamp(due + k * step) from i, (select unnest(range(0, 3)) as k) r, top where kind = 'exact_time' and make_timestamp(due + k * step) <= mark""")
+def intention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three intentions of each user: one that waits for purchases and comes again, one for days, one for an error within
+    two days."""
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first"))
+    at = lambda text: PR.micros(F.lit(text))
+    row = lambda i, kind, event_type, least, due, until, step, most: F.struct(*(F.lit(v).cast(t).alias(n) for (n, t), v in zip((f.split() for f in PR.INTENTIONS.split(", ")), (i, kind, event_type, least, due, until, step, most))))
+    day = 86_400_000_000
+    rows = F.array(
+        row(1, "event", "purchase", 60.0, PR.micros(F.col("first")), -1, 3 * day, 5),
+        row(2, "exact_time", "", 0.0, at("2024-01-05 06:30:00") + F.col("user_id") % 7 * day, -1, 7 * day, 3),
+        row(3, "event", "error", 0.0, at("2024-01-10 00:00:00"), at("2024-01-12 00:00:00"), -1, 1),
+    )
+    got = S.drained(PR.fired(stream(spark, sf_dir), users.select("user_id", F.explode(rows).alias("r")).select("user_id", "r.*")))
+    return got.withColumn("event_id", F.coalesce("event_id", F.lit(-1)))
+
+
+@query("""with top as (select max(ts) - interval 1 hour as mark from events), e as (select user_id, event_id, ts, lead(ts, 12) over (partition by user_id order by ts, event_id) as pushed from events, top where ts <= mark)
+select user_id, event_id, case when pushed < ts + interval 36 hour then 'evicted' else 'expired' end as reason, least(coalesce(pushed, ts + interval 36 hour), ts + interval 36 hour) as left_at from e, top where pushed < ts + interval 36 hour or ts + interval 36 hour <= mark""")
+def memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What leaves each user's working memory of twelve items and 36 hours."""
+    return S.drained(PR.forgotten(stream(spark, sf_dir), "36 hours", 12))
+
+
 @query("select event_id, user_id, event_type from events")
 def deduplicated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drained(S.deduplicated(stream(spark, sf_dir))).select("event_id", "user_id", "event_type")

@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.lineage import new_path
+from ..operators.lineage import exists, is_folder, new_path
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def events(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:
-    """The stream of event files of a folder. A table that is a folder itself is read as that folder's files."""
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", files).option("recursiveFileLookup", False).parquet(folder)
+def events(spark: SparkSession, folder: str, files: str = "events.parquet", most_files: int | None = None) -> DataFrame:
+    """The stream of a folder's event table, which is a file or a folder of files, or of all files that a glob names.
+    most_files: how many files a batch takes. It is an error if there is no such table."""
+    reader = spark.readStream.schema(EVENTS)
+    reader = reader.option("maxFilesPerTrigger", most_files) if most_files else reader
+    if is_folder(spark, f"{folder}/{files}"):
+        return reader.parquet(f"{folder}/{files}")
+    if not any(c in files for c in "*?[{") and not exists(spark, f"{folder}/{files}"):
+        raise FileNotFoundError(f"{folder}/{files}")
+    return reader.option("pathGlobFilter", files).option("recursiveFileLookup", False).parquet(folder)
 
 
 def drained(stream: DataFrame, mode: str = "append", batch=None) -> DataFrame:
