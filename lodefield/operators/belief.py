@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pyarrow as pa
@@ -45,78 +46,122 @@ def _conflict(a: dict, b: dict) -> bool:
     return a["object"] != b["object"] and not a["additive"]
 
 
-def _arrive(held: list[dict], new: dict) -> None:
-    """What `new` does to what its peers hold, and to itself; sets its label and effect."""
-    live = [x for x in held if x["status"] in ("active", "contested")]
+LIVE = ("active", "contested")
+
+
+def _arrive(held: dict, new: dict) -> None:
+    """What `new` does to what its peers hold (by id), and to itself; sets its label and effect. A row that names the one it
+    replaces is against that one alone; if that is no live peer it is refused, unless it is the row itself coming again."""
+    live = [x for x in held.values() if x["status"] in LIVE]
+    target, own = new["replaces"], held.get(new["id"])
+    if target is not None and own is not None and own["status"] in LIVE and own["replaces"] == target:
+        target = None
+    if new["status"] not in LIVE:  # it takes no part, and stands for what had its id
+        new.update(label="ADD", effect="keep")
+        held[new["id"]] = new
+        return
+    if target is not None and not any(x["id"] == target for x in live):
+        new.update(status="refused", label="REFUSED", effect="refuse")
+        return
     same = [x for x in live if _same(x, new)]
-    against = [] if same else [x for x in live if _conflict(x, new)]
-    if same:
-        best = max(same, key=lambda x: x["confidence"])
+    best = max(same, key=lambda x: x["confidence"]) if same else None
+    against = [x for x in live if x not in same and (x["id"] == target if target is not None else not same and _conflict(x, new))]
+    # The label looks at trust, then at the newest; the effect looks at the strongest, and may differ from the label.
+    if same and (target is None or any(x["id"] == target for x in same)):
         new["label"] = "UPDATE" if new["confidence"] > best["confidence"] or set(new["sources"]) - set(best["sources"]) else "NOOP"
+    elif not against:
+        new["label"] = "ADD"
+    else:
+        stronger = new["tier"] < min(x["tier"] for x in against) or new["valid_from"] > max(x["valid_from"] for x in against)
+        new["label"] = "SUPERSEDE" if stronger else "CONTEST"
+    new["effect"] = "add"
+    if against:
+        new["contradicts"] = sorted(x["id"] for x in against)
+        top = min(against, key=lambda x: (x["tier"], -x["valid_from"].timestamp()))
+        if new["tier"] > top["tier"]:
+            new.update(status="superseded", superseded_by=top["id"], effect="reject")
+        elif new["tier"] < top["tier"] or new["valid_from"] > top["valid_from"]:
+            for x in against:
+                later = new["valid_from"] > x["valid_from"]
+                x.update(status="superseded", superseded_by=best["id"] if best else new["id"], valid_to=new["valid_from"] if later else x["valid_from"] + timedelta(microseconds=1))
+            new["effect"] = "supersede"
+        elif new["valid_from"] == top["valid_from"]:
+            top["status"] = "contested"
+            new.update(status="contested", effect="contest")
+        else:
+            new.update(status="superseded", valid_to=top["valid_from"], effect="historical")
+    if same and (target is None or new["status"] != "superseded"):
         best.update(confidence=max(best["confidence"], new["confidence"]), sources=sorted({*best["sources"], *new["sources"]}), tier=min(best["tier"], new["tier"]))
         new.update(status="merged", superseded_by=best["id"], effect="reinforce")
         return
-    if not against:
-        new.update(status="active", label="ADD", effect="add")
-        held.append(new)
-        return
-    # The label looks at trust, then at the newest; the effect looks at the strongest, and may differ from the label.
-    stronger = new["tier"] < min(x["tier"] for x in against) or new["valid_from"] > max(x["valid_from"] for x in against)
-    new["label"] = "SUPERSEDE" if stronger else "CONTEST"
-    top = min(against, key=lambda x: (x["tier"], -x["valid_from"].timestamp()))
-    if new["tier"] > top["tier"]:
-        new.update(status="superseded", superseded_by=top["id"], effect="reject")
-    elif new["tier"] < top["tier"] or new["valid_from"] > top["valid_from"]:
-        for x in against:
-            later = new["valid_from"] > x["valid_from"]
-            x.update(status="superseded", superseded_by=new["id"], valid_to=new["valid_from"] if later else x["valid_from"] + timedelta(microseconds=1))
-        new.update(status="active", effect="supersede")
-    elif new["valid_from"] == top["valid_from"]:
-        top["status"] = "contested"
-        new.update(status="contested", effect="contest")
-    else:
-        new.update(status="superseded", valid_to=top["valid_from"], effect="historical")
-    held.append(new)
+    held[new["id"]] = new
 
 
 RESULT = "id long, subject long, key string, object string, status string, label string, effect string, valid_from timestamp, valid_to timestamp, superseded_by long, confidence double, tier int, sources array<string>"
+#: Columns that assertions can have besides: whose peers they are, and what they come with.
+OWNERS = ("tenant", "branch", "user_id", "scope")
+EXTRA = {"status": "string", "superseded_by": "long", "replaces": "long", "held": "boolean"}
 
 
-def upserted(assertions: DataFrame) -> DataFrame:
-    """The state after all assertions (id, seq, subject, predicate, object, valid_from, valid_to, confidence, tier, sources),
-    in the order of seq, with how each was labelled and what it did. A row that repeated a held value is merged: the held
-    one has the larger confidence, both sources and the better tier. Order matters within a subject's attribute, so each
-    is one task's fold; its rows are held in memory."""
-    key, negative, additive = predicate_key(F.col("predicate"))
-    own = assertions.select("id", "seq", "subject", key.alias("key"), negative.alias("negative"), additive.alias("additive"), "object", "valid_from", "valid_to", "confidence", "tier", "sources")
+def folded(rows: DataFrame, keys: list[str], schema: pa.Schema, fields: str, settle: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """What settle() makes of each group of sorted rows; groups follow one another in a task, and one is in memory."""
+    names = schema.names
 
-    own = own.repartition("subject", "key").sortWithinPartitions("subject", "key", "seq", "id")
-    names = [c.split()[0] for c in RESULT.split(", ")]
-
-    def settled(held: list[dict], rows: list[dict]) -> list[dict]:
-        for row in rows:
-            row.update(superseded_by=None, sources=sorted(set(row["sources"] or [])))
-            _arrive(held, row)
-        return rows
-
-    def run(batches):
-        # Attributes follow one another; the last one of a batch may go on in the next.
-        rows: list[dict] = []
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
         for batch in batches:
-            done, last = [], [(r["subject"], r["key"]) for r in rows[-1:]]
+            done: list[dict] = []
             for row in batch.to_pylist():
-                at = (row["subject"], row["key"])
-                if rows and [at] != last:
-                    done += settled([], rows)
-                    rows = []
-                rows.append(row)
-                last = [at]
+                if group and any(row[k] != group[0][k] for k in keys):
+                    done += settle(group)
+                    group = []
+                group.append(row)
             if done:
                 yield pa.RecordBatch.from_pylist([{k: r[k] for k in names} for r in done], schema=schema)
-        if rows:
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k in names} for r in settled([], rows)], schema=schema)
+        if group:
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in names} for r in settle(group)], schema=schema)
+
+    return rows.mapInArrow(run, fields)
+
+
+def stamp(df: DataFrame, column: str) -> pa.DataType:
+    return pa.timestamp("us", tz=df.sparkSession.conf.get("spark.sql.session.timeZone")) if dict(df.dtypes)[column] == "timestamp" else pa.timestamp("us")
 
-    stamp = pa.timestamp("us", tz=assertions.sparkSession.conf.get("spark.sql.session.timeZone")) if dict(assertions.dtypes)["valid_from"] == "timestamp" else pa.timestamp("us")
-    kinds = {"id": pa.int64(), "subject": pa.int64(), "valid_from": stamp, "valid_to": stamp, "superseded_by": pa.int64(), "confidence": pa.float64(), "tier": pa.int32(), "sources": pa.list_(pa.string())}
-    schema = pa.schema([(k, kinds.get(k, pa.string())) for k in names])
-    return own.mapInArrow(run, RESULT.replace(" timestamp", f" {dict(assertions.dtypes)['valid_from']}"))
+
+def upserted(assertions: DataFrame) -> DataFrame:
+    """The state after all assertions (id, seq, subject, predicate, object, valid_from, valid_to, confidence, tier, sources),
+    in the order of seq, with how each was labelled, what it did and whom it contradicts.
+
+    Peers have one subject and attribute, and one tenant, branch, user_id and scope where there are such columns. Further
+    columns that count: status (null or `candidate`: active; superseded and retracted rows take no part), superseded_by,
+    replaces (the id that a row is to replace) and held (true: the row is part of the state before all others arrive, as it
+    is). A row that repeated a held value is merged: the held one has the larger confidence, both sources and the better
+    tier. A row stands for a held one of its id. Order matters within a group of peers, so each is one task's fold; its rows
+    are held in memory."""
+    key, negative, additive = predicate_key(F.col("predicate"))
+    owners = [c for c in OWNERS if c in assertions.columns]
+    extra = [F.col(c) if c in assertions.columns else F.lit(None).cast(t).alias(c) for c, t in EXTRA.items()]
+    own = assertions.select("id", "seq", "subject", *owners, "predicate", key.alias("key"), negative.alias("negative"), additive.alias("additive"), "object", "valid_from", "valid_to", "confidence", "tier", "sources", *extra)
+    own = own.withColumns({"held": F.coalesce("held", F.lit(False)), "status": F.when(F.col("status").isNull() | (F.col("status") == "candidate"), "active").otherwise(F.col("status"))})
+    peers = [*owners, "subject", "key"]
+    own = own.repartition(*peers).sortWithinPartitions(*peers, F.desc("held"), "seq", "id")
+
+    def settle(rows: list[dict]) -> list[dict]:
+        held: dict = {}
+        out = []
+        for row in rows:
+            row.update(label=None, effect="held" if row["held"] else None, contradicts=[], sources=sorted(set(row["sources"] or [])))
+            if row["held"]:
+                held[row["id"]] = row
+            else:
+                _arrive(held, row)
+                if held.get(row["id"]) is not row:
+                    out.append(row)
+        return out + list(held.values())
+
+    kind = dict(assertions.dtypes)
+    at = stamp(assertions, "valid_from")
+    kinds = {"id": pa.int64(), "subject": pa.int64(), "valid_from": at, "valid_to": at, "superseded_by": pa.int64(), "confidence": pa.float64(), "tier": pa.int32(), "sources": pa.list_(pa.string()), "contradicts": pa.list_(pa.int64()), "seq": pa.int64(), "replaces": pa.int64()}
+    fields = [*((c, kind[c]) for c in owners), *(f.split() for f in RESULT.replace(" timestamp", f" {kind['valid_from']}").split(", ")), ("predicate", "string"), ("seq", "long"), ("replaces", "long"), ("contradicts", "array<long>")]
+    arrow = {**kinds, **{c: pa.int64() if kind[c] in ("bigint", "int") else pa.string() for c in owners}}
+    return folded(own, peers, pa.schema([(n, arrow.get(n, pa.string())) for n, _ in fields]), ", ".join(f"{n} {t}" for n, t in fields), settle)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import belief as B
+from ..operators import branches as BR
 from ..operators import graph as G
+from ..operators import justify as J
+from ..operators.lineage import written
 from ..operators.words import clauses  # noqa: F401  (claims come from clauses)
 from .registry import num, plain, query, regex, run_sql, table
 
@@ -42,7 +45,7 @@ def predicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def assertion_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.upserted(assertions(spark, sf_dir)).drop("sources")
+    return B.upserted(assertions(spark, sf_dir)).drop("sources", "predicate", "seq", "replaces", "contradicts")
 
 
 @query()
@@ -70,6 +73,60 @@ def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reached(edges, spark.range(1).select(F.lit(3).cast("long").alias("node")))
 
 
+# Lines justify their orders: a line's part and supplier name orders that it rests on, a line of a large quantity one more.
+_LINES = "(select l_orderkey as assertion_id, l_orderkey * 10 + l_linenumber as justification_id, l_partkey as d1, l_suppkey * 3 as d2, case when l_quantity > 40 then cast(floor(l_orderkey / 2) as bigint) end as d3 from lineitem)"
+_CLAIMS = "(select o_orderkey as id, case when o_orderkey % 97 = 5 then 'retracted' when o_orderstatus = 'P' then 'contested' when o_orderkey % 11 = 3 then 'superseded' else 'active' end as status from orders)"
+
+
+def claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = run_sql(spark, sf_dir, f"select 't' as tenant, 'main' as branch, c.* from {_CLAIMS} c")
+    links = run_sql(spark, sf_dir, f"select 't' as tenant, j.* from {_LINES} j")
+    return own, links.select("tenant", "justification_id", "assertion_id", F.array_compact(F.array("d1", "d2", "d3")).alias("dependency_ids"))
+
+
+_LABELS = """broken as (select distinct justification_id from links join st on links.dep = st.id where st.status = 'retracted'), stands as (select assertion_id as id, bool_or(b.justification_id is null) as ok from j left join broken b on b.justification_id = j.justification_id group by assertion_id)"""
+
+
+@query(f"""with j as {_LINES}, st as {_CLAIMS}, links as (select assertion_id, justification_id, unnest([d1, d2, d3]) as dep from j), {_LABELS}
+select st.id, case when st.status in ('active', 'contested') and coalesce(ok, true) then 'in' else 'out' end as label from st left join stands on stands.id = st.id""")
+def belief_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which claims are believed: any justification will do all of whose dependencies stand."""
+    return J.labels(*claims(spark, sf_dir)).select("id", "label")
+
+
+@query(f"""with recursive j as {_LINES}, st0 as {_CLAIMS}, links as (select assertion_id, justification_id, unnest([d1, d2, d3]) as dep from j),
+edge as (select distinct dep as a, assertion_id as b from links where dep in (select id from st0) and assertion_id in (select id from st0)),
+r as (select id as node from st0 where id % 4001 = 7 union select b from r join edge on a = node), st as (select id, case when id in (select node from r) then 'retracted' else status end as status from st0), {_LABELS}
+select st.id, st.status, case when st.status in ('active', 'contested') and coalesce(ok, true) then 'in' else 'out' end as label from st left join stands on stands.id = st.id""")
+def belief_contraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims and what is believed of them after some, and all that rests on them, are retracted."""
+    own, links = claims(spark, sf_dir)
+    after, _ = J.contracted(own, links, own.where("id % 4001 = 7").select("tenant", "id"), "withdrawn")
+    return after.select("tenant", "id", "status").join(J.labels(after, links), ["tenant", "id"]).select("id", "status", "label")
+
+
+@query()
+def branch_merge_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' facts on main and on a copy, both of which go on; the copy is then merged into main."""
+    base = assertions(spark, sf_dir).withColumns({"tenant": F.lit("t"), "branch": F.lit("main")})
+    kept = ["tenant", "branch", "id", "seq", "subject", "predicate", "object", "valid_from", "valid_to", "confidence", "tier", "sources", "status", "superseded_by", "replaces"]
+    main = written(B.upserted(base).where("status <> 'merged'").select(*kept), "main")
+    c = table(spark, sf_dir, "customer")
+
+    def more(branch: str, at: int, value, day: str, where: str) -> DataFrame:
+        said = c.where(where).select((F.lit(at) - F.col("c_custkey")).alias("id"), (F.lit(1 << 60) + F.col("c_custkey")).alias("seq"), F.col("c_custkey").alias("subject"), F.lit("lives in").alias("predicate"), value.alias("object"))
+        return said.withColumns({"tenant": F.lit("t"), "branch": F.lit(branch), "valid_from": F.lit(day).cast(dict(base.dtypes)["valid_from"]), "valid_to": F.lit(None).cast(dict(base.dtypes)["valid_from"]), "confidence": F.lit(0.9), "tier": F.lit(1), "sources": F.array(F.lit("user")), "status": F.lit("active"), "superseded_by": F.lit(None).cast("long"), "replaces": F.lit(None).cast("long")})
+
+    def gone_on(rows: DataFrame, new: DataFrame) -> DataFrame:
+        return B.upserted(rows.withColumn("held", F.lit(True)).unionByName(new.withColumn("held", F.lit(False)))).where("status <> 'merged'").select(*kept)
+
+    copy = BR.created(main, "main", "scratch").where("branch = 'scratch'")
+    copy = gone_on(copy, more("scratch", -1, F.col("c_mktsegment"), "2024-03-01", "c_custkey % 2 = 0"))
+    own = gone_on(main, more("main", -(1 << 40), F.col("c_mktsegment").substr(1, 4), "2024-02-01", "c_custkey % 3 = 0"))
+    state, _ = BR.merged_assertions(written(own.unionByName(copy), "branches"), "scratch", "main")
+    return state.select("id", "subject", "key", "object", "status", "effect", "valid_to", "superseded_by")
+
+
 _ROUNDS = 14
 
 
