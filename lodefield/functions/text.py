@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -14,6 +15,9 @@ _INNER = rf"[\p{{L}}\p{{N}}_&&[^{CJK}]]"
 #: A token ends in a letter, digit or underscore: marks behind it are not part of it.
 TOKEN = rf"[\p{{L}}\p{{N}}&&[{CJK}]]|{_INNER}(?:[{_INNER}:+./-]*{_INNER})?"
 MARKS = r"^[./:+-]+|[./:+-]+$"
+#: TOKEN in texts of ASCII, and the accents that Latin letters lose.
+PLAIN_TOKEN = r"[a-z0-9_](?:[a-z0-9_:+./-]*[a-z0-9_])?"
+LATIN_MARKS = "(?<=[a-z])[\u0300-\u036f]+"
 
 # Words that a query is stripped of where others are left.
 STOPWORDS = (
@@ -36,25 +40,41 @@ def let(value: Column, body) -> Column:
 
 
 @lru_cache(maxsize=1)
-def folds() -> tuple[str, str]:
-    """Characters and what they are folded to: case, and accents of Latin letters. Made by rule; what becomes several
-    characters is left out, but for the German sharp s, which fold() spells out."""
-    pairs = []
-    for c in map(chr, range(0x80, 0x2C00)):
+def folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters and what they are folded to, case and accents of Latin letters: those that become one character, and those
+    that become several. Made by rule."""
+    one, many = {}, {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
         low = unicodedata.normalize("NFD", c.casefold())
-        if low[:1].isascii() and low[:1].isalpha():
-            low = low[0] + "".join(x for x in low[1:] if not "̀" <= x <= "ͯ")
-        low = unicodedata.normalize("NFC", low)
-        if len(low) == 1 and low != c:
-            pairs.append((c, low))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        low = unicodedata.normalize("NFC", re.sub(LATIN_MARKS, "", low))
+        if low != c:
+            (one if len(low) == 1 else many)[c] = low
+    return one, many
+
+
+def _ranges(chars: list[str], gap: int = 64) -> str:
+    """A class of a few ranges that holds the characters, and what lies between near ones."""
+    out: list[list[str]] = []
+    for c in sorted(chars):
+        if out and ord(c) - ord(out[-1][1]) <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{ord(lo):x}}}-\\x{{{ord(hi):x}}}" for lo, hi in out) + "]"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents on Latin letters."""
-    source, target = folds()
-    bare = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), source, target)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(bare, r"(?<=[a-z])[̀-ͯ]+", "")).otherwise(F.lower(text))
+    """Lower case without accents on Latin letters, ligatures and other characters spelt out."""
+    one, many = folds()
+    spelt = F.create_map(*(F.lit(x) for p in many.items() for x in p))
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelt, c), c)), "")
+
+    def bare(t: Column) -> Column:
+        return F.regexp_replace(F.translate(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), "".join(one), "".join(one.values())), LATIN_MARKS, "")
+
+    # Texts with a character spelt out are taken apart; the sharp s is too common for that.
+    beyond, rare = F.octet_length(text) > F.length(text), [c for c in many if c != "ß"]
+    return F.when(beyond & text.rlike(_ranges(rare)), bare(spelt)).when(beyond, bare(text)).otherwise(F.lower(text))
 
 
 def stripped(token: Column) -> Column:
@@ -69,7 +89,10 @@ def tokenize(text: Column) -> Column:
         own = F.filter(F.transform(F.split(t, "-"), stripped), lambda p: (p != "") & (p != t))
         return F.when(t.contains("-"), F.concat(F.array(t), own)).otherwise(F.array(t))
 
-    own = F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
+    def found(f: Column) -> Column:
+        return F.when(F.octet_length(f) == F.length(f), F.regexp_extract_all(f, F.lit(PLAIN_TOKEN), 0)).otherwise(F.regexp_extract_all(f, F.lit(TOKEN), 0))
+
+    own = let(fold(F.coalesce(text, F.lit(""))), found)
     return F.when(text.contains("-"), F.flatten(F.transform(own, parts))).otherwise(own)
 
 

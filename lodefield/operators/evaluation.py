@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import written
+from .ranges import PART, around, dealt, nth, running
 
 
 def ranking_scores(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -89,62 +90,105 @@ def probability_better(posteriors: DataFrame, samples: int = 2048) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df with the average rank of its value: counts by value come first, so that ranks are given to distinct values."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(value).alias("of"), (below + (F.col("n") + 1) / 2.0).alias(name))
-    return df.join(ranks, F.col(value).eqNullSafe(F.col("of"))).drop("of")
+    """df with the average rank of its value: counts by value come first, ranks are given to distinct values by ranges.
+    A null value has none."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    ranks = running(counts, value, {"upto": "n"}).select(F.col(value).alias("of"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(name))
+    return df.join(ranks, F.col(value) == F.col("of"), "left").drop("of")
 
 
-def _pooled(x: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring blocks (from, to, sum, count) pooled until means don't fall."""
+def _pooled(lo: np.ndarray, hi: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring blocks (from, to, sum, count) pooled until means grow from one to the next."""
     out: list[list[float]] = []
-    for lo, hi, s, c in zip(x[:, 0], x[:, 1], total, n):
-        out.append([lo, hi, s, c])
-        while len(out) > 1 and out[-2][2] * out[-1][3] > out[-1][2] * out[-2][3]:
-            _, hi, s, c = out.pop()
-            out[-1][1:] = [hi, out[-1][2] + s, out[-1][3] + c]
-    return tuple(np.array([b[i] for b in out]) for i in range(4))
+    for block in zip(lo.tolist(), hi.tolist(), total.tolist(), n.tolist()):
+        out.append(list(block))
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            _, top, s, c = out.pop()
+            out[-1][1:] = [top, out[-1][2] + s, out[-1][3] + c]
+    return tuple(np.array([b[i] for b in out], float) for i in range(4))
+
+
+_BLOCK = "lo double, hi double, total double, n double"
+
+
+def isotonic_blocks(rows: DataFrame, score: str, outcome: str, slopes: int = 512) -> DataFrame:
+    """(lo, hi, total, n): the blocks of scores, clamped to 0 and 1, that share a fitted value.
+
+    The fit is the lower convex hull of (count, sum) over scores. Outcomes are summed by score; each range of scores pools
+    its own blocks. For `slopes` values spread over those of all blocks, each range names its point where a line of that
+    slope touches it; the lowest of these for a slope is a corner of the hull itself. Between two corners only blocks whose
+    slope is between theirs can hold another corner: what lies beyond is taken together, and each stretch between corners is
+    pooled by itself. So no task has the blocks of all."""
+    own = rows.select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score).cast("double"))).alias("x"), F.col(outcome).cast("double").alias("y")).where("x is not null and y is not null")
+    sums = dealt(own.groupBy("x").agg(F.sum("y").alias("total"), F.count(F.lit(1)).cast("double").alias("n")), "x")
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.groupBy(PART).agg(F.sum("n").alias("n"), F.sum("total").alias("t")).select(F.col(PART).alias("p"), *(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}0") for c in ("n", "t")))
+
+    def pool(key, pdf):
+        pdf = pdf.sort_values("x")
+        lo, hi, total, n = _pooled(*(pdf[c].to_numpy(float) for c in ("x", "x", "total", "n")))
+        return pd.DataFrame({PART: key[0], "lo": lo, "hi": hi, "total": total, "n": n, "n1": pdf["n0"].iloc[0] + np.cumsum(n), "t1": pdf["t0"].iloc[0] + np.cumsum(total)})
+
+    blocks = sums.join(F.broadcast(starts), F.col(PART) == F.col("p")).groupBy(PART).applyInPandas(pool, f"{PART} int, {_BLOCK}, n1 double, t1 double")
+    blocks = written(blocks, "blocks")
+    of = blocks.agg(F.percentile_approx(F.col("total") / F.col("n"), [i / slopes for i in range(slopes + 1)], 20 * slopes).alias("m")).first()["m"]
+    marks = np.unique(np.array(of or [], float))
+
+    def touch(key, pdf):
+        pdf = pdf.sort_values("lo")
+        first = pdf.iloc[0]
+        n = np.concatenate(([first["n1"] - first["n"]], pdf["n1"]))
+        t = np.concatenate(([first["t1"] - first["total"]], pdf["t1"]))
+        at = np.searchsorted((pdf["total"] / pdf["n"]).to_numpy(), marks, "left")
+        return pd.DataFrame({"mark": np.arange(len(marks)), "below": t[at] - marks * n[at], "n": n[at]})
+
+    points = blocks.groupBy(PART).applyInPandas(touch, "mark int, below double, n double")
+    corner = points.groupBy("mark").agg(F.min(F.struct("below", "n")).alias("c")).select("mark", "c.n").orderBy("mark").collect()  # a row for each slope
+    corners = np.maximum.accumulate(np.array([r["n"] for r in corner])) if corner else np.zeros(0)
+
+    def between(key, pdf):
+        """Blocks with their stretch; neighbours beyond one side's slope are one."""
+        pdf = pdf.sort_values("lo")
+        mid = (pdf["n1"] - pdf["n"] / 2).to_numpy()
+        at = np.searchsorted(corners, mid, "right")  # stretch i lies between corners i - 1 and i
+        slope = (pdf["total"] / pdf["n"]).to_numpy()
+        low = np.where(at > 0, marks[np.maximum(at - 1, 0)], -np.inf)
+        high = np.where(at < len(marks), marks[np.minimum(at, len(marks) - 1)], np.inf)
+        side = np.where(slope < low, -1, np.where(slope > high, 1, 0))
+        new = np.ones(len(pdf), bool)
+        new[1:] = (at[1:] != at[:-1]) | (side[1:] != side[:-1]) | (side[1:] == 0)
+        run = np.cumsum(new)
+        return pdf.assign(stretch=at, run=run).groupby(["stretch", "run"], as_index=False).agg(lo=("lo", "min"), hi=("hi", "max"), total=("total", "sum"), n=("n", "sum"))[["stretch", "lo", "hi", "total", "n"]]
+
+    def last(key, pdf):
+        pdf = pdf.sort_values("lo")
+        return pd.DataFrame(dict(zip(("lo", "hi", "total", "n"), _pooled(*(pdf[c].to_numpy(float) for c in ("lo", "hi", "total", "n"))))))
+
+    return written(blocks.groupBy(PART).applyInPandas(between, f"stretch int, {_BLOCK}").groupBy("stretch").applyInPandas(last, _BLOCK), "fit")
 
 
 def isotonic(rows: DataFrame, score: str, outcome: str) -> DataFrame:
-    """(x, y): the fitted value at each distinct score, scores clamped to 0 and 1; y does not fall. Outcomes are summed by
-    score first; each range of scores pools its own blocks, and one task the blocks that are left, which gives the same fit
-    as pooling all."""
-    own = rows.select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score).cast("double"))).alias("x"), F.col(outcome).cast("double").alias("y"))
-    sums = own.groupBy("x").agg(F.sum("y").alias("total"), F.count(F.lit(1)).alias("n"))
-
-    def pool(batches):
-        pdf = pd.concat(list(batches) or [pd.DataFrame({"lo": [], "hi": [], "total": [], "n": []})]).sort_values("lo")
-        if len(pdf):
-            lo, hi, total, n = _pooled(pdf[["lo", "hi"]].to_numpy(), pdf["total"].to_numpy(), pdf["n"].to_numpy(float))
-            yield pd.DataFrame({"lo": lo, "hi": hi, "total": total, "n": n})
-
-    schema = "lo double, hi double, total double, n double"
-    ranges = sums.repartitionByRange("x").select(F.col("x").alias("lo"), F.col("x").alias("hi"), "total", F.col("n").cast("double").alias("n"))
-    blocks = ranges.mapInPandas(pool, schema).coalesce(1).mapInPandas(pool, schema)
-    return sums.join(blocks, F.col("x").between(F.col("lo"), F.col("hi"))).select("x", (blocks["total"] / blocks["n"]).alias("y"))
+    """(x, y): the fitted value at each distinct score, scores clamped to 0 and 1; y does not fall."""
+    blocks = isotonic_blocks(rows, score, outcome).select("lo", (F.col("total") / F.col("n")).alias("y"))
+    x = rows.select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score).cast("double"))).alias("x")).where(F.col("x").isNotNull() & F.col(outcome).isNotNull()).distinct()
+    return around(x, blocks, "x", "lo").select("x", F.col("below.y").alias("y"))
 
 
 def interpolated(scores: DataFrame, knots: DataFrame, score: str) -> DataFrame:
-    """scores with y, straight between the two knots (x, y) around each score, and an end's value beyond it. The knots are
-    one sorted array, broadcast: as many as there are distinct scores in the fit."""
-    own = knots.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k"))
+    """scores with y, straight between the two knots (x, y) around each score, and an end's value beyond it; null where the
+    score is, or without knots."""
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score).cast("double")))
-    left = F.element_at(F.filter("k", lambda p: p["x"] <= s), -1)
-    right = F.try_element_at(F.filter("k", lambda p: p["x"] >= s), F.lit(1))
-    joined = scores.join(F.broadcast(own)).withColumn("a", F.when(F.col("k")[0]["x"] <= s, left)).withColumn("b", right)
-    t = (s - F.col("a.x")) / (F.col("b.x") - F.col("a.x"))
-    y = F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (F.col("a.x") == F.col("b.x")), F.col("a.y")).otherwise(F.col("a.y") + t * (F.col("b.y") - F.col("a.y")))
-    return joined.withColumn("y", y).drop("k", "a", "b")
+    found = around(scores.withColumn("clamped_score", F.when(F.col(score).isNotNull(), s)), knots.select("x", "y"), "clamped_score")
+    t = (F.col("clamped_score") - F.col("below.x")) / (F.col("above.x") - F.col("below.x"))
+    y = F.when(F.col("below").isNull(), F.col("above.y")).when(F.col("above").isNull() | (F.col("below.x") == F.col("above.x")), F.col("below.y")).otherwise(F.col("below.y") + t * (F.col("above.y") - F.col("below.y")))
+    return found.withColumn("y", y).drop("clamped_score", "below", "above")
 
 
 def conformal_threshold(scores: DataFrame, score: str, coverage: float) -> DataFrame:
     """(threshold): the score at place max(0, int((n + 1) * (1 - coverage)) - 1) from below, of n scores clamped to 0 and 1;
-    1 without scores. Only the rows up to that place are sorted out."""
+    1 without scores. Places are counted over ranges of distinct scores."""
     own = scores.select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score).cast("double"))).alias("s")).where("s is not null and not isnan(s)")
     n = own.count()
     if not n:
         return scores.sparkSession.createDataFrame([(1.0,)], "threshold double")
-    at = min(n - 1, max(0, int((n + 1) * (1.0 - coverage)) - 1))
-    return own.orderBy("s").limit(at + 1).agg(F.max("s").alias("threshold"))
+    return nth(own, "s", min(n - 1, max(0, int((n + 1) * (1.0 - coverage)) - 1))).select(F.col("value").alias("threshold"))

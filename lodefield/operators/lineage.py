@@ -33,10 +33,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str = "round") -> DataFrame:
+def written(df: DataFrame, tag: str = "round", compression: str = "snappy") -> DataFrame:
     """df, written and read again: what made it is not planned or run again."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.lodefield_path = path
     return out

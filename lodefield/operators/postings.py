@@ -39,7 +39,7 @@ def runs(tokens: Column) -> Column:
 
 
 def _write(df: DataFrame, path: str, batch: int, *by: str) -> None:
-    df.withColumn(BATCH, F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH, *by).parquet(path)
+    df.withColumn(BATCH, F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH, *by).parquet(path, compression="zstd")
 
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame | None:
@@ -47,14 +47,20 @@ def _read(spark: SparkSession, path: str, table: str) -> DataFrame | None:
     return spark.read.parquet(at) if exists(spark, at) else None
 
 
+def sorted_(postings: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """postings dealt by ranges of term and key, so that no term is one task's, and sorted by head, term and key."""
+    own = postings.repartitionByRange("term", *keys).withColumn(HEAD, head(F.col("term")))
+    return own.sortWithinPartitions(HEAD, "term", *keys)
+
+
 def add(docs: DataFrame, path: str, batch: int, keys: tuple[str, ...] = ("doc_id",), text: str = "text", carry: tuple[str, ...] = ()) -> None:
     """Takes docs into the index at path as the batch of that number. Keys must not be null; a null text has no terms."""
     of = let(tokenize(F.col(text)), lambda t: F.struct(F.size(t).alias("len"), runs(t).alias("terms")))
-    rows = written(docs.select(*keys, *carry, of.alias("of")).select(*keys, *carry, "of.len", "of.terms"), "tokens")
+    rows = written(docs.select(*keys, *carry, of.alias("of")).select(*keys, *carry, "of.len", "of.terms"), "tokens", "zstd")
     retire(rows.select(*keys), path, batch, keys, rows)
     _write(rows.drop("terms"), f"{path}/docs", batch)
-    own = rows.select(*keys, *carry, "len", F.explode("terms").alias("t")).select(*keys, *carry, "t.term", "t.tf", "len", head(F.col("t.term")).alias(HEAD))
-    _write(own.repartitionByRange(HEAD, "term", *keys).sortWithinPartitions(HEAD, "term", *keys), f"{path}/postings", batch, HEAD)
+    own = rows.select(*keys, *carry, "len", F.explode("terms").alias("t")).select(*keys, *carry, "t.term", "t.tf", "len")
+    _write(sorted_(own, keys), f"{path}/postings", batch, HEAD)
     dropped(rows)
 
 
@@ -179,9 +185,9 @@ def passage_scores(spark: SparkSession, path: str, query: str, alpha: float = 0.
 
 def compacted(spark: SparkSession, path: str, to: str, keys: tuple[str, ...] = ("doc_id",)) -> None:
     """Writes what is live as batch 0 of a new index."""
-    own, docs = live(spark, path, "postings", keys).drop(BATCH), live(spark, path, "docs", keys).drop(BATCH)
+    own, docs = live(spark, path, "postings", keys).drop(BATCH, HEAD), live(spark, path, "docs", keys).drop(BATCH)
     _write(docs, f"{to}/docs", 0)
-    _write(own.repartitionByRange(HEAD, "term", *keys).sortWithinPartitions(HEAD, "term", *keys), f"{to}/postings", 0, HEAD)
+    _write(sorted_(own, keys), f"{to}/postings", 0, HEAD)
     n, tokens = counts(spark, path)
     _write(spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(tokens).cast("long").alias("tokens"), F.lit(0).cast("long").alias("n_gone"), F.lit(0).cast("long").alias("tokens_gone")), f"{to}/counts", 0)
 

@@ -10,6 +10,7 @@ from ..operators import branches as BR
 from ..operators import graph as G
 from ..operators import justify as J
 from ..operators.lineage import written
+from ..operators.ranges import least
 from ..operators.words import clauses  # noqa: F401  (claims come from clauses)
 from .registry import num, plain, query, regex, run_sql, table
 
@@ -180,7 +181,8 @@ def lifecycle_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     age = (F.unix_micros(F.to_timestamp(F.lit("2024-01-31 00:00:00"))) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86400000000.0
     s = (F.col("event_id") % 10) / 10.0 * F.exp(-age / 45.0)
-    return e.select("event_id", F.round(s, 9).alias("salience"), s.alias("s")).where("s <= 0.18").orderBy("salience", "event_id").limit(int(0.02 * e.count())).drop("s")
+    low = e.select("event_id", F.round(s, 9).alias("salience"), s.alias("s")).where("s <= 0.18").drop("s")
+    return least(low, ["salience", "event_id"], int(0.02 * e.count()))
 
 
 plain("rehearsals", f"""select event_id, case least(done, 7) when 0 then 1 when 1 then 3 when 2 then 7 when 3 then 14 when 4 then 30 when 5 then 60 when 6 then 120 else 240 end as days, ts + case least(done, 7) when 0 then interval 1 day when 1 then interval 3 day when 2 then interval 7 day when 3 then interval 14 day when 4 then interval 30 day when 5 then interval 60 day when 6 then interval 120 day else interval 240 day end <= {_NOW} as due

@@ -110,7 +110,7 @@ plain("graph_signal", "select node, score from (select n_name as node, cast(n_na
 plain("event_triggers", f"""select a.event_id as trigger_id, min(⟦struct¦row⟧(b.ts, b.event_id)).{{}} as fired_by from (select event_id, user_id, ts, ⟦explode(array(cast(ts as date), cast(ts as date) + 1))¦unnest(list_value(cast(ts as date), cast(ts as date) + 1))⟧ as day from events where event_type = 'view') a join events b on a.user_id = b.user_id and cast(b.ts as date) = a.day
   where b.event_type = 'purchase' and b.value / {num(300.0)} >= 0.2 and b.ts >= a.ts and b.ts <= a.ts + interval 1 day group by a.event_id""".replace("min(⟦struct¦row⟧(b.ts, b.event_id)).{}", "⟦min_by(b.event_id, struct(b.ts, b.event_id))¦arg_min(b.event_id, (b.ts, b.event_id))⟧"))
 plain("dependencies_met", "select o.o_orderkey from orders o where o.o_orderkey % 2 = 0 and not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_linestatus <> 'F') and o.o_orderdate <= timestamp '2000-01-01 00:00:00'")
-plain("joined_by_hash", "select d.doc_id, min(e.doc_id) as vector_of, count(*) as copies from documents d join documents e on ⟦sha2(d.text, 256)¦sha256(d.text)⟧ = ⟦sha2(e.text, 256)¦sha256(e.text)⟧ where d.text is not null group by d.doc_id")
+plain("joined_by_hash", "select d.doc_id, g.vector_of, g.copies from (select doc_id, ⟦sha2(text, 256)¦sha256(text)⟧ as cid from documents where text is not null) d join (select ⟦sha2(text, 256)¦sha256(text)⟧ as cid, min(doc_id) as vector_of, count(*) as copies from documents where text is not null group by 1) g on d.cid = g.cid")
 plain("recurrence", """select event_id, n, cast(due as timestamp) as due from (select event_id, ⟦explode(sequence(0, least(cast(event_id % 5 as int), 3)))¦unnest(range(0, least(event_id % 5, 3) + 1))⟧ as n, ts from events where event_type = 'signup') x, (select 0 as z) y where n >= 0""".replace("cast(due as timestamp) as due", "⟦ts + make_interval(0, 0, 0, n * 7)¦ts + to_days(cast(n * 7 as int))⟧ as due"))
 @query("""with recursive f as (select o_orderkey as id, o_custkey, o_totalprice as score, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as next_id, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place from orders),
 c as (select id, id as live from f where next_id is null union all select f.id, c.live from f join c on f.next_id = c.id),
