@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, times
 from ..functions import text as T
 from ..operators import postings
 from ..operators import retrieval as R
@@ -230,3 +230,37 @@ def window_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the span of "What happened last week?" weighs events, asked on 31 January 2024."""
     start, end, _ = dates.window("What happened last week?", datetime(2024, 1, 31))
     return table(spark, sf_dir, "events").select("event_id", F.round(dates.window_factor(F.col("ts").cast("timestamp"), start, end), 6).alias("factor"))
+
+
+# Turns that begin with a commitment, or a question about the past; said in January 2024 and after, in UTC.
+_SAID_AT = "timestamp '2024-01-15 10:00:00' + interval 1 day * (conv_id % 40)"
+_COMMITS = "case (conv_id * 3 + turn) % 8 when 0 then 'I will call Ann tomorrow at 5pm. ' when 1 then 'Pay the rent by ' || {iso} || '. ' when 2 then 'We plan to meet in three weeks. ' when 3 then 'Finish it this Friday. ' when 4 then 'Remind me on Friday. ' when 5 then 'Call in 90 minutes. ' when 6 then 'Submit the form tomorrow at 5. ' else '' end"
+_ASKS = "case (conv_id * 3 + turn) % 6 when 0 then 'What did I say yesterday morning? ' when 1 then 'What did we discuss last week? ' when 2 then 'What did you tell me three days ago? ' when 3 then 'What did I write in March 2023? ' when 4 then 'What did I buy on Friday? ' else 'What did I do as of 2024-01-02? ' end"
+
+
+def _said(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").withColumn("said_at", F.expr("timestamp_ntz '2024-01-15 10:00:00' + make_dt_interval(cast(conv_id % 40 as int))"))
+    text = F.concat(F.expr(words.format(iso="date_format(date_add(cast(said_at as date), 10), 'yyyy-MM-dd')")), F.coalesce("text", F.lit("")))
+    return own.select("conv_id", "turn", "said_at", text.alias("text"), F.lit("UTC").alias("zone"))
+
+
+@query(f"""with s as (select conv_id, turn, (conv_id * 3 + turn) % 8 as k, {_SAID_AT} as at_, cast({_SAID_AT} as date) as d from conversations),
+w as (select *, case k when 0 then d + 1 when 1 then d + 10 when 2 then d + 21 when 3 then d + cast((5 - isodow(d) + 7) % 7 as int) end as due from s)
+select conv_id, turn, coalesce(case k when 0 then 'tomorrow' when 1 then 'iso' when 2 then 'offset' when 3 then 'weekday' when 4 then 'weekday' when 5 then 'offset' when 6 then 'tomorrow' end, '') as rule, case when k in (4, 6) then 'ambiguous' when k = 7 then 'unknown' else 'resolved' end as status,
+  case k when 4 then 'weekday_reference_ambiguous' when 6 then 'meridiem_required' else '' end as reason, case when k in (0, 5) then 'instant' when k = 7 then 'unknown' else 'day' end as precision,
+  case k when 0 then cast(due as timestamp) + interval 17 hour when 5 then at_ + interval 90 minute else cast(due as timestamp) end as due_start, case k when 0 then cast(due as timestamp) + interval 17 hour when 5 then at_ + interval 90 minute else cast(due + 1 as timestamp) end as due_end from w""")
+def commitment_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When what turns commit to is due."""
+    own = times.commitment_times(_said(spark, sf_dir, _COMMITS), "text", "said_at", "zone")
+    none = lambda c: F.coalesce(f"due.{c}", F.lit("")).alias(c)
+    return own.select("conv_id", "turn", none("rule"), "due.status", none("reason"), "due.precision", F.col("due.start").alias("due_start"), F.col("due.end").alias("due_end"))
+
+
+@query(f"""with s as (select conv_id, turn, (conv_id * 3 + turn) % 6 as k, cast({_SAID_AT} as date) as d from conversations), w as (select *, date_trunc('week', d)::date as monday, cast((isodow(d) - 5 + 7) % 7 as int) as back from s)
+select conv_id, turn, coalesce(case k when 0 then 'yesterday morning' when 1 then 'last week' when 2 then 'three days ago' when 3 then 'march 2023' when 4 then 'friday' end, '') as label,
+  case k when 0 then cast(d - 1 as timestamp) + interval 5 hour when 1 then cast(monday - 7 as timestamp) when 2 then cast(d - 3 as timestamp) when 3 then timestamp '2023-03-01 00:00:00' when 4 then cast(d - back as timestamp) end as span_start,
+  case k when 0 then cast(d - 1 as timestamp) + interval 12 hour when 1 then cast(monday as timestamp) when 2 then cast(d - 2 as timestamp) when 3 then timestamp '2023-04-01 00:00:00' when 4 then cast(d - back + 1 as timestamp) end as span_end from w""")
+def time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans that questions about the past ask for."""
+    own = times.time_windows(_said(spark, sf_dir, _ASKS), "text", "said_at", "zone")
+    return own.select("conv_id", "turn", F.coalesce("asked.label", F.lit("")).alias("label"), F.col("asked.start").alias("span_start"), F.col("asked.end").alias("span_end"))
