@@ -18,11 +18,10 @@ task has one of either, and counts add up over blocks.
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,24 +152,94 @@ def search(x: np.ndarray, first: np.ndarray, nbr: np.ndarray, medoids: np.ndarra
 
 
 def _centres(nodes: DataFrame, sample: int, per_cell: int) -> dict[int, np.ndarray]:
-    """Centres of the cells of each label that one cell can't hold, fitted on `sample` nodes altogether, or on four for
-    each centre where these are more."""
+    """Centres of the cells of each label that one cell can't hold. They are fitted on `sample` nodes altogether; where four
+    for each centre are more than that, these nodes give a label some first centres only, and the nodes nearest to each of
+    them, four for each centre, are fitted by a task of their own: the driver has the sample and the centres."""
     sizes = {r["label"]: r["count"] for r in nodes.groupBy("label").count().where(F.col("count") > per_cell).collect()}
     total = sum(sizes.values())
     if not total:
         return {}
-    share = min(1.0, max(sample, 4 * total // per_cell) / total)
     own = nodes.where(F.col("label").isin(list(sizes))) if len(sizes) < 1000 else nodes
-    picked = own.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("label", "w", "x").toPandas()
+    part = lambda n: own.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(1 << 30)) < int(min(1.0, n / total) * (1 << 30)) + 1)
+    picked = part(sample).select("label", "w", "x").toPandas()
+    wanted = {label: max(2, -(-n // per_cell)) for label, n in sizes.items()}
+    two = 4 * total // per_cell > sample
     out = {}
-    for label, n in sizes.items():
+    for label, k in wanted.items():
         some = picked[picked["label"] == label]
         if len(some):
             some = some[some["w"] == some["w"].mode()[0]]
-            out[int(label)] = centres(unit(some["x"]), max(2, -(-n // per_cell)), most=sample)
+            out[int(label)] = centres(unit(some["x"]), max(2, int(np.ceil(np.sqrt(k)))) if two else k, most=sample)
+    if not two:
+        return out
+    first = nodes.sparkSession.sparkContext.broadcast(out)
+
+    def near(batches):
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for (label, w), g in pdf.groupby(["label", "w"]):
+                c = first.value.get(label)
+                if c is not None and c.shape[1] == w:
+                    yield pa.RecordBatch.from_pandas(g.assign(top=(unit(g["x"]) @ c.T).argmax(1))[["label", "top", "x"]], preserve_index=False)
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = pdf["label"].iloc[0]
+        found = centres(unit(pdf["x"]), max(1, round(len(pdf) / 4)), most=sample)
+        return pd.DataFrame({"label": label, "x": list(found)})
+
+    dealt = part(4 * total // per_cell).select("label", "w", "x").mapInArrow(near, "label long, top long, x array<double>")
+    got = dealt.groupBy("label", "top").applyInPandas(lambda pdf: fitted(pdf), "label long, x array<double>").toArrow()
+    flat, labels = np.asarray(got.column("x").combine_chunks().flatten()), np.asarray(got.column("label").combine_chunks())
+    starts = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(got.column("x").combine_chunks())))))
+    for label in out:
+        mine = np.flatnonzero(labels == label)
+        if len(mine):
+            out[label] = np.stack([flat[starts[i] : starts[i + 1]] for i in mine])
     return out
 
 
+def witnesses(nodes: DataFrame, threshold: float, most: int = 200_000, bands: int = 12, bits: int = 16) -> DataFrame:
+    """(node): ends of links that are found without the graph. Nodes of equal signs of `bits` random projections lie in one
+    bucket, once for each band; as many whole buckets are drawn as hold `most` nodes, and in the order of one more
+    projection neighbours are compared. Buckets are dealt by range, so that none is one task's."""
+    n = nodes.count()
+    share = min(1.0, most / max(1, n * bands))
+
+    def run(batches):
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for w, g in pdf.groupby("w"):
+                x = unit(g["x"])
+                for band in range(bands):
+                    planes = np.random.default_rng([band, int(w)]).standard_normal((int(w), bits + 1))
+                    at = x @ planes
+                    key = (at[:, :bits] > 0) @ (1 << np.arange(bits))
+                    draw = np.random.default_rng([7, band]).random(1 << bits)[key] < share
+                    if draw.any():
+                        yield pa.RecordBatch.from_pandas(g[draw].assign(band=band, key=key[draw], at=at[draw, bits])[["label", "w", "band", "key", "at", "node", "x"]], preserve_index=False)
+
+    def compared(batches):
+        last = None
+        for batch in batches:
+            pdf = batch.to_pandas()
+            if last is not None:
+                pdf = pd.concat((last, pdf), ignore_index=True)
+            last = pdf.tail(1)
+            if len(pdf) < 2:
+                continue
+            a, b = pdf.iloc[:-1], pdf.iloc[1:]
+            alike = (a[["label", "w", "band", "key"]].to_numpy() == b[["label", "w", "band", "key"]].to_numpy()).all(1)
+            at = np.flatnonzero(alike)
+            if len(at):
+                x, y = unit(a["x"].iloc[at]), unit(b["x"].iloc[at])
+                at = at[np.einsum("ij,ij->i", x, y) >= threshold]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a["node"].to_numpy()[at], b["node"].to_numpy()[at])))], names=["node"])
+
+    dealt = nodes.select("label", "w", "node", "x").mapInArrow(run, "label long, w int, band long, key long, at double, node long, x array<double>")
+    order = ["label", "w", "band", "key", "at", "node"]
+    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compared, "node long").distinct()
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, overlap: int = 3, per_cell: int = 8192, block: int = 16_384, sample: int = 20_000, audit: int = 256, recall: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector (vec_id, embedding, label); other columns are not read.
 
@@ -307,21 +376,31 @@ def _linked(nodes: DataFrame, threshold: float, overlap: int, per_cell: int, blo
     return out
 
 
-def audited(nodes: DataFrame, found: DataFrame, threshold: float, queries: int) -> float:
+def audited(nodes: DataFrame, found: DataFrame, threshold: float, queries: int, whole: int = 20_000) -> float:
     """The share of its links that a node finds, on average over the audited nodes that have any: against all nodes, in
     blocks. Nodes with links to over a hundredth of all vectors are averaged apart, and the smaller average counts.
 
-    Of the queries half are nodes for which few links were found, a quarter such with many; a quarter are any nodes, for
-    those whose links were all lost."""
-    spark = nodes.sparkSession
+    Of the queries a quarter are nodes for which few links were found, a quarter such with many, a quarter ends of links
+    that were found without the graph, a quarter any nodes: links that are lost altogether show in the last two. If none of
+    them has a link, all nodes are audited in a table of up to `whole`; in a larger one buckets of near signs hold no
+    link then, and recall is 1 of nothing."""
     many = (nodes.agg(F.sum("n")).first()[0] or 0) // 100
     sums = found.groupBy("node").agg(F.sum("links").alias("seen"), F.min("root").alias("root"))
     drawn = lambda df, n: df.select("node").orderBy(F.xxhash64(F.lit(5), "node")).limit(n)
-    some = drawn(sums.where(f"seen <= {many} and (seen > 0 or root <> node)"), queries // 2).union(drawn(sums.where(f"seen > {many}"), queries // 4)).union(drawn(nodes, queries // 4))
-    few = nodes.join(F.broadcast(some.distinct()), "node", "left_semi").toPandas()
+    some = drawn(sums.where(f"seen <= {many} and (seen > 0 or root <> node)"), queries // 4).union(drawn(sums.where(f"seen > {many}"), queries // 4))
+    some = some.union(drawn(witnesses(nodes, threshold), queries // 4)).union(drawn(nodes, queries // 4))
+    shares = _shares(nodes, found, threshold, nodes.join(F.broadcast(some.distinct()), "node", "left_semi"), many)
+    if not shares and nodes.limit(whole + 1).count() <= whole:
+        shares = _shares(nodes, found, threshold, nodes, many)
+    return min(shares, default=1.0)
+
+
+def _shares(nodes: DataFrame, found: DataFrame, threshold: float, asked: DataFrame, many: int) -> list[float]:
+    """The average share of links found of asked nodes with few links, and with many, where there are any."""
+    few = asked.select("label", "w", "node", "x").toPandas()
     if not len(few):
-        return 1.0
-    sent = spark.sparkContext.broadcast({k: (g["node"].to_numpy(), unit(g["x"])) for k, g in few.groupby(["label", "w"])})
+        return []
+    sent = nodes.sparkSession.sparkContext.broadcast({k: (g["node"].to_numpy(), unit(g["x"])) for k, g in few.groupby(["label", "w"])})
 
     def run(batches):
         for batch in batches:
@@ -329,16 +408,11 @@ def audited(nodes: DataFrame, found: DataFrame, threshold: float, queries: int)
             for k, g in pdf.groupby(["label", "w"]):
                 if k in sent.value:
                     ids, q = sent.value[k]
-                    hit = (unit(g["x"]) @ q.T >= threshold) & (g["node"].to_numpy()[:, None] != ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((hit * g["n"].to_numpy()[:, None]).sum(0))], names=["node", "links"])
+                    x, own, n = unit(g["x"]), g["node"].to_numpy(), g["n"].to_numpy()
+                    links = [n @ ((x @ q[lo : lo + 1024].T >= threshold) & (own[:, None] != ids[lo : lo + 1024])) for lo in range(0, len(ids), 1024)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(links).astype(np.int64))], names=["node", "links"])
 
     want = nodes.select("label", "w", "node", "n", "x").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("want"))
     both = want.join(found.groupBy("node").agg(F.sum("links").alias("got")), "node", "left")
     share = F.least("want", F.coalesce("got", F.lit(0))) / F.col("want")
-    means = both.where("want > 0").groupBy(F.col("want") > many).agg(F.avg(share).alias("share")).collect()
-    if means:
-        return min(r["share"] for r in means)
-    if queries < 2048:  # none has a link: more are drawn
-        return audited(nodes, found, threshold, 2048)
-    warnings.warn("near_vectors: none of the audited nodes has a link, recall is not measured", RuntimeWarning, stacklevel=3)
-    return 1.0
+    return [r["share"] for r in both.where("want > 0").groupBy(F.col("want") > many).agg(F.avg(share).alias("share")).collect()]
