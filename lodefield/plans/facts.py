@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import belief as B
 from ..operators import branches as BR
+from ..operators import forgetting as FG
 from ..operators import graph as G
 from ..operators import justify as J
 from ..operators.lineage import written
@@ -197,6 +198,46 @@ plain("groundedness", f"""select doc_id, round(case when tier <= 3 then greatest
 plain("write_priority", f"""select event_id, round(score, 6) as score, round(greatest(score, least(cap, floor_)), 6) as effective, round(least({N(20.0)}, 1 / greatest(greatest(score, least(cap, floor_)), {N(0.000001)})), 6) as weight from
   (select *, greatest({N(0.0)}, least({N(1.0)}, least(raw, cap))) as score from (select event_id, ({N(0.35)} * (event_id % 10) / {N(10.0)} + {N(0.25)} * {N(0.65)} + {N(0.25)} * (event_id % 7) / {N(7.0)}) as raw, case event_type when 'purchase' then {N(1.0)} when 'signup' then {N(0.9)} when 'click' then {N(0.7)} when 'view' then {N(0.5)} else {N(0.2)} end as cap, case event_type when 'purchase' then {N(0.1)} else {N(0.02)} end as floor_ from events) a) b""")
 
+# A store of documents, two others of which each derives from, claims that labels make of two documents each, and relations of pages.
+def store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    n = F.col("doc_id")
+    of = F.when(n > 1, F.array(name(F.floor(n / 2)), name(F.floor(n / 3)))).otherwise(F.array().cast("array<string>"))
+    own = [F.lit("t").alias("tenant"), F.lit("main").alias("branch")]
+    evidence = d.select(*own, name(n).alias("cid"), F.col("source").alias("user_id"), F.col("text").alias("content"), F.lit(False).alias("erased"), F.lit(None).cast("array<float>").alias("embedding"), of.alias("sources"))
+    claims = l.select(*own, n.alias("id"), F.lit("s").alias("subject"), F.lit("p").alias("predicate"), F.lit("o").alias("object"), F.lit("active").alias("status"), F.array(name(n), name(F.floor(n / 7))).alias("sources"), (n % 3 == 0).alias("conjunctive"))
+    p = F.col("page_id")
+    relations = table(spark, sf_dir, "pages").select(*own, p.alias("id"), F.lit("a").alias("source"), F.lit("r").alias("predicate"), F.lit("b").alias("target"), F.lit(None).cast("timestamp").alias("valid_to"), F.array(name(p)).alias("sources"))
+    return evidence, claims, relations
+
+
+_FORGOTTEN = """select 'evidence' as collection, 'd' || doc_id as id, {erased} as action, sha256('forgotten-evidence:v1' || chr(31) || 't' || chr(31) || coalesce(source, '') || chr(31) || coalesce(text, '')) as digest from documents where doc_id in (select id from gone)
+union all select 'evidence', 'd' || doc_id, 'trimmed', '' from documents where doc_id > 1 and doc_id not in (select id from gone) and (cast(floor(doc_id / 2) as bigint) in (select id from gone) or cast(floor(doc_id / 3) as bigint) in (select id from gone))
+union all select 'claims', cast(doc_id as varchar), case when doc_id % 3 = 0 or (doc_id in (select id from gone) and cast(floor(doc_id / 7) as bigint) in (select id from gone)) then 'retracted' else 'trimmed' end, '' from labels where doc_id in (select id from gone) or cast(floor(doc_id / 7) as bigint) in (select id from gone)
+union all select 'relations', cast(page_id as varchar), 'expired', '' from pages where page_id in (select id from gone)"""
+_DERIVED = """s as (select doc_id as id, cast(floor(doc_id / 2) as bigint) as source from documents where doc_id > 1 union select doc_id, cast(floor(doc_id / 3) as bigint) from documents where doc_id > 1)"""
+
+
+def _receipt(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    got = FG.forget(*store(spark, sf_dir), spark.createDataFrame([("d1",), ("d2",), ("d5",)], "cid string"), mode)
+    return got.receipt.select("collection", "id", "action", F.coalesce("digest", F.lit("")).alias("digest"))
+
+
+@query(f"with recursive {_DERIVED}, n as (select id, count(*) as need from s group by id), e0 as (select cast(1 as bigint) as id union select 2 union select 5)"
+       + "".join(f", e{k} as (select id from e{k - 1} union select s.id from s join n on n.id = s.id join e{k - 1} on e{k - 1}.id = s.source group by s.id having count(*) = max(need))" for k in range(1, _ROUNDS + 1))
+       + f", gone as (select id from e{_ROUNDS}) " + _FORGOTTEN.format(erased="'erased'"))
+def forget_tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The receipt of forgetting three documents: what is emptied, trimmed, retracted and ended."""
+    return _receipt(spark, sf_dir, "tombstone")
+
+
+@query(f"with recursive {_DERIVED}, gone as (select unnest([1, 2, 5]::bigint[]) as id union select s.id from s join gone on s.source = gone.id) " + _FORGOTTEN.format(erased="'removed'"))
+def forget_legal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The receipt of erasing three documents and all that derives from them."""
+    return _receipt(spark, sf_dir, "legal")
+
+
 # Branches: every third order is changed on a copy, and comes back.
 _MAIN = "select o_orderkey as id, o_custkey as subject, o_orderstatus as object, 'main' as branch from orders"
 plain("branch_create", f"select id, subject, object, branch from ({_MAIN}) m union all select id, subject, object, 'scratch' as branch from ({_MAIN}) m")
