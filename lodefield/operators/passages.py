@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +40,6 @@ def weights(query: str) -> Column:
     return F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), weight(t).alias("weight")))
 
 
-def _part(postings: DataFrame, key: list[str], lengths: DataFrame, df: DataFrame, q: DataFrame, share: float) -> DataFrame:
-    """(key, part): the share of BM25 that terms (key, term, n) of a query (term, weight) give."""
-    n = lengths.agg(F.count(F.lit(1)).cast("double").alias("all"), F.avg("len").alias("mean"))
-    own = postings.join(F.broadcast(q), "term").join(F.broadcast(df), "term").join(lengths, key).join(F.broadcast(n))
-    idf = F.log(1 + (F.col("sessions") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = 1.2 * (0.25 + 0.75 * F.col("len") / F.greatest("mean", F.lit(1.0)))
-    return own.select(*key, (share * F.col("weight") * idf * F.col("n") * 2.2 / (F.col("n") + norm)).alias("part"))
-
-
 def rounds(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text) with a role of user or assistant and their round: a user's turn and the answer that
     follows it are one, as is an answer alone."""
@@ -73,35 +66,42 @@ def scores(turns: DataFrame, query: str, alpha: float = 0.5, beta: float = 0.5)
 
 def scored(own: DataFrame, hits: DataFrame, query: str, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
     """scores() of turns (conv_id, round, turn, role, len) from the terms of them (conv_id, round, turn, role, term, n) that a
-    query's words or stems can be."""
-    q = own.sparkSession.range(1).select(F.explode(weights(query)).alias("w")).select("w.*")
-    stems = q.select(stem(F.col("term")).alias("term"), "weight").groupBy("term").agg(F.max("weight").alias("weight"))
-    sessions = own.agg(F.countDistinct("conv_id").cast("double").alias("sessions"))
-    both = hits.withColumn("stem", stem(F.col("term"))).join(F.broadcast(q.select(F.col("term"), F.lit(True).alias("is_word"))), "term", "left")
-    both = both.join(F.broadcast(stems.select(F.col("term").alias("stem"), F.lit(True).alias("is_stem"))), "stem", "left").where("is_word or is_stem")
-    both = written(both, "hits")
-    raw, stemmed = both.where("is_word").drop("stem"), both.where("is_stem").drop("term").withColumnRenamed("stem", "term")
-
-    def rare(df: DataFrame) -> DataFrame:
-        return df.groupBy("term").agg(F.countDistinct("conv_id").alias("df")).join(F.broadcast(sessions))
-
-    rare_raw, rare_stem = rare(raw), rare(stemmed)
-
-    def level(key: list[str], rows, of_raw: float, of_stem: float) -> DataFrame:
-        lengths = rows(own).groupBy(*key).agg(F.sum("len").alias("len"))
-        count = lambda df: rows(df).groupBy(*key, "term").agg(F.sum("n").alias("n"))
-        parts = _part(count(stemmed), key, lengths, rare_stem, stems, of_stem)
-        if of_raw:
-            parts = parts.union(_part(count(raw), key, lengths, rare_raw, q, of_raw))
-        return parts.groupBy(*key).agg(F.sum("part").alias("part"))
-
-    every, user = (lambda df: df), (lambda df: df.where("role = 'user'"))
-    mine = rare(user(stemmed))
-    lengths = user(own).groupBy("conv_id").agg(F.sum("len").alias("len"))
-    own_part = _part(user(stemmed).groupBy("conv_id", "term").agg(F.sum("n").alias("n")), ["conv_id"], lengths, mine, stems, OWN)
-    session = level(["conv_id"], every, RAW, STEM).union(own_part).groupBy("conv_id").agg(F.sum("part").alias("session"))
-    best = lambda key, rows, name: level(["conv_id", key], rows, SUB_RAW, SUB_STEM).groupBy("conv_id").agg(F.max("part").alias(name))
-    out = own.select("conv_id").distinct().join(session, "conv_id", "left").join(best("round", every, "best_round"), "conv_id", "left").join(best("turn", user, "best_turn"), "conv_id", "left")
+    query's words or stems can be. On the driver are the query's terms, with a weight and a number of sessions each."""
+    spark = own.sparkSession
+    asked = spark.range(1).select(F.explode(weights(query)).alias("w")).select("w.*", stem(F.col("w.term")).alias("stem")).collect()
+    words = {r["term"]: r["weight"] for r in asked}
+    stems: dict[str, float] = {}
+    for r in asked:
+        stems[r["stem"]] = max(r["weight"], stems.get(r["stem"], 0.0))
+    user = F.col("role") == "user"
+    is_word, is_stem = F.col("term").isin(list(words)), F.col("stem").isin(list(stems))
+    both = written(hits.withColumn("stem", stem(F.col("term"))).where(is_word | is_stem), "hits")
+    sessions = own.agg(F.countDistinct("conv_id")).first()[0]
+
+    def rare(rows: DataFrame, column: str, of: dict[str, float], share: float) -> Column:
+        """What a term's occurrences count, by how many sessions have it."""
+        df = {r[column]: r["df"] for r in rows.where(F.col(column).isin(list(of))).groupBy(column).agg(F.countDistinct("conv_id").alias("df")).collect()}
+        known = {t: share * of[t] * math.log(1 + (sessions - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        return F.try_element_at(F.create_map(*(F.lit(x) for p in known.items() for x in p)), F.col(column)) if known else F.lit(None).cast("double")
+
+    def level(key: list[str], rows: DataFrame, lengths: DataFrame, parts: list[tuple[str, Column]]) -> DataFrame:
+        """(key, part): BM25 over rows of one size, with the terms' weights by word and by stem."""
+        lengths = lengths.groupBy(*key).agg(F.sum("len").alias("len"))
+        mean = max(lengths.agg(F.avg("len")).first()[0] or 0.0, 1.0)
+        counts = [rows.groupBy(*key, F.col(c).alias("t")).agg(F.sum("n").alias("n")).withColumn(c, F.col("t")).select(*key, "n", w.alias("w")) for c, w in parts]
+        found = counts[0]
+        for more in counts[1:]:
+            found = found.union(more)
+        norm = 1.2 * (0.25 + 0.75 * F.col("len") / mean)
+        return found.where("w is not null").join(lengths, key).groupBy(*key).agg(F.sum(F.col("w") * F.col("n") * 2.2 / (F.col("n") + norm)).alias("part"))
+
+    mine, theirs = both.where(user), own.where(user)
+    whole = [("term", rare(both, "term", words, RAW)), ("stem", rare(both, "stem", stems, STEM))]
+    small = [("term", rare(both, "term", words, SUB_RAW)), ("stem", rare(both, "stem", stems, SUB_STEM))]
+    session = level(["conv_id"], both, own, whole).union(level(["conv_id"], mine, theirs, [("stem", rare(mine, "stem", stems, OWN))]))
+    session = written(session.groupBy("conv_id").agg(F.sum("part").alias("session")), "sessions")
+    best = lambda key, rows, lengths, name: written(level(["conv_id", key], rows, lengths, small).groupBy("conv_id").agg(F.max("part").alias(name)), name)
+    out = own.select("conv_id").distinct().join(session, "conv_id", "left").join(best("round", both, own, "best_round"), "conv_id", "left").join(best("turn", mine, theirs, "best_turn"), "conv_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     out = out.select("conv_id", zero("session"), zero("best_round"), zero("best_turn"))
     return out.withColumn("score", F.col("session") + alpha * F.col("best_round") + beta * F.col("best_turn"))

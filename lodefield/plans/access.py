@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import access as A
+from ..operators import exports as EX
 from .registry import either, num, plain, query, regex, run_sql, table
 
 _TIER = "case when l.toxic = 1 then 5 when l.quality = 1 then 1 when l.quality = 0 then 3 else 2 end"
@@ -113,3 +114,26 @@ plain("lease_order", f"select event_type, ⟦min_by(event_id, struct(-priority,
 plain("queue_transitions", """select o_orderkey, case when status = 'running' and attempts >= 3 and stale then 'dead' when status = 'running' and stale then 'retry' else status end as status, attempts + case when status in ('queued', 'retry') then 1 else 0 end as attempts from
   (select o_orderkey, cast(o_orderkey % 5 as int) as attempts, case o_orderstatus when 'O' then 'queued' when 'P' then 'running' else 'complete' end as status, o_orderdate < timestamp '1998-01-01 00:00:00' as stale from orders) x""")
 plain("status_counts", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by o_orderstatus, o_orderpriority")
+
+
+# What an agent may take out: a third of the documents derive from two others, and go only if these may.
+_AGENT = f"(select 'agent' as role, {_EMPTY} as capabilities, {_LIST("'research'")} as purposes)"
+_AGENT_REASON = f"""i as (select * from ({_ITEMS}) x), c as (select * from {_AGENT} y), own as (select doc_id, case {" ".join(f"when {cond} then '{name}'" for name, cond in _DENY)} else 'allowed' end as reason, has_policy and min_role_for_raw is not null and len(redact_fields) > 0 as limited, redact_fields from i, c),
+dep as (select doc_id as id, cast(floor(doc_id / 2) as bigint) as src from documents where doc_id % 3 = 0 and doc_id > 1 union select doc_id, cast(floor(doc_id / 3) as bigint) from documents where doc_id % 3 = 0 and doc_id > 1)"""
+_NAMED = "case when doc_id % 2 = 0 then 'name: ' || source || ', note: ' || coalesce(text, '') else coalesce(text, '') end"
+
+
+@query(rf"""with recursive {_AGENT_REASON}, r as (select dep.id from dep join own on own.doc_id = dep.src where own.reason <> 'allowed' union select dep.id from dep join r on dep.src = r.id)
+select o.doc_id, case when reason = 'allowed' and o.doc_id in (select id from r) then 'source_denied' else reason end as reason,
+  case when reason <> 'allowed' or o.doc_id in (select id from r) then '' when not limited then {_NAMED.replace("doc_id", "d.doc_id")} when d.doc_id % 2 = 0 then regexp_replace({_NAMED.replace("doc_id", "d.doc_id")}, '(?i)(\bname\b\s*[:=]\s*)([^,;\n]+)', '\1[REDACTED:name]', 'g') else '[REDACTED]' end as content from own o join documents d on d.doc_id = o.doc_id""")
+def policy_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with the reason why they may leave the store or not, and what leaves."""
+    none = F.lit(None).cast("array<string>")
+    who = run_sql(spark, sf_dir, either(f"select * from {_AGENT} y")[0]).select(F.struct(F.lit(None).cast("string").alias("tenant"), "role", F.lit(None).cast("int").alias("max_sensitivity"), F.lit(False).alias("break_glass"), "capabilities", none.alias("principals"), none.alias("scopes"), "purposes", none.alias("residency"), none.alias("lawful_basis")).alias("caller"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_NAMED).alias("content"))
+    own = A.decide(items(spark, sf_dir).join(F.broadcast(who))).join(d, "doc_id")
+    n = F.col("doc_id")
+    of = F.when((n % 3 == 0) & (n > 1), F.array(F.floor(n / 2).cast("long"), F.floor(n / 3).cast("long"))).otherwise(F.array().cast("array<long>"))
+    rows = own.select("doc_id", n.alias("cid"), of.alias("sources"), "reason", "allowed", "redacted", F.col("policy.redact_fields").alias("redact_fields"), "content")
+    out = EX.redacted(EX.closed(rows), keep=("doc_id", "cid", "sources", "reason", "allowed"), texts=("content",))
+    return out.select("doc_id", "reason", F.when(F.col("allowed"), F.col("content")).otherwise("").alias("content"))
