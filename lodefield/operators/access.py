@@ -41,6 +41,7 @@ def decide(rows: DataFrame, most_sensitive: int = 3) -> DataFrame:
     raw = F.coalesce(_of(RANKS, role), F.lit(-1)) < F.coalesce(_of(RANKS, p("min_role_for_raw")), F.lit(99))
     wants_raw = p("min_role_for_raw").isNotNull()
     none = lambda x: F.size(F.coalesce(x, F.array().cast("array<string>"))) == 0
+    # The reasons, in the order in which they are looked for.
     chain = [
         ("invalid_role", _of(RANKS, role).isNull()),
         ("unknown_access_policy_key", has & F.coalesce(p("unknown_key"), F.lit(False))),
@@ -78,8 +79,10 @@ def partition(rows: DataFrame) -> Column:
 
 def merged_policies(rows: DataFrame, key: str) -> DataFrame:
     """One policy for each key: lists that permit are intersected, lists that demand are united, the lowest ceiling, the
-    earliest end, the highest raw role; tenants that disagree restrict. Rows: key and the policy's columns. Counts of
-    rows and values are enough, so that each key is aggregated map-side first."""
+    earliest end, the highest raw role; tenants that disagree, a hold or a restriction of any restrict. Rows: key and the
+    policy's columns, of which allow_principals, scopes, residency and lawful_basis (permits), break_glass (only if all
+    policies have it) and hold (kept if any has one: that of the conflict, else the first by name) may be missing. Counts
+    of rows and values are enough, so that each key is aggregated map-side first."""
 
     def permit(name: str) -> DataFrame:
         named = rows.where(F.size(name) > 0)
@@ -100,8 +103,15 @@ def merged_policies(rows: DataFrame, key: str) -> DataFrame:
         (F.min(F.col("embed_ok").cast("int")) == 1).alias("embed_ok"),
         F.when(F.min("data_class") == F.max("data_class"), F.min("data_class")).otherwise(F.lit("mixed")).alias("data_class"),
     )
-    for part in (permit("allow_roles"), permit("purposes"), demand("require_capabilities"), demand("redact_fields")):
+    more = [c for c in ("allow_principals", "scopes", "residency", "lawful_basis") if c in rows.columns]
+    for part in (permit("allow_roles"), permit("purposes"), *map(permit, more), demand("require_capabilities"), demand("redact_fields")):
         base = base.join(part, key, "left")
+    if "break_glass" in rows.columns:
+        every = rows.groupBy(key).agg(F.coalesce(F.bool_and(F.coalesce("break_glass", F.lit(False))), F.lit(False)).alias("break_glass"))
+        base = base.join(every, key, "left")
+    if "hold" in rows.columns:
+        held = rows.groupBy(key).agg(F.when(F.min("tenant") != F.max("tenant"), F.lit("tenant-conflict")).otherwise(F.min(F.when(F.col("hold") != "", F.col("hold")))).alias("hold"))
+        base = base.join(held, key, "left").withColumn("restricted", F.col("restricted") | F.col("hold").isNotNull())
     return base
 
 

@@ -42,6 +42,7 @@ def support(hits: DataFrame, query: str, corpus: DataFrame, most: int = 5, index
 def confidence(hits: DataFrame, supported: DataFrame) -> DataFrame:
     """(confidence) of hits (place, score, tier, channels): qualities weighed by rank and relevance, by the margin of the
     first, by how many there are, and by the query's support."""
+    # The weights of a hit's quality, and how the query's support bears on the confidence.
     top = F.max("score").over(_all())
     relevance = F.col("score") / F.greatest(F.col("top"), F.lit(0.01))
     trust = 1 - F.col("tier") / 5.0

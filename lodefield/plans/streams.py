@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import postings
 from ..operators.lineage import new_path
 from ..streaming import prospective as PR
 from ..streaming import streams as S
-from .registry import plain, query, table
+from .registry import index, plain, query, table
+from .texts import duck_tokens
 
 _SESSIONS = """with m as (select *, lag(ts) over (partition by user_id order by ts, event_id) as prev from events), s as (select *, sum(case when prev is null or ts >= prev + interval 2 hour then 1 else 0 end) over (partition by user_id order by ts, event_id) as nth from m),
 g as (select user_id, min(ts) as session_start, max(ts) + interval 2 hour as session_end, count(*) as n from s group by user_id, nth)"""
@@ -36,6 +38,21 @@ def trigger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drained(S.triggers(stream(spark, sf_dir), "purchase", 60.0))
 
 
+@query(f"""with {duck_tokens()} select t as term, count(distinct doc_id) as df, cast(count(*) as bigint) as tf from tok where doc_id % 7 <> 3 group by t""")
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of an index that a stream of documents has filled, a seventh of which was taken back since."""
+    at = new_path(spark, "index")
+    S.indexed(S.rows(spark, sf_dir, "documents").select("doc_id", "text"), at)
+    postings.retire(table(spark, sf_dir, "documents").where("doc_id % 7 = 3").select("doc_id"), at, 1 << 30)
+    return postings.term_stats(spark, at)
+
+
+@query(f"""with {duck_tokens()} select t as term, count(distinct doc_id) as df, cast(count(*) as bigint) as tf from tok group by t""")
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms of the stored index of documents."""
+    return postings.term_stats(spark, index(spark, sf_dir))
+
+
 _INTENTIONS = """select user_id, cast(1 as bigint) as intention_id, 'event' as kind, 'purchase' as event_type, 60.0::double as least, epoch_us(min(ts)) as due, cast(-1 as bigint) as until, 259200000000 as step, cast(5 as bigint) as most from events group by user_id
   union all select user_id, 2, 'exact_time', '', 0.0, epoch_us(timestamp '2024-01-05 06:30:00') + user_id % 7 * 86400000000, -1, 604800000000, 3 from (select distinct user_id from events) u
   union all select user_id, 3, 'event', 'error', 0.0, epoch_us(timestamp '2024-01-10 00:00:00'), epoch_us(timestamp '2024-01-12 00:00:00'), -1, 1 from (select distinct user_id from events) u"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import postings
 from ..operators.lineage import exists, is_folder, new_path
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -37,6 +38,20 @@ def drained(stream: DataFrame, mode: str = "append", batch=None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(at)
 
 
+def rows(spark: SparkSession, folder: str, name: str, most_files: int | None = None) -> DataFrame:
+    """The stream of a folder's table, a file or a folder of files, with the table's own columns."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}.parquet").schema)
+    reader = reader.option("maxFilesPerTrigger", most_files) if most_files else reader
+    return reader.parquet(f"{folder}/{name}.parquet") if is_folder(spark, f"{folder}/{name}.parquet") else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def indexed(stream: DataFrame, path: str, add=postings.add) -> None:
+    """Takes all that a stream of texts has now into the index at path, batch by batch; a batch that is run again, as after
+    a failure, replaces what it wrote. Progress is kept beside the index, so that a later run goes on where this one ended."""
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
+    writer.foreachBatch(lambda df, i: add(df, path, i)).start().awaitTermination()
+
+
 def sessions(stream: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> DataFrame:
     """(user_id, session_start, session_end, n) of sessions that the watermark has closed."""
     own = stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))

@@ -83,3 +83,17 @@ def test_names_without_fields(spark):
     df = spark.createDataFrame([(1, "secret", 5, ["phone"], True)], "id long, a string, n int, redact_fields array<string>, redacted boolean")
     r = exports.redacted(df, keep=("id",)).first()
     assert (r["a"], r["n"]) == ("[REDACTED]", 5)
+
+
+def test_policies_merge(spark):
+    """Permits are intersected over the policies that name any, break-glass needs all, a hold or a conflict restricts."""
+    from lodefield.operators import access
+
+    schema = "k string, tenant string, restricted boolean, max_sensitivity int, expires_at date, min_role_for_raw string, embed_ok boolean, data_class string, allow_roles array<string>, purposes array<string>, require_capabilities array<string>, redact_fields array<string>, allow_principals array<string>, residency array<string>, lawful_basis array<string>, break_glass boolean, hold string"
+    row = lambda k, tenant="t", principals=(), residency=(), basis=(), glass=None, hold=None: (k, tenant, False, None, None, None, True, None, [], [], [], [], list(principals), list(residency), list(basis), glass, hold)
+    rows = [row("a", principals="xy", residency=["eu"], glass=True), row("a", principals="yz", glass=True), row("b", basis=["consent"], glass=True), row("b", basis=["contract"]), row("c", hold="court"), row("c"), row("d", tenant="t"), row("d", tenant="u")]
+    got = {r["k"]: r for r in access.merged_policies(spark.createDataFrame(rows, schema), "k").collect()}
+    assert (got["a"]["allow_principals"], got["a"]["residency"], got["a"]["break_glass"], got["a"]["restricted"]) == (["y"], ["eu"], True, False)
+    assert (got["b"]["lawful_basis"], got["b"]["break_glass"]) == ([], False)
+    assert (got["c"]["hold"], got["c"]["restricted"]) == ("court", True)
+    assert (got["d"]["hold"], got["d"]["restricted"]) == ("tenant-conflict", True)
