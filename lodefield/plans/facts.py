@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import belief as B
 from ..operators import branches as BR
+from ..operators import entities as EN
 from ..operators import forgetting as FG
 from ..operators import graph as G
 from ..operators import justify as J
@@ -286,3 +287,22 @@ def entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 plain("structural_holes", """select a, b, count(*) as shared, round(sum(ln(n / 2.0)), 6) as surprise from (select min(doc_id) as a, max(doc_id) as b, max(n) as n from (select doc_id, w, count(*) over (partition by w) as df, n from
   (select distinct doc_id, n, ⟦explode(regexp_extract_all(lower(text), '([a-z]{8,})', 1))¦unnest(regexp_extract_all(lower(text), '[a-z]{8,}'))⟧ as w from documents, (select count(*) as n from documents) c) x) y where df = 2 group by w) z group by a, b having count(*) >= 3""")
 plain("promotion_gate", f"""select source, n, base, candidate, round(candidate - base, 6) as lift, candidate >= base - {N(0.02)} and roots >= 2 as promoted from (select d.source, count(*) as n, round(avg(cast(quality as double)), 6) as base, round(avg(case when toxic = 1 then {N(0.0)} else {N(1.0)} end), 6) as candidate, count(distinct lang) as roots from labels l join documents d on d.doc_id = l.doc_id group by d.source) x""")
+
+
+# Parts of the same words in any order are one thing, but for those that a veto keeps apart; one merge in five is taken back.
+_PART = "case when p_partkey % 3 = 0 then p_name || ' ' || p_brand when p_partkey % 3 = 1 then p_brand || ', ' || p_name else upper(p_name) || ' by ' || p_brand end"
+_SAME = f"select array_to_string(list_sort(regexp_extract_all(lower({_PART}), '[a-z0-9]+')), '-') as block, array_to_string(regexp_extract_all(lower({_PART}), '[a-z0-9]+'), '-') as key from part"
+
+
+@query(f"""with k as ({_SAME}), b as (select block, key, dense_rank() over (partition by block order by key) as nth, min(key) over (partition by block) as head from k)
+select key, any_value(case when nth = 1 or length(key) % 5 = 0 then key else head end) as entity, count(*) as mentions from b group by key""")
+def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities of parts' names after merges, a fifth of which were undone."""
+    names = table(spark, sf_dir, "part").select(F.lit("t").alias("tenant"), F.expr(_PART).alias("name"))
+    pairs = EN.candidates(names.select("tenant", EN.key(F.col("name")).alias("key"))).where("score = 1.0")
+    seq = F.abs(F.xxhash64("left_key", "right_key"))
+    merges = written(pairs.select("tenant", seq.alias("seq"), F.lit("merge").alias("kind"), "left_key", "right_key", F.lit(None).cast("long").alias("undoes")), "merges")
+    none = F.lit(None).cast("string")
+    back = merges.where(F.length("right_key") % 5 == 0).select("tenant", (-F.col("seq") - 1).alias("seq"), F.lit("undo").alias("kind"), none.alias("left_key"), none.alias("right_key"), F.col("seq").alias("undoes"))
+    got = EN.resolved(names, merges.unionByName(back))
+    return got.groupBy("key", "entity").agg(F.count(F.lit(1)).alias("mentions"))
