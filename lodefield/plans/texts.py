@@ -206,8 +206,10 @@ def rare_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.rare_names(items, overlap.development(items, "item_id", 10))
 
 
-@query(f"""with {duck_tokens('conversations', 'conv_id')}, {duck_tokens(name='dt')}, known as (select distinct t from dt), new as (select distinct t from tok where length(t) >= 6 and regexp_full_match(t, '[a-z]+') and t not in (select t from known))
-select new.t as term, known.t as correction from new join known on left(new.t, 1) = left(known.t, 1) and length(known.t) >= 6 and abs(length(new.t) - length(known.t)) <= 1 and regexp_full_match(known.t, '[a-z]+') and damerau_levenshtein(new.t, known.t) <= 1""")
+@query(f"""with {duck_tokens('conversations', 'conv_id')}, {duck_tokens(name='dt')}, known as (select distinct t from dt), new as (select distinct t from tok where length(t) >= 6 and regexp_full_match(t, '[a-z]+') and t not in (select t from known)),
+less as (select t, t as v from new union select t, left(t, i - 1) || substr(t, i + 1) from (select t, unnest(range(2, length(t) + 1)) as i from new)),
+fine as (select t from known where length(t) >= 6 and regexp_full_match(t, '[a-z]+')), other as (select t, t as v from fine union select t, left(t, i - 1) || substr(t, i + 1) from (select t, unnest(range(2, length(t) + 1)) as i from fine))
+select distinct a.t as term, b.t as correction from less a join other b on a.v = b.v where left(a.t, 1) = left(b.t, 1) and damerau_levenshtein(a.t, b.t) <= 1""")
 def typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda name: table(spark, sf_dir, name).select(F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term")).distinct()
     return words.corrections(of("conversations"), of("documents"))
@@ -232,7 +234,7 @@ def term_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with w as (select doc_id, list_filter(regexp_extract_all(lower(strip_accents(replace(lower(text), 'ß', 'ss'))), '[a-z]+'), lambda x: length(x) > 2) as w from documents),
-b as (select doc_id, w[i] as a, w[i + 1] as b from (select doc_id, w, unnest(range(1, len(w))) as i from w)), c as (select a, b, count(*) as n from b where a <> b group by a, b having count(*) >= 5),
+z as (select unnest(list_zip(list_slice(w, 1, len(w) - 1), list_slice(w, 2, len(w)))) as p from w where len(w) > 1), b as (select p[1] as a, p[2] as b from z), c as (select a, b, count(*) as n from b where a <> b group by a, b having count(*) >= 5),
 df as (select t, count(*) as df from (select distinct doc_id, unnest(w) as t from w) group by t), n as (select count(*) + 2.0 as n from documents)
 select c.a, c.b, c.n, round(greatest(0, ln((c.n / n.n) / ((x.df / n.n) * (y.df / n.n))) / ln(2)), 4) as pmi from c join df x on x.t = c.a join df y on y.t = c.b, n""")
 def bigram_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
