@@ -25,7 +25,8 @@ def paragraphs(text: Column, chunk: int = 2048) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    # F.trim itself would get a sentence's number as the characters to trim.
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def windows(text: Column, size: int = 3, stride: int = 2) -> Column:
