@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import digests as DG
 from ..operators import postings
 from ..operators.lineage import new_path
 from ..streaming import prospective as PR
@@ -109,10 +110,11 @@ def incremental_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 plain("cadence", "select user_id, count(*) as n, case when count(*) >= 50 then 'hourly' when count(*) >= 20 then 'daily' else 'weekly' end as tier, max(ts) as last_at from events group by user_id")
-@query("select source, count(*) as n, cast(sum(cast(('0x' || md5(cast(doc_id as varchar))[1:12]) as bigint)) as bigint) as fingerprint, max(doc_id) as newest from documents group by source")
+@query("select source, count(*) as n, sha256(array_to_string(list_sort(list(cast(doc_id as varchar))), ',')) as fingerprint, max(doc_id) as newest from documents group by source")
 def model_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each source, what tells whether a model of it is out of date: how many documents, a sum of hashes of their
-    numbers, which needs no order, and the newest."""
-    h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 12), 16, 10).cast("long")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("fingerprint"), F.max("doc_id").alias("newest"))
-
+    """For each source, what tells whether a model of it is out of date: how many documents, a digest of all their numbers,
+    sorted, and the newest."""
+    d = table(spark, sf_dir, "documents")
+    counts = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("newest"))
+    digests = DG.ids_sha256(d, "source", "doc_id").withColumnRenamed("source", "of")
+    return counts.join(digests, F.col("source").eqNullSafe(F.col("of"))).select("source", "n", F.col("sha256").alias("fingerprint"), "newest")
