@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .lineage import dropped, written
+from .lineage import beside, dropped, written
 
 
 def adjacency(pairs: DataFrame) -> DataFrame:
@@ -68,15 +68,18 @@ def reached(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> Data
     them. Each round joins the newest nodes alone."""
     found = written(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
     front, parts, hop = found, [found], 0
+    n = total = found.count()
     while hops is None or hop < hops:
         hop += 1
         old = parts[0]
         for p in parts[1:]:
             old = old.union(p)
-        new = edges.join(front, edges["a"] == front["node"]).select(F.col("b").alias("node")).distinct().join(old, "node", "left_anti").withColumn("hop", F.lit(hop))
+        new = edges.join(beside(front, n), edges["a"] == front["node"]).select(F.col("b").alias("node")).distinct().join(beside(old, total), "node", "left_anti").withColumn("hop", F.lit(hop))
         front = written(new)
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
+        total += n
         parts.append(front)
     out = parts[0]
     for p in parts[1:]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .belief import LIVE, upserted
 from .graph import reached
-from .lineage import written
+from .lineage import beside, written
 
 
 def _links(justifications: DataFrame) -> DataFrame:
@@ -22,10 +22,10 @@ def labels(claims: DataFrame, justifications: DataFrame, branch: str = "main") -
     """(tenant, id, label) of a branch's claims. A dependency that is no claim of the branch doesn't undermine what rests on
     it. A claim that very many rest on is one row, joined with theirs; justifications of any size are exploded, not held."""
     own = claims.where(F.col("branch") == branch)
-    gone = own.where("status = 'retracted'").select("tenant", F.col("id").alias("dep"))
-    broken = _links(justifications).join(gone, ["tenant", "dep"], "left_semi").select("tenant", "justification_id").distinct().withColumn("broken", F.lit(True))
+    gone = own.where("status = 'retracted'").select("tenant", F.col("id").alias("dep")).hint("shuffle_hash")
+    broken = _links(justifications).join(gone, ["tenant", "dep"], "left_semi").select("tenant", "justification_id").distinct().withColumn("broken", F.lit(True)).hint("shuffle_hash")
     stands = justifications.select("tenant", "justification_id", "assertion_id").join(broken, ["tenant", "justification_id"], "left")
-    stands = stands.groupBy("tenant", F.col("assertion_id").alias("id")).agg(F.bool_or(F.col("broken").isNull()).alias("stands"))
+    stands = stands.groupBy("tenant", F.col("assertion_id").alias("id")).agg(F.bool_or(F.col("broken").isNull()).alias("stands")).hint("shuffle_hash")
     live = F.coalesce(F.col("status").isin(*LIVE), F.lit(False)) & F.coalesce("stands", F.lit(True))
     return own.join(stands, ["tenant", "id"], "left").select("tenant", "id", F.when(live, "in").otherwise("out").alias("label"))
 
@@ -35,8 +35,9 @@ def invalidated(claims: DataFrame, justifications: DataFrame, roots: DataFrame,
     justification, whether or not another one still holds."""
     own = written(claims.where(F.col("branch") == branch).select(F.struct("tenant", "id").alias("node")).distinct(), "claims")
     edges = _links(justifications).where("dep is not null").select(F.struct("tenant", F.col("dep").alias("id")).alias("a"), F.struct("tenant", F.col("assertion_id").alias("id")).alias("b")).distinct()
-    edges = edges.join(own.withColumnRenamed("node", "a"), "a", "left_semi").join(own.withColumnRenamed("node", "b"), "b", "left_semi")
-    start = roots.select(F.struct("tenant", "id").alias("node")).join(own, "node", "left_semi")
+    n = own.count()
+    edges = edges.join(beside(own.withColumnRenamed("node", "a"), n), "a", "left_semi").join(beside(own.withColumnRenamed("node", "b"), n), "b", "left_semi")
+    start = roots.select(F.struct("tenant", "id").alias("node")).join(beside(own, n), "node", "left_semi")
     return reached(written(edges, "edges"), start).select("node.tenant", "node.id", "hop")
 
 
@@ -45,12 +46,12 @@ def contracted(claims: DataFrame, justifications: DataFrame, roots: DataFrame, r
     was retracted before keeps its own), and (tenant, id, label) of the roots and what went with them."""
     hit = written(invalidated(claims, justifications, roots, branch), "invalidated")
     named = claims if "invalidated_reason" in claims.columns else claims.withColumn("invalidated_reason", F.lit(None).cast("string"))
-    after = named.join(hit.select("tenant", "id", F.lit(branch).alias("branch"), F.lit(True).alias("hit")), ["tenant", "id", "branch"], "left")
+    after = named.join(beside(hit.select("tenant", "id", F.lit(branch).alias("branch"), F.lit(True).alias("hit")), hit.count()), ["tenant", "id", "branch"], "left")
     now = F.coalesce(F.col("hit"), F.lit(False)) & ~F.col("status").eqNullSafe(F.lit("retracted"))
     after = after.withColumns({"status": F.when(now, "retracted").otherwise(F.col("status")), "invalidated_reason": F.when(now, F.lit(reason)).otherwise(F.col("invalidated_reason"))})
     after = written(after.select(*named.columns), "contracted")
     touched = hit.select("tenant", "id").union(roots.select("tenant", "id")).distinct()
-    labelled = touched.join(labels(after, justifications, branch), ["tenant", "id"], "left").select("tenant", "id", F.coalesce("label", F.lit("out")).alias("label"))
+    labelled = touched.join(labels(after, justifications, branch).hint("shuffle_hash"), ["tenant", "id"], "left").select("tenant", "id", F.coalesce("label", F.lit("out")).alias("label"))
     return after, labelled
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -42,6 +43,16 @@ def written(df: DataFrame, tag: str = "round", compression: str = "snappy") -> D
     return out
 
 
+#: Rows up to which a written table is sent whole to a join's other side.
+MOST_SENT = 100_000
+
+
+def beside(df: DataFrame, n: int, most: int | None = None) -> DataFrame:
+    """df, of n rows, as one side of a join: sent whole if it has few rows, else dealt out with the other side. Files of sorted
+    numbers are so small that by their size alone millions of rows would go through the driver."""
+    return F.broadcast(df) if n <= (MOST_SENT if most is None else most) else df.hint("shuffle_hash")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

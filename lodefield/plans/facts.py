@@ -105,7 +105,7 @@ def belief_contraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The claims and what is believed of them after some, and all that rests on them, are retracted."""
     own, links = claims(spark, sf_dir)
     after, _ = J.contracted(own, links, own.where("id % 4001 = 7").select("tenant", "id"), "withdrawn")
-    return after.select("tenant", "id", "status").join(J.labels(after, links), ["tenant", "id"]).select("id", "status", "label")
+    return after.select("tenant", "id", "status").join(J.labels(after, links).hint("shuffle_hash"), ["tenant", "id"]).select("id", "status", "label")
 
 
 @query()
