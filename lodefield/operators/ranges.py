@@ -59,7 +59,9 @@ def around(rows: DataFrame, knots: DataFrame, at: str, x: str = "x") -> DataFram
     up = Window.partitionBy(PART).orderBy("x", "side", "salt")
     out = both.join(F.broadcast(ends), PART)
     out = out.withColumn("below", F.coalesce(F.last("knot", True).over(up.rowsBetween(Window.unboundedPreceding, 0)), "carried"))
-    out = out.withColumn("above", F.coalesce(F.first("knot", True).over(up.rowsBetween(0, Window.unboundedFollowing)), "next")).where("side = 1")
+    # From the other end: a frame up to the last row would be read anew for every row.
+    down = Window.partitionBy(PART).orderBy(F.desc("x"), F.desc("side"), F.desc("salt"))
+    out = out.withColumn("above", F.coalesce(F.last("knot", True).over(down.rowsBetween(Window.unboundedPreceding, 0)), "next")).where("side = 1")
     # A knot of the very value stands before it in order.
     out = out.withColumn("above", F.when(F.col(f"below.{x}").cast("double") == F.col("x"), F.col("below")).otherwise(F.col("above")))
     found = out.select("row.*", "below", "above")
