@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,28 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, C
     return F.greatest(F.lit(0.0), (mid - span) / (1 + zz / total)), F.least(F.lit(1.0), (mid + span) / (1 + zz / total))
 
 
+def draws(seed: int, n: int, size: int) -> Iterator[np.ndarray]:
+    """Arrays of `size` numbers each, without end: what random.Random(seed).randrange(n) gives one after the other. Python
+    takes the upper bits of the generator's words and passes over those that are too large; so does this, many at a time."""
+    bits = n.bit_length()
+    if bits > 32:
+        rng = random.Random(seed)
+        while True:
+            yield np.array([rng.randrange(n) for _ in range(size)], np.int64)
+    *key, pos = random.Random(seed).getstate()[1]
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": pos}}
+    parts, have = [], 0
+    while True:
+        while have < size:
+            got = (words.random_raw(min(max(1024, 2 * (size - have)), 1 << 20)) >> (32 - bits)).astype(np.int64)
+            parts.append(got[got < n])
+            have += len(parts[-1])
+        whole = np.concatenate(parts)
+        yield whole[:size]
+        parts, have = [whole[size:]], len(whole) - size
+
+
 def bootstrap(rows: DataFrame, key: str, value: str, q: float | None = None, iterations: int = 2000, alpha: float = 0.05, seed: int = 1234) -> DataFrame:
     """(key, point, low, high) of the mean of each key's values in the order of `seq`, or of their q-quantile, by percentile
     bootstrap with Python's generator: equal rows give equal intervals. A key's values are held in one task."""
@@ -66,8 +89,8 @@ def bootstrap(rows: DataFrame, key: str, value: str, q: float | None = None, ite
         x = pdf.sort_values("seq")[value].to_numpy(float)
         low = high = point = of(x)
         if len(x) > 1:
-            rng, n = random.Random(seed), len(x)
-            own = sorted(of(x[[rng.randrange(n) for _ in range(n)]]) for _ in range(iterations))
+            drawn = draws(seed, len(x), len(x))
+            own = sorted(of(x[next(drawn)]) for _ in range(iterations))
             low, high = (float(np.quantile(own, p)) for p in (alpha / 2, 1 - alpha / 2))
         return pd.DataFrame({key: [pdf[key].iloc[0]], "point": [point], "low": [low], "high": [high]})
 
