@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .lineage import beside, dropped, written
+from .lineage import beside, bucket_labels, bucketed, dropped, written
 
 
 def adjacency(pairs: DataFrame) -> DataFrame:
@@ -31,35 +31,60 @@ def rank_lossy(pairs: DataFrame, is_seed: Column, iterations: int = 12, damping:
     return nodes.join(rank, "node", "left").select("node", F.coalesce("rank", F.lit(0.0)).alias("rank"))
 
 
+#: Edges of a cell, of which there are CELLS (by first node, by second node) at most.
+CELL_EDGES, CELLS = 2_000_000, (4, 6)
+
+
 def rank_conserved(edges: DataFrame, reset: DataFrame, damping: float = 0.5, most: int = 100, tolerance: float = 1e-10) -> DataFrame:
     """(node, rank) of weighted directed edges (a, b, weight) and reset (node, reset), which is made to sum to 1: what nodes
     without outgoing edges hold goes back by reset, until the sum of changes is below tolerance. Each round is written; what
-    such nodes hold and how much has changed is observed while it is."""
+    such nodes hold and how much has changed is observed while it is.
+
+    Edges are dealt once to cells, by a class of each of their nodes. A round sends a node's share to the cells of its class,
+    and of each cell the sums by second node: some ten rows for a node, however many edges it has."""
+    spark = edges.sparkSession
+    reset = written(reset.select("node", F.col("reset").cast("double").alias("reset")), "reset")
     total = reset.agg(F.sum("reset")).first()[0] or 0.0
     if not total:
         return reset.select("node", F.lit(0.0).alias("rank"))
-    out = edges.groupBy("a").agg(F.sum("weight").alias("out"))
-    moves = written(edges.join(out, "a").select("a", "b", (F.col("weight") / F.col("out")).alias("p")), "edges")
-    ends = moves.select(F.col("a").alias("node")).union(moves.select(F.col("b").alias("node"))).union(reset.select("node")).distinct()
-    goes = moves.select(F.col("a").alias("node")).distinct().withColumn("goes", F.lit(True))
-    base = ends.join(reset, "node", "left").join(goes, "node", "left").select("node", (F.coalesce("reset", F.lit(0.0)) / total).alias("reset"), F.col("goes").isNull().alias("stays"))
+    edges = written(edges.where("a is not null").select("a", "b", "weight"), "edges")
+    many = edges.count() > CELL_EDGES
+    rows, columns = CELLS if many else (1, 1)
+    labels = bucket_labels(spark, rows * columns)
+    row = lambda c: F.pmod(F.xxhash64(c), F.lit(rows)).cast("int")
+    at = F.element_at(F.array(*map(F.lit, labels)), row(F.col("a")) * columns + F.pmod(F.xxhash64("b"), F.lit(columns)).cast("int") + 1)
+    moves = bucketed(edges.withColumn("cell", at), "cell", len(labels), "a", "cells")
+    dropped(edges)
+    none = F.lit(None).cast("double")
+    ends = moves.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("out")).withColumn("reset", none)
+    ends = ends.union(moves.select("b").distinct().select(F.col("b").alias("node"), none.alias("out"), none.alias("reset"))).union(reset.select("node", none.alias("out"), "reset"))
+    base = ends.groupBy("node").agg(F.sum("out").alias("out"), (F.coalesce(F.sum("reset"), F.lit(0.0)) / total).alias("reset"))
 
     def kept(x: DataFrame) -> tuple[DataFrame, float, float]:
         seen = Observation()
-        held = F.sum(F.when(F.col("stays"), F.col("rank"))).alias("held")
-        x = written(x.observe(seen, held, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change")), "ranks")
+        held = F.sum(F.when(F.col("out").isNull(), F.col("rank"))).alias("held")
+        x = written(x.observe(seen, held, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change")).drop("old"), "ranks")
         return x, seen.get["held"] or 0.0, seen.get["change"] or 0.0
 
     x, held, _ = kept(base.withColumns({"rank": F.col("reset"), "old": F.lit(0.0)}))
-    for _ in range(most):
-        moved = moves.join(x.select(F.col("node").alias("a"), "rank"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("moved"))
-        rank = (1 - damping) * F.col("reset") + damping * (F.coalesce("moved", F.lit(0.0)) + F.lit(held) * F.col("reset"))
-        before = x
-        x, held, change = kept(x.select("node", "reset", "stays", F.col("rank").alias("old")).join(moved, "node", "left").select("node", "reset", "stays", rank.alias("rank"), "old"))
-        dropped(before)
-        if change < tolerance:
-            break
-    dropped(moves)
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, "false")  # rows of a cell are together: they need not be dealt out by their nodes too
+    try:
+        for _ in range(most):
+            cells = F.slice(F.array(*map(F.lit, labels)), row(F.col("node")) * columns + 1, columns)
+            sent = x.where("out is not null and rank <> 0").select(F.explode(cells).alias("cell"), F.col("node").alias("a"), (F.col("rank") / F.col("out")).alias("share"))
+            sent = sent.repartition(len(labels), "cell").hint("shuffle_hash")
+            moved = moves.join(sent, ["cell", "a"]).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("share") * F.col("weight")).alias("moved"))
+            rank = (1 - damping) * F.col("reset") + damping * (F.coalesce("moved", F.lit(0.0)) + F.lit(held) * F.col("reset"))
+            before = x
+            x, held, change = kept(x.select("node", "out", "reset", F.col("rank").alias("old")).join(moved, "node", "left").select("node", "out", "reset", rank.alias("rank"), "old"))
+            dropped(before)
+            if change < tolerance:
+                break
+    finally:
+        spark.conf.set(setting, was)
+    dropped(moves, reset)
     return x.select("node", "rank")
 
 

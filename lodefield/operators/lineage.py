@@ -43,6 +43,23 @@ def written(df: DataFrame, tag: str = "round", compression: str = "snappy") -> D
     return out
 
 
+def bucketed(df: DataFrame, by: str, n: int, order: str, tag: str = "buckets") -> DataFrame:
+    """df, written in n buckets by one of its columns and read again: joins on this column do not deal it out anew. Rows of
+    a bucket are in order."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    name = f"lodefield_{path[-32:]}"
+    df.repartition(n, by).write.format("parquet").bucketBy(n, by).sortBy(order).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.lodefield_path, out.lodefield_table = path, name
+    return out
+
+
+def bucket_labels(spark: SparkSession, n: int) -> list[int]:
+    """n numbers, of which the i-th is in the i-th of n buckets."""
+    rows = spark.range(64 * n).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
+    return [r["id"] for r in sorted(rows.collect())]
+
+
 #: Rows up to which a written table is sent whole to a join's other side.
 MOST_SENT = 100_000
 
@@ -66,6 +83,8 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 
 def dropped(*frames: DataFrame) -> None:
     for df in frames:
+        if getattr(df, "lodefield_table", None):
+            df.sparkSession.sql(f"drop table if exists {df.lodefield_table}")
         path = getattr(df, "lodefield_path", None)
         if path:
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import selection as S
-from ..operators.lineage import folder
+from ..operators.lineage import folder, written
 from .registry import num, plain, query, table
 
 _EDGES = "p as (select lower(n_name) as a, lower(r_name) as b from nation join region on n_regionkey = r_regionkey union select lower(s_name), lower(n_name) from supplier join nation on s_nationkey = n_nationkey union select lower(c_name), lower(n_name) from customer join nation on c_nationkey = n_nationkey), e as (select a, b from p union select b, a from p)"
@@ -39,8 +39,6 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 select a as source, b as target, round(score, 6) as score from rel order by seeds desc, round(score, 9) desc, a, b limit 24""")
 def relation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges by the number of their ends that are seeds, then by the larger rank of both."""
-    from ..operators.lineage import written
-
     pairs = written(entity_edges(spark, sf_dir))
     rank = written(G.rank_lossy(pairs, F.col("node").isin("europe", "asia")))
     of = lambda k: rank.select(F.col("node").alias(k), F.col("rank").alias(f"r{k}"))
@@ -65,17 +63,15 @@ it as (select 0 as i, node, reset as rank from rs union all select i + 1, rs.nod
 select node, round(rank, 6) as rank from it where i = 40""")
 def passage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank over parts and suppliers from every seventh of them: half goes on along edges, half back."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
+    l = written(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct())
     both = l.union(l.select("b", "a")).withColumn("weight", F.lit(1.0))
-    reset = both.select(F.col("a").alias("node")).distinct().withColumn("reset", (F.col("node") % 7 == 0).cast("double"))
+    reset = l.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("reset", (F.col("node") % 7 == 0).cast("double"))
     return G.rank_conserved(both, reset).select("node", F.round("rank", 6).alias("rank"))
 
 
 @query()
 def fact_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors ranked from the five facts nearest to a query: a fact ties two vectors of a label, and scores by them."""
-    from ..operators.lineage import written
-
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
     dense = written(e.join(F.broadcast(q)).select(F.col("vec_id").alias("node"), F.col("label").cast("long").alias("label"), R.dot(F.col("embedding"), F.col("q")).alias("s")))
