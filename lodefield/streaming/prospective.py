@@ -91,7 +91,7 @@ class Prospective(StatefulProcessor):
         for pdf in rows:
             if self.intentions.exists():  # signals for nobody are not kept
                 self.waiting.add(pdf)
-        yield pd.DataFrame(columns=["user_id", "intention_id", "occurrence", "event_id", "fired_at"])
+        return iter(())  # no frame, not an empty one: each costs as much as many rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
@@ -124,7 +124,8 @@ class Prospective(StatefulProcessor):
         elif held:
             self.intentions.clear()
             self.waiting.state.clear()
-        yield pd.DataFrame(out, columns=["user_id", "intention_id", "occurrence", "event_id", "fired_at"]).astype({"event_id": "Int64"})
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "intention_id", "occurrence", "event_id", "fired_at"]).astype({"event_id": "Int64"})
 
     def close(self) -> None:
         pass
@@ -143,7 +144,7 @@ class Memory(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             self.waiting.add(pdf)
-        yield pd.DataFrame(columns=["user_id", "event_id", "reason", "left_at"])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
@@ -168,7 +169,8 @@ class Memory(StatefulProcessor):
                 self.items.put(items)
         elif before:
             self.items.clear()
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "reason", "left_at"])
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "reason", "left_at"])
 
     def close(self) -> None:
         pass
