@@ -1,26 +1,32 @@
 """Intentions that wait for signals or times, and working memory with a lifetime and a capacity: keyed state with timers.
 
 Rows are not acted on as they come but when the watermark passes their time, in the order of (time, id): until then they
-wait in the key's state, under a timer. So late rows take their place, rows that come twice count once, and what the state
-holds of a key is what has not ended.
+wait in the state, under a timer. So late rows take their place, rows that come twice count once, and what the state holds
+of a user is what has not ended. A key is a block of users.
 """
 
 from __future__ import annotations
 
+import bisect
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Intentions as initial state: kind is event, exact_time or time_window; times are in microseconds, of which -1 is none.
 INTENTIONS = "intention_id long, kind string, event_type string, least double, due long, until long, step long, most long"
-_INTENTION = INTENTIONS + ", n long, used_at long, used_id long"
-_WAITING = "at long, id long, event_type string, value double"
+_INTENTION = "user_id long, " + INTENTIONS + ", n long, used_at long, used_id long"
+_WAITING = "at long, id long, user_id long, event_type string, value double"
 FIRED = "user_id long, intention_id long, occurrence long, event_id long, fired_at timestamp"
 LEFT = "user_id long, event_id long, reason string, left_at timestamp"
+#: Rows that a row of state holds.
+MOST_IN_ONE = 4096
+#: A block has two to this power of neighbouring user_ids.
+USERS_BITS = 5
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -29,12 +35,14 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def micros(c) -> F.Column:
+def micros(c) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def _time(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us, unit="us")
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Rows whose last column is a time in microseconds."""
+    pdf = pd.DataFrame(rows, columns=columns)
+    return pdf.assign(**{columns[-1]: pdf[columns[-1]].to_numpy("datetime64[us]")})
 
 
 def _ms(us: int) -> int:
@@ -42,33 +50,53 @@ def _ms(us: int) -> int:
     return -(-us // 1000)
 
 
+class _Rows:
+    """Rows of a block in a list state, many by their columns in one of its rows: each of these is sent and converted by
+    itself, which takes longer than what is done with it."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: str):
+        self.state = handle.getListState(name, ", ".join("{} array<{}>".format(*f.split()) for f in schema.split(", ")))
+
+    def get(self) -> list[tuple]:
+        return [r for part in self.state.get() for r in zip(*part)] if self.state.exists() else []
+
+    @staticmethod
+    def _parts(rows: list[tuple]) -> list[tuple]:
+        return [tuple(map(list, zip(*rows[i : i + MOST_IN_ONE]))) for i in range(0, len(rows), MOST_IN_ONE)]
+
+    def add(self, rows: list[tuple]) -> None:
+        if rows:
+            self.state.appendList(self._parts(rows))
+
+    def put(self, rows: list[tuple]) -> None:
+        if rows:
+            self.state.put(self._parts(rows))
+        else:
+            self.state.clear()
+
+
 class _Waiting:
-    """Rows of a key that the watermark has not passed, in a list state with a timer for the first of them."""
+    """Rows of a block that the watermark has not passed, with a timer for the first of them."""
 
     def __init__(self, handle: StatefulProcessorHandle):
-        self.handle, self.state = handle, handle.getListState("waiting", _WAITING)
-
-    def rows(self) -> list[tuple]:
-        return [tuple(r) for r in self.state.get()] if self.state.exists() else []
+        self.handle, self.state = handle, _Rows(handle, "waiting", _WAITING)
 
     def add(self, new: pd.DataFrame) -> None:
-        known = set(self.rows())
-        more = sorted(set(zip(new["at"].tolist(), new["id"].tolist(), new["event_type"].tolist(), new["value"].tolist())) - known)
-        if more:
-            self.state.appendList(more)
-            self.handle.registerTimer(_ms(more[0][0]))
-
-    def due(self, upto_ms: int) -> list[tuple]:
-        """Takes out and returns, in order, what has come by that time."""
-        rows = sorted(self.rows())
-        now, later = [r for r in rows if _ms(r[0]) <= upto_ms], [r for r in rows if _ms(r[0]) > upto_ms]
-        if now and later:
-            self.state.put(later)
-        elif now:
-            self.state.clear()
+        own = sorted(set(zip(*(new[f.split()[0]].tolist() for f in _WAITING.split(", ")))))
+        if own:
+            self.state.add(own)
+            self.handle.registerTimer(_ms(own[0][0]))
+
+    def split(self, upto_ms: int) -> tuple[list[tuple], list[tuple]]:
+        """What has come by that time and what has not, in order and each once."""
+        rows = sorted(set(self.state.get()))
+        now = bisect.bisect_right(rows, upto_ms, key=lambda r: _ms(r[0]))
+        return rows[:now], rows[now:]
+
+    def keep(self, later: list[tuple]) -> None:
+        self.state.put(later)
         if later:
             self.handle.registerTimer(_ms(later[0][0]))
-        return now
 
 
 class Prospective(StatefulProcessor):
@@ -78,68 +106,79 @@ class Prospective(StatefulProcessor):
     intention whose time is over (until) ends too. What has ended leaves the state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.waiting, self.intentions = handle, _Waiting(handle), handle.getListState("intentions", _INTENTION)
+        self.handle, self.waiting, self.intentions = handle, _Waiting(handle), _Rows(handle, "intentions", _INTENTION)
+
+    def _awaits(self, rows: list) -> None:
+        """A timer for the first time that an intention waits for."""
+        times = [r[5] for r in rows if r[2] != "event"]
+        if times:
+            self.handle.registerTimer(_ms(min(times)))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        rows = [(int(r.intention_id), r.kind, r.event_type, float(r.least), int(r.due), int(r.until), int(r.step), int(r.most), 0, -1, -1) for r in initialState.itertuples()]
-        self.intentions.put(rows)
-        for r in rows:
-            if r[1] != "event":
-                self.handle.registerTimer(_ms(r[4]))
+        rows = [(int(r.user_id), int(r.intention_id), r.kind, r.event_type, float(r.least), int(r.due), int(r.until), int(r.step), int(r.most), 0, -1, -1) for r in initialState.itertuples()]
+        self.intentions.add(rows)
+        self._awaits(rows)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        users = {r[0] for r in self.intentions.get()}
         for pdf in rows:
-            if self.intentions.exists():  # signals for nobody are not kept
-                self.waiting.add(pdf)
+            if users:  # signals for nobody are not kept
+                self.waiting.add(pdf[pdf["user_id"].isin(users)])
         return iter(())  # no frame, not an empty one: each costs as much as many rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        held = [list(r) for r in self.intentions.get()] if self.intentions.exists() else []
-        out = []
+        before = self.intentions.get()
+        held, of, out = [list(r) for r in before], defaultdict(list), []
+        for r in held:
+            if r[2] == "event":
+                of[r[0], r[3]].append(r)
 
         def fired(r: list, at: int, event_id: int | None) -> None:
-            out.append((key[0], r[0], r[8], event_id, _time(at)))
-            r[8] += 1
-            r[4] = r[4] + r[6] if r[6] > 0 and (r[7] < 0 or r[8] < r[7]) else None  # None: it has ended
-            if r[4] is not None and r[5] >= 0:
-                r[5] += r[6]
+            out.append((r[0], r[1], r[9], event_id, at))
+            r[9] += 1
+            r[5] = r[5] + r[7] if r[7] > 0 and (r[8] < 0 or r[9] < r[8]) else None  # None: it has ended
+            if r[5] is not None and r[6] >= 0:
+                r[6] += r[7]
 
         for r in held:
-            while r[4] is not None and r[1] != "event" and _ms(r[4]) <= now:
-                fired(r, r[4], None)
-                if r[4] is not None:
-                    self.handle.registerTimer(_ms(r[4]))
-        for at, event_id, event_type, value in self.waiting.due(now):
-            for r in held:
-                if r[1] == "event" and r[4] is not None:
-                    if 0 <= r[5] <= at:
-                        r[4] = None
-                    elif r[2] == event_type and value >= r[3] and at >= r[4] and (at, event_id) > (r[9], r[10]):
-                        r[9], r[10] = at, event_id
-                        fired(r, at, event_id)
-        left = [tuple(r) for r in held if r[4] is not None]
-        if left:
+            while r[5] is not None and r[2] != "event" and _ms(r[5]) <= now:
+                fired(r, r[5], None)
+        come, later = self.waiting.split(now)
+        for at, event_id, user, event_type, value in come:
+            for r in of.get((user, event_type), ()):
+                if r[5] is not None and not 0 <= r[6] <= at and value >= r[4] and at >= r[5] and (at, event_id) > (r[10], r[11]):
+                    r[10], r[11] = at, event_id
+                    fired(r, at, event_id)
+        last = {r[2]: r[0] for r in come}  # of each user
+        left = [r for r in held if r[5] is not None and not (r[2] == "event" and 0 <= r[6] <= last.get(r[0], -1))]
+        if len(left) < len(held):
+            users = {r[0] for r in left}
+            kept = [r for r in later if r[2] in users]
+        else:
+            kept = later
+        if come or len(kept) < len(later):
+            self.waiting.keep(kept)
+        left = [tuple(r) for r in left]
+        if left != before:
             self.intentions.put(left)
-        elif held:
-            self.intentions.clear()
-            self.waiting.state.clear()
+        self._awaits(left)
         if out:
-            yield pd.DataFrame(out, columns=["user_id", "intention_id", "occurrence", "event_id", "fired_at"]).astype({"event_id": "Int64"})
+            yield _frame(out, ["user_id", "intention_id", "occurrence", "event_id", "fired_at"]).astype({"event_id": "Int64"})
 
     def close(self) -> None:
         pass
 
 
 class Memory(StatefulProcessor):
-    """A key's items by age: one leaves when its lifetime is over (expired), or when `capacity` newer ones are there
-    (evicted)."""
+    """Users' items by age: one leaves when its lifetime is over (expired), or when `capacity` newer ones of its user are
+    there (evicted)."""
 
     def __init__(self, ttl_us: int, capacity: int):
         self.ttl, self.capacity = ttl_us, capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.waiting, self.items = handle, _Waiting(handle), handle.getListState("items", "at long, id long")
+        self.handle, self.waiting, self.items = handle, _Waiting(handle), _Rows(handle, "items", "user_id long, at long, id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
@@ -148,37 +187,47 @@ class Memory(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        items = [tuple(r) for r in self.items.get()] if self.items.exists() else []
-        before, out = list(items), []
+        before, of, out = self.items.get(), defaultdict(deque), []
+        for user, at, event_id in before:
+            of[user].append((at, event_id))
 
-        def outlived(at: int) -> None:
+        def outlived(user: int, items: deque, at: int) -> None:
             while items and items[0][0] + self.ttl <= at:
-                first = items.pop(0)
-                out.append((key[0], first[1], "expired", _time(first[0] + self.ttl)))
+                first = items.popleft()
+                out.append((user, first[1], "expired", first[0] + self.ttl))
 
-        for at, event_id, _, _ in self.waiting.due(now):
-            outlived(at)
+        come, later = self.waiting.split(now)
+        for at, event_id, user, _, _ in come:
+            items = of[user]
+            outlived(user, items, at)
             items.append((at, event_id))
             if len(items) > self.capacity:
-                first = items.pop(0)
-                out.append((key[0], first[1], "evicted", _time(at)))
-        outlived(1000 * now)
-        if items:
-            self.handle.registerTimer(_ms(items[0][0] + self.ttl))
-            if items != before:
-                self.items.put(items)
-        elif before:
-            self.items.clear()
+                out.append((user, items.popleft()[1], "evicted", at))
+        for user, items in of.items():
+            outlived(user, items, 1000 * now)
+        if come:
+            self.waiting.keep(later)
+        left = [(user, *x) for user, items in of.items() for x in items]
+        if left:
+            self.handle.registerTimer(_ms(min(r[1] for r in left) + self.ttl))
+        if left != before:
+            self.items.put(left)
         if out:
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "reason", "left_at"])
+            yield _frame(out, ["user_id", "event_id", "reason", "left_at"])
 
     def close(self) -> None:
         pass
 
 
+def _block(user: Column) -> Column:
+    """The users of a block are one key: a key is set, read, written and timed by calls that take longer than its rows. A
+    block is so many neighbouring numbers, whatever the number of users."""
+    return F.shiftright(user.cast("long"), USERS_BITS).alias("block")
+
+
 def _signals(stream: DataFrame, late: str):
-    own = stream.select("user_id", F.col("ts").alias("time"), micros(F.col("ts")).alias("at"), F.col("event_id").alias("id"), "event_type", "value")
-    return own.withWatermark("time", late).groupBy("user_id")
+    own = stream.select(_block(F.col("user_id")), "user_id", F.col("ts").alias("time"), micros(F.col("ts")).alias("at"), F.col("event_id").alias("id"), "event_type", "value")
+    return own.withWatermark("time", late).groupBy("block")
 
 
 def fired(stream: DataFrame, intentions: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -187,7 +236,7 @@ def fired(stream: DataFrame, intentions: DataFrame, late: str = "1 hour") -> Dat
     was waited for. Signals without a user, an id or a time are passed over; one without a value is worth nothing."""
     ready(stream.sparkSession)
     fine = stream.where("user_id is not null and event_id is not null and ts is not null").withColumns({"value": F.coalesce("value", F.lit(float("-inf"))), "event_type": F.coalesce("event_type", F.lit(""))})
-    held = intentions.select("user_id", *(f.split()[0] for f in INTENTIONS.split(", "))).groupBy("user_id")
+    held = intentions.select(_block(F.col("user_id")), "user_id", *(f.split()[0] for f in INTENTIONS.split(", "))).groupBy("block")
     return _signals(fine, late).transformWithStateInPandas(Prospective(), FIRED, "append", "eventTime", initialState=held)
 
 

@@ -91,3 +91,67 @@ def test_working_memory(spark):
             want.append((u, own.pop(0)[0], "evicted", at(h)))
     want += [(u, i, "expired", at(h + 10)) for u, own in kept.items() for i, h in own]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+class Calls:
+    """Stands for the handle and the state of one key, and counts the calls and the rows of state that they send."""
+
+    def __init__(self):
+        self.lists, self.calls, self.sent = {}, 0, 0
+
+    def getListState(self, name, schema):
+        outer, held = self, self.lists.setdefault(name, [])
+
+        class State:
+            def exists(self):
+                outer.calls += 1
+                return bool(held)
+
+            def get(self):
+                outer.calls += 1
+                return iter(list(held))
+
+            def appendList(self, rows):
+                outer.calls, outer.sent = outer.calls + 1, outer.sent + len(rows)
+                held.extend(rows)
+
+            def put(self, rows):
+                held.clear()
+                self.appendList(rows)
+
+            def clear(self):
+                outer.calls += 1
+                held.clear()
+
+        return State()
+
+    def registerTimer(self, at_ms):
+        self.calls += 1
+
+
+def test_calls_do_not_grow_with_rows_or_users(spark):
+    """Neighbouring users are one key, whose rows are sent together; an initial state that comes in parts is kept whole."""
+    import types
+
+    import pandas as pd
+
+    users = spark.range(64).select(F.col("id").alias("user_id")).select(prospective._block(F.col("user_id"))).distinct()
+    assert users.count() == 2
+    times = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: us(30) // 1000)
+    expired = types.SimpleNamespace(getExpiryTimeInMs=lambda: us(0) // 1000)
+    rows = pd.DataFrame([(us(h), 100 * u + h, u, "buy", 1.0) for u in range(32) for h in range(40)], columns=["at", "id", "user_id", "event_type", "value"])
+    memory, handle = prospective.Memory(36 * 3_600_000_000, 4), Calls()
+    memory.init(handle)
+    assert list(memory.handleInputRows((0,), iter([rows, rows]), times)) == []
+    out = pd.concat(memory.handleExpiredTimer((0,), times, expired))
+    assert sorted(zip(out["user_id"], out["event_id"], out["reason"], out["left_at"])) == [(u, 100 * u + h, "evicted", at(h + 4)) for u in range(32) for h in range(27)]
+    assert handle.calls <= 20 and handle.sent <= 6
+    firing, handle = prospective.Prospective(), Calls()
+    firing.init(handle)
+    for part in (range(0, 16), range(16, 32)):
+        held = [(u, 1, "event", "buy", 1.0, us(2), -1, -1, 1) for u in part]
+        firing.handleInitialState((0,), pd.DataFrame(held, columns=["user_id", *(f.split()[0] for f in prospective.INTENTIONS.split(", "))]), times)
+    assert list(firing.handleInputRows((0,), iter([rows]), times)) == []
+    out = pd.concat(firing.handleExpiredTimer((0,), times, expired))
+    assert sorted(zip(out["user_id"], out["event_id"], out["fired_at"])) == [(u, 100 * u + 2, at(2)) for u in range(32)]
+    assert handle.calls <= 20 and not any(handle.lists.values())
