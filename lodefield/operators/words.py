@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, counted, fold, osa_at_most_one, tokenize
+from .lineage import written
+from .postings import runs
 
 # Kinds and what belongs to them.
 HYPONYMS = {
@@ -135,15 +137,65 @@ def hashed_embeddings(docs: DataFrame, dims: int, text: str = "text") -> DataFra
     return own.mapInPandas(run, f"doc_id {dict(own.dtypes)['doc_id']}, tokens array<string>, embedding array<double>")
 
 
+def _strongest(base: int, most: int):
+    """Of (x, ys) in the order of x, for each x the ys that may be its `most` strongest, and how many ys hold each (docs). A
+    number is a term's place times base, plus its df; the strength of a pair grows with docs / df of y. Of ys that are as
+    strong the first are enough; what the rounding of strengths may make equal is kept."""
+
+    def few(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)])
+        docs = np.diff(np.r_[first, len(x)])
+        other = x[first] != y[first]
+        x, y, docs = x[first][other], y[first][other], docs[other]
+        ratio = docs / (y % base)
+        order = np.lexsort((y, -ratio, x))
+        x, y, docs, ratio = x[order], y[order], docs[order], ratio[order]
+        place = np.arange(len(x))
+        new = np.r_[True, x[1:] != x[:-1]][: len(x)]
+        start = np.maximum.accumulate(np.where(new, place, 0))
+        same = np.maximum.accumulate(np.where(new | np.r_[True, ratio[1:] != ratio[:-1]][: len(x)], place, 0))
+        end = np.r_[np.flatnonzero(new)[1:], len(x)][np.cumsum(new) - 1]
+        least = ratio[np.minimum(start + most, end) - 1] if len(x) else ratio
+        kept = (place - same < most) & (ratio >= least * 0.999)
+        return pa.RecordBatch.from_arrays([pa.array(c[kept], pa.int64()) for c in (x, y, docs)], names=["x", "y", "docs"])
+
+    def run(batches):
+        x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            ys = batch.column(1)
+            x = np.r_[x, np.repeat(batch.column(0).to_numpy(), ys.value_lengths().to_numpy())]
+            y = np.r_[y, ys.flatten().to_numpy()]
+            if len(x):
+                upto = int(np.searchsorted(x, x[-1]))  # the last may go on in the next batch
+                if upto:
+                    yield few(x[:upto], y[:upto])
+                x, y = x[upto:], y[upto:]
+        yield few(x, y)
+
+    return run
+
+
 def contextual_embeddings(docs: DataFrame, dims: int, least_docs: int, most_docs: int, neighbours: int = 4, least_pmi: float = 0.25) -> DataFrame:
     """(doc_id, embedding): three quarters of the hashed embedding and a quarter of those of each token's strongest
-    associated terms, weighed by their association up to a half."""
-    pairs = associations(docs, least_docs, most_docs, 1, least_pmi)
-    both = pairs.select("a", "b", "ppmi").union(pairs.select("b", "a", "ppmi"))
-    best = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("ppmi"), "b"))).where(F.col("r") <= neighbours)
-    near = best.select(F.col("a").alias("t"), F.col("b").alias("other"), F.least(F.col("ppmi") / 4, F.lit(0.5)).alias("w"))
+    associated terms, weighed by their association up to a half. Associations are those of associations(), but a document's
+    terms are sent, as numbers in the order of terms, to each of them whole: no pair is a row."""
+    base = most_docs + 1
     tokens = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
-    extra = tokens.select("doc_id", F.explode("tokens").alias("t")).join(near, "t").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("other", "w"))).alias("near"))
+    t = F.col("term")
+    u = tokens.select("doc_id", F.explode(runs(F.col("tokens"))).alias("c")).select("doc_id", "c.*").where(t.rlike("^[a-z]+$") & (F.length(t) > 2) & ~t.isin(STOPWORDS))
+    df = u.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(least_docs, most_docs))
+    terms = written(df.repartitionByRange("term").sortWithinPartitions("term").select("term", (F.monotonically_increasing_id() * base + F.col("df")).alias("x")), "terms")
+    inside = written(u.join(terms, "term").select("doc_id", "x", "tf"), "inside")
+    lists = inside.groupBy("doc_id").agg(F.collect_list("x").alias("ys"))
+    found = lists.select(F.explode("ys").alias("x"), "ys").repartition("x").sortWithinPartitions("x").mapInArrow(_strongest(base, neighbours), "x long, y long, docs long")
+    n = docs.agg((F.count(F.lit(1)) + 2.0).alias("n"))
+    pmi = F.log(F.col("docs") * F.col("n") / ((F.col("x") % base) * (F.col("y") % base))) / F.log(F.lit(2.0))
+    pairs = found.join(F.broadcast(n)).where(pmi >= least_pmi).select("x", "y", F.round(F.greatest(F.lit(0.0), pmi), 4).alias("ppmi"))
+    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("ppmi"), "y"))).where(F.col("r") <= neighbours)
+    near = best.join(terms.select(F.col("x").alias("y"), F.col("term").alias("other")), "y").groupBy("x").agg(F.collect_list(F.struct("other", F.least(F.col("ppmi") / 4, F.lit(0.5)).alias("w"))).alias("of"))
+    extra = inside.join(near, "x").groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list(F.flatten(F.array_repeat("of", F.col("tf").cast("int")))))).alias("near"))
 
     @F.pandas_udf("array<double>")
     def combine(own: pd.Series, more: pd.Series) -> pd.Series:
