@@ -15,7 +15,7 @@ from ..functions.text import STOPWORDS, approx_tokens, tokenize
 from . import postings
 from . import retrieval as R
 from .selection import mmr, within_budget
-from .words import hashed
+from .words import hashed, likeness
 
 # A hit's quality and how the decision's confidence follows from it and from the query's support.
 SUPPORT = 2.0 / 3.0
@@ -80,12 +80,7 @@ def retrieve(docs: DataFrame, query: str, now: datetime, k: int = 8, budget: int
     at = docs.sparkSession.range(1).select(tokenize(F.lit(query)).alias("t")).first()["t"]  # the query's own tokens
     vector = hashed(list(at), dims).tolist()
 
-    def likeness(batches):
-        q = np.array(vector)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [float(hashed(list(t), dims) @ q) for t in pdf["tokens"]]})
-
-    dense = readable.select("doc_id", tokenize(F.col("text")).alias("tokens")).mapInPandas(likeness, "doc_id long, score double")
+    dense = likeness(readable.select("doc_id", tokenize(F.col("text")).alias("tokens")), vector, dims)
     lexical = postings.bm25(docs.sparkSession, index, query, within=readable) if index else R.bm25(readable, query)
     if span:
         times = readable.select("doc_id", dates.window_factor(F.col("ts").cast("timestamp"), span[0], span[1]).alias("factor"))

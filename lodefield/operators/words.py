@@ -126,15 +126,58 @@ def hashed(tokens: list[str], dims: int) -> np.ndarray:
     return out / norm if norm else out
 
 
+def hashed_rows(tokens: pa.ListArray, dims: int) -> np.ndarray:
+    """hashed() of each row: a distinct token of a batch is hashed once, and no token is a Python object of its own."""
+    flat, lengths = tokens.flatten(), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    codes = flat.dictionary_encode()
+    places = [_place(t) for t in codes.dictionary.to_pylist()]
+    at, sign = (np.array([p[i] for p in places], kind) for i, kind in ((0, np.int64), (1, np.float64)))
+    own, rows = codes.indices.to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
+    out = np.bincount(rows * dims + at[own] % dims, sign[own], len(lengths) * dims).reshape(len(lengths), dims)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norm, norm, 1.0)
+
+
+#: Tokens that are hashed at a time.
+MOST_TOKENS = 1 << 20
+
+
+def pieces(batch: pa.RecordBatch, tokens: int) -> list[pa.RecordBatch]:
+    """Parts of a batch with so many tokens, in the column of that number, that memory does not follow the batch's texts."""
+    upto = np.cumsum(batch.column(tokens).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(upto // MOST_TOKENS)) + 1
+    ends = [0, *cuts.tolist(), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def likeness(tokens: DataFrame, vector: list[float], dims: int) -> DataFrame:
+    """(the other columns, score) of rows (.., tokens): the product of their hashed embeddings and a vector. Of a row only the
+    product comes back."""
+    others = [c for c in tokens.columns if c != "tokens"]
+
+    def run(batches):
+        q = np.array(vector)
+        for batch in batches:
+            for part in pieces(batch, len(others)):
+                score = np.array([v @ q for v in hashed_rows(part.column(len(others)), dims)], float)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[*others, "score"])
+
+    own = tokens.select(*others, "tokens")
+    return own.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in own.dtypes[:-1]) + ", score double")
+
+
 def hashed_embeddings(docs: DataFrame, dims: int, text: str = "text") -> DataFrame:
     """(doc_id, tokens, embedding) of every text."""
 
     def run(batches):
-        for pdf in batches:
-            yield pdf.assign(embedding=[hashed(list(t), dims) for t in pdf["tokens"]])
+        for batch in batches:
+            for part in pieces(batch, 1):
+                vectors = hashed_rows(part.column(1), dims)
+                lists = pa.ListArray.from_arrays(np.arange(0, vectors.size + 1, dims, dtype=np.int32), vectors.ravel())
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["doc_id", "tokens", "embedding"])
 
     own = docs.select("doc_id", tokenize(F.col(text)).alias("tokens"))
-    return own.mapInPandas(run, f"doc_id {dict(own.dtypes)['doc_id']}, tokens array<string>, embedding array<double>")
+    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, tokens array<string>, embedding array<double>")
 
 
 def _strongest(base: int, most: int):

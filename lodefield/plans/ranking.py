@@ -199,9 +199,13 @@ def provider_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def local_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by 0.55 * lexical score and 0.45 * cosine of hashed embeddings with the query, 0 at least."""
-    q = words.hashed_embeddings(spark.range(1).select(F.col("id").alias("doc_id"), F.lit(QUERY).alias("text")), 256).select(F.col("tokens").alias("q"), F.col("embedding").alias("qv"))
-    own = words.hashed_embeddings(table(spark, sf_dir, "documents"), 256).join(F.broadcast(q))
-    score = F.greatest(F.lit(0.0), 0.55 * R.lexical_score(F.col("q"), F.col("tokens")) + 0.45 * R.dot(F.col("embedding"), F.col("qv")))
+    asked = spark.range(1).select(T.tokenize(F.lit(QUERY)).alias("q"))
+    q = list(asked.first()["q"])  # the query's own tokens
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens")).join(F.broadcast(asked))
+    hits = F.filter("tokens", lambda t: F.array_contains(F.col("q"), t))
+    lexical = T.let(hits, lambda own: R.lexical_score(F.col("q"), own, F.size("tokens")))
+    own = words.likeness(rows.select("doc_id", lexical.alias("lexical"), "tokens"), words.hashed(q, 256).tolist(), 256)
+    score = F.greatest(F.lit(0.0), 0.55 * F.col("lexical") + 0.45 * F.col("score"))
     return own.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
