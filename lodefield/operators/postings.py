@@ -22,6 +22,8 @@ from .lineage import dropped, exists, new_path, written
 from .retrieval import _prefix
 
 BATCH, HEAD = "in_batch", "head"
+#: Tokens of a range of postings, so that its sort stays in memory however many there are.
+MOST_SORTED = 1 << 20
 
 
 def head(term: Column) -> Column:
@@ -47,9 +49,10 @@ def _read(spark: SparkSession, path: str, table: str) -> DataFrame | None:
     return spark.read.parquet(at) if exists(spark, at) else None
 
 
-def sorted_(postings: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """postings dealt by ranges of term and key, so that no term is one task's, and sorted by head, term and key."""
-    own = postings.repartitionByRange("term", *keys).withColumn(HEAD, head(F.col("term")))
+def sorted_(postings: DataFrame, keys: tuple[str, ...], tokens: int) -> DataFrame:
+    """postings of so many tokens dealt by ranges of term and key, so that no term is one task's, and sorted by head, term
+    and key."""
+    own = postings.repartitionByRange(1 + tokens // MOST_SORTED, "term", *keys).withColumn(HEAD, head(F.col("term")))
     return own.sortWithinPartitions(HEAD, "term", *keys)
 
 
@@ -60,7 +63,7 @@ def add(docs: DataFrame, path: str, batch: int, keys: tuple[str, ...] = ("doc_id
     retire(rows.select(*keys), path, batch, keys, rows)
     _write(rows.drop("terms"), f"{path}/docs", batch)
     own = rows.select(*keys, *carry, "len", F.explode("terms").alias("t")).select(*keys, *carry, "t.term", "t.tf", "len")
-    _write(sorted_(own, keys), f"{path}/postings", batch, HEAD)
+    _write(sorted_(own, keys, rows.agg(F.sum("len")).first()[0] or 0), f"{path}/postings", batch, HEAD)
     dropped(rows)
 
 
@@ -186,9 +189,9 @@ def passage_scores(spark: SparkSession, path: str, query: str, alpha: float = 0.
 def compacted(spark: SparkSession, path: str, to: str, keys: tuple[str, ...] = ("doc_id",)) -> None:
     """Writes what is live as batch 0 of a new index."""
     own, docs = live(spark, path, "postings", keys).drop(BATCH, HEAD), live(spark, path, "docs", keys).drop(BATCH)
-    _write(docs, f"{to}/docs", 0)
-    _write(sorted_(own, keys), f"{to}/postings", 0, HEAD)
     n, tokens = counts(spark, path)
+    _write(docs, f"{to}/docs", 0)
+    _write(sorted_(own, keys, tokens), f"{to}/postings", 0, HEAD)
     _write(spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(tokens).cast("long").alias("tokens"), F.lit(0).cast("long").alias("n_gone"), F.lit(0).cast("long").alias("tokens_gone")), f"{to}/counts", 0)
 
 

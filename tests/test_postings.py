@@ -94,3 +94,12 @@ def test_passages(spark):
     want = passages.scores(make([r for r in turns if r[0] != 2] + more), QUERY).collect()
     got = postings.passage_scores(spark, path, QUERY).collect()
     assert {r[0]: [round(x, 9) for x in r[1:]] for r in got} == {r[0]: [round(x, 9) for x in r[1:]] for r in want}
+
+
+def test_ranges_follow_the_tokens(spark, monkeypatch):
+    """A range has so many tokens whatever their number, and none is joined with others to one that is sorted on disk."""
+    rows = spark.createDataFrame([(i, f"t{i % 50}", 1) for i in range(1000)], "doc_id long, term string, tf int")
+    monkeypatch.setattr(postings, "MOST_SORTED", 100)
+    own = postings.sorted_(rows, ("doc_id",), 1000)
+    sizes = [r["count"] for r in own.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 9 and max(sizes) < 200 and sum(sizes) == 1000
