@@ -180,18 +180,76 @@ def hashed_embeddings(docs: DataFrame, dims: int, text: str = "text") -> DataFra
     return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, tokens array<string>, embedding array<double>")
 
 
+def _spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, .. of each span, one after another."""
+    return np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+#: Stands for no last y.
+NO_LAST = (1 << 63) - 1
+
+
+def _sure(base: int, most: int):
+    """Of (docs, ys), the ys of that many documents, (x, y) for each x of ys and the first ys that are in no other documents: no
+    y is stronger. Of a batch each x has its `most` first."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, 1):
+                ys, n = part.column(1).flatten().to_numpy(), part.column(1).value_lengths().to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                at = np.flatnonzero(ys % base == part.column(0).to_numpy()[row])
+                each = np.bincount(row[at], minlength=len(n))
+                first = np.cumsum(each) - each
+                few = np.minimum(each, most + 1)[row]  # x itself may be one of them
+                x, y = np.repeat(ys, few), ys[at[_spans(first[row], few)]]
+                x, y = x[x != y], y[x != y]
+                order = np.lexsort((y, x))
+                x, y = x[order], y[order]
+                kept = np.arange(len(x)) - np.searchsorted(x, x) < most
+                yield pa.RecordBatch.from_arrays([pa.array(x[kept], pa.int64()), pa.array(y[kept], pa.int64())], names=["x", "y"])
+
+    return run
+
+
+def _sent(base: int):
+    """Of (docs, ys, lasts), for each x of ys the others that may be among its strongest, (x, ys, docs). With a last y there are
+    enough that are as strong as any: what follows it, or is in more documents than x, is behind them."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, 1):
+                ys, last, n = part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy(), part.column(1).value_lengths().to_numpy().astype(np.int64)
+                first = np.cumsum(n) - n
+                upto = np.concatenate([np.zeros(0, np.int64), *(np.searchsorted(ys[a : a + k], last[a : a + k], "right") for a, k in zip(first, n))])
+                first, docs = np.repeat(first, n), np.repeat(part.column(0).to_numpy(), n)
+                cuts = np.flatnonzero(np.diff(np.cumsum(upto) // MOST_TOKENS)) + 1
+                for own in np.split(np.arange(len(ys)), cuts):
+                    x, y = np.repeat(own, upto[own]), ys[_spans(first[own], upto[own])]
+                    may = (y != ys[x]) & ((last[x] == NO_LAST) | (y % base <= ys[x] % base * 1.001))
+                    x, y = x[may], y[may]
+                    new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(x)], pa.int32()), pa.array(y, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ys[x[new]], pa.int64()), lists, pa.array(docs[x[new]], pa.int64())], names=["x", "ys", "docs"])
+
+    return run
+
+
 def _strongest(base: int, most: int):
-    """Of (x, ys) in the order of x, for each x the ys that may be its `most` strongest, and how many ys hold each (docs). A
-    number is a term's place times base, plus its df; the strength of a pair grows with docs / df of y. Of ys that are as
-    strong the first are enough; what the rounding of strengths may make equal is kept."""
+    """Of (x, ys) in the order of x, for each x the ys that may be its `most` strongest, and how many ys hold each (docs); a third
+    column says how many documents have the ys, else one. A number is a term's place times base, plus its df; the strength of
+    a pair grows with docs / df of y. Of ys that are as strong the first are enough; what the rounding of strengths may make
+    equal is kept."""
 
-    def few(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    def merged(x: np.ndarray, y: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((y, x))
-        x, y = x[order], y[order]
+        x, y, docs = x[order], y[order], docs[order]
         first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)])
-        docs = np.diff(np.r_[first, len(x)])
-        other = x[first] != y[first]
-        x, y, docs = x[first][other], y[first][other], docs[other]
+        return x[first], y[first], np.add.reduceat(docs, first) if len(first) else docs
+
+    def few(x: np.ndarray, y: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        other = x != y
+        x, y, docs = x[other], y[other], docs[other]
         ratio = docs / (y % base)
         order = np.lexsort((y, -ratio, x))
         x, y, docs, ratio = x[order], y[order], docs[order], ratio[order]
@@ -205,54 +263,73 @@ def _strongest(base: int, most: int):
         return pa.RecordBatch.from_arrays([pa.array(c[kept], pa.int64()) for c in (x, y, docs)], names=["x", "y", "docs"])
 
     def run(batches):
-        x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = (np.zeros(0, np.int64),) * 3
         for batch in batches:
-            ys = batch.column(1)
-            x = np.r_[x, np.repeat(batch.column(0).to_numpy(), ys.value_lengths().to_numpy())]
-            y = np.r_[y, ys.flatten().to_numpy()]
-            if len(x):
-                upto = int(np.searchsorted(x, x[-1]))  # the last may go on in the next batch
+            for part in pieces(batch, 1):
+                n = part.column(1).value_lengths().to_numpy()
+                docs = part.column(2).to_numpy() if part.num_columns > 2 else np.ones(len(n), np.int64)
+                more = np.repeat(part.column(0).to_numpy(), n), part.column(1).flatten().to_numpy(), np.repeat(docs, n)
+                x, y, docs = merged(*(np.r_[a, b] for a, b in zip(held, more)))
+                upto = int(np.searchsorted(x, x[-1])) if len(x) else 0  # the last may go on in the next batch
                 if upto:
-                    yield few(x[:upto], y[:upto])
-                x, y = x[upto:], y[upto:]
-        yield few(x, y)
+                    yield few(x[:upto], y[:upto], docs[:upto])
+                held = x[upto:], y[upto:], docs[upto:]  # a row for each y, however many lists there are
+        yield few(*held)
 
     return run
 
 
-def contextual_embeddings(docs: DataFrame, dims: int, least_docs: int, most_docs: int, neighbours: int = 4, least_pmi: float = 0.25) -> DataFrame:
+def contextual_embeddings(docs: DataFrame, dims: int, least_docs: int = 1, most_docs: int | None = None, neighbours: int = 4, least_pmi: float = 0.25) -> DataFrame:
     """(doc_id, embedding): three quarters of the hashed embedding and a quarter of those of each token's strongest
-    associated terms, weighed by their association up to a half. Associations are those of associations(), but a document's
-    terms are sent, as numbers in the order of terms, to each of them whole: no pair is a row."""
-    base = most_docs + 1
-    tokens = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
-    t = F.col("term")
-    u = tokens.select("doc_id", F.explode(runs(F.col("tokens"))).alias("c")).select("doc_id", "c.*").where(t.rlike("^[a-z]+$") & (F.length(t) > 2) & ~t.isin(STOPWORDS))
-    df = u.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(least_docs, most_docs))
-    terms = written(df.repartitionByRange("term").sortWithinPartitions("term").select("term", (F.monotonically_increasing_id() * base + F.col("df")).alias("x")), "terms")
-    inside = written(u.join(terms, "term").select("doc_id", "x", "tf"), "inside")
-    lists = inside.groupBy("doc_id").agg(F.collect_list("x").alias("ys"))
-    found = lists.select(F.explode("ys").alias("x"), "ys").repartition("x").sortWithinPartitions("x").mapInArrow(_strongest(base, neighbours), "x long, y long, docs long")
-    n = docs.agg((F.count(F.lit(1)) + 2.0).alias("n"))
-    pmi = F.log(F.col("docs") * F.col("n") / ((F.col("x") % base) * (F.col("y") % base))) / F.log(F.lit(2.0))
-    pairs = found.join(F.broadcast(n)).where(pmi >= least_pmi).select("x", "y", F.round(F.greatest(F.lit(0.0), pmi), 4).alias("ppmi"))
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("ppmi"), "y"))).where(F.col("r") <= neighbours)
-    near = best.join(terms.select(F.col("x").alias("y"), F.col("term").alias("other")), "y").groupBy("x").agg(F.collect_list(F.struct("other", F.least(F.col("ppmi") / 4, F.lit(0.5)).alias("w"))).alias("of"))
-    extra = inside.join(near, "x").groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list(F.flatten(F.array_repeat("of", F.col("tf").cast("int")))))).alias("near"))
-
-    @F.pandas_udf("array<double>")
-    def combine(own: pd.Series, more: pd.Series) -> pd.Series:
-        def one(tokens, added):
-            base = hashed(list(tokens), dims)
-            if added is None or not len(added):
-                return base
-            mix = 0.75 * base + 0.25 * sum(x["w"] * hashed([x["other"]], dims) for x in added)
-            norm = float(np.sqrt((mix * mix).sum()))
-            return mix / norm if norm > 1e-12 else base
-
-        return pd.Series([one(a, b) for a, b in zip(own, more)])
-
-    return tokens.join(extra, "doc_id", "left").select("doc_id", combine("tokens", "near").alias("embedding"))
+    associated terms, weighed by their association up to a half. Associations are those of associations(), of all terms unless
+    least_docs or most_docs are given. Equal sets of terms are one list, sent, as numbers in the order of terms, to its terms: no
+    pair is a row. A term with enough partners that are only where it is too is sent no more than what can precede the last."""
+    tokens = written(docs.select(F.monotonically_increasing_id().alias("row_at"), "doc_id", tokenize(F.col("text")).alias("tokens")), "tokens")
+    n = tokens.count()
+    base, t = n + 1, F.col("term")
+    u = tokens.select("row_at", F.explode(runs(F.col("tokens"))).alias("c")).select("row_at", "c.*").where(t.rlike("^[a-z]+$") & (F.length(t) > 2) & ~t.isin(STOPWORDS))
+    df = u.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(least_docs, n if most_docs is None else most_docs))
+    terms = written(df.repartitionByRange("term").sortWithinPartitions("term").withColumn("at", F.monotonically_increasing_id()), "terms")
+    part, nth = F.shiftright("at", 33), F.col("at") % (1 << 33)  # an id has its partition above 33 bits
+    width = terms.agg(F.max(nth)).first()[0] or 0
+    terms = terms.select("term", ((part * (width + 1) + nth) * base + F.col("df")).alias("x"))
+    inside = written(u.join(terms, "term").select("row_at", "x", "tf"), "inside")
+    rows = inside.groupBy("row_at").agg(F.array_sort(F.collect_list("x")).alias("ys"))
+    lists = written(rows.groupBy("ys").agg(F.count(F.lit(1)).alias("docs")).withColumn("list_at", F.monotonically_increasing_id()), "lists")
+    nth_of = lambda *order: F.row_number().over(Window.partitionBy("x").orderBy(*order))
+    lasts = lists.select("docs", "ys").mapInArrow(_sure(base, neighbours), "x long, y long").withColumn("r", nth_of("y")).where(F.col("r") == neighbours).select("x", F.col("y").alias("last"))
+    c = F.struct("x", F.coalesce("last", F.lit(NO_LAST)).alias("last"))
+    ready = lists.select("list_at", "docs", F.explode("ys").alias("x")).join(lasts, "x", "left").groupBy("list_at").agg(F.max("docs").alias("docs"), F.array_sort(F.collect_list(c)).alias("c"))
+    sent = ready.select("docs", F.col("c.x").alias("ys"), F.col("c.last").alias("lasts")).mapInArrow(_sent(base), "x long, ys array<long>, docs long")
+    found = sent.repartition("x").sortWithinPartitions("x").mapInArrow(_strongest(base, neighbours), "x long, y long, docs long")
+    pmi = F.log(F.col("docs") * F.lit(n + 2.0) / ((F.col("x") % base) * (F.col("y") % base))) / F.log(F.lit(2.0))
+    pairs = found.where(pmi >= least_pmi).select("x", "y", F.round(F.greatest(F.lit(0.0), pmi), 4).alias("ppmi"))
+    best = pairs.withColumn("r", nth_of(F.desc("ppmi"), "y")).where(F.col("r") <= neighbours)
+
+    @F.pandas_udf("long")
+    def spot(term: pd.Series) -> pd.Series:
+        """A term's bucket, from 1 on, with its sign."""
+        return pd.Series([int((1 + at % dims) * sign) for at, sign in map(_place, term)], dtype="int64")
+
+    near = best.join(terms.select(F.col("x").alias("y"), spot("term").alias("spot")), "y").groupBy("x").agg(F.collect_list(F.struct("spot", F.least(F.col("ppmi") / 4, F.lit(0.5)).alias("w"))).alias("of"))
+    weighed = F.transform("of", lambda o: F.struct(o["spot"].alias("spot"), (o["w"] * F.col("tf")).alias("w")))
+    extra = inside.join(near, "x").groupBy("row_at").agg(F.array_sort(F.flatten(F.collect_list(weighed))).alias("near"))
+
+    def combine(batches):
+        for batch in batches:
+            for part in pieces(batch, 1):
+                own, spots = hashed_rows(part.column(1), dims), part.column(2).flatten().to_numpy()
+                row = np.repeat(np.arange(len(own)), part.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                more = np.bincount(row * dims + np.abs(spots) - 1, np.sign(spots) * part.column(3).flatten().to_numpy(), own.size).reshape(own.shape)
+                mix = 0.75 * own + 0.25 * more
+                norm = np.sqrt((mix * mix).sum(axis=1, keepdims=True))
+                added = (np.bincount(row, minlength=len(own)) > 0)[:, None] & (norm > 1e-12)
+                out = np.where(added, mix / np.where(added, norm, 1.0), own)
+                vectors = pa.ListArray.from_arrays(np.arange(0, out.size + 1, dims, dtype=np.int32), out.ravel())
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=["doc_id", "embedding"])
+
+    both = tokens.join(extra, "row_at", "left").select("doc_id", "tokens", F.col("near.spot").alias("spots"), F.col("near.w").alias("ws"))
+    return both.mapInArrow(combine, f"doc_id {dict(both.dtypes)['doc_id']}, embedding array<double>")
 
 
 # Where coordinated claims are parted, and words that begin a claim of one's own.

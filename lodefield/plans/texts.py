@@ -256,7 +256,7 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def contextual_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
-    return words.contextual_embeddings(docs, 64, least_docs=2, most_docs=200)
+    return words.contextual_embeddings(docs, 64)
 
 
 @query()
